@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -15,7 +16,7 @@ MAX_BODY_BYTES = 512 << 10
 MAX_IGNORE_PATTERN_CHARS = 1000
 
 # Go's unicode.IsSpace set, which includes NEL, NBSP and the Unicode spaces.
-_GO_SPACE = "[\\t\\n\\u000B\\f\\r \\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+GO_SPACE = "[\\t\\n\\u000B\\f\\r \\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -45,10 +46,10 @@ def literal_contains(text: Column, needle: Column) -> Column:
 
 def collapse_space(text: Column) -> Column:
     """Collapse whitespace runs to one blank and trim; no Unicode folding."""
-    return F.trim(F.regexp_replace(text, _GO_SPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, GO_SPACE + "+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
@@ -65,7 +66,7 @@ def normalize_text(text: Column) -> Column:
 def strip_tags(html: Column) -> Column:
     """Remove every ``<...>`` run and trim whitespace."""
     return F.regexp_replace(
-        F.regexp_replace(html, "<[^>]*>", ""), f"^{_GO_SPACE}+|{_GO_SPACE}+$", ""
+        F.regexp_replace(html, "<[^>]*>", ""), f"^{GO_SPACE}+|{GO_SPACE}+$", ""
     )
 
 
@@ -73,7 +74,7 @@ def truncate_chars(text: Column, limit: int) -> Column:
     return F.substring(text, 1, limit)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _cut_utf8(text: pd.Series, limit: pd.Series) -> pd.Series:
     def cut(s: str | None, n: int) -> str | None:
         if s is None:
@@ -108,7 +109,7 @@ _META = r"([.*+?^${}()|\[\]\\])"
 def ignore_pattern(text: Column) -> Column:
     """A reusable pattern for a block's text: escaped, digit runs generalized."""
     escaped = F.regexp_replace(F.trim(text), _META, r"\\$1")
-    return F.substring(F.regexp_replace(escaped, "[0-9]+", r"\\\\d+"), 1, MAX_IGNORE_PATTERN_CHARS)
+    return F.substring(F.regexp_replace(escaped, "[0-9]+", r"\\d+"), 1, MAX_IGNORE_PATTERN_CHARS)
 
 
 def highlight_segments(text: Column, query: Column) -> Column:
@@ -118,13 +119,15 @@ def highlight_segments(text: Column, query: Column) -> Column:
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)
 
-    def piece(gap: Column, i: Column) -> Column:
+    # Zipping evaluates both arrays once; indexing one from a lambda would not.
+    def piece(pair: Column) -> Column:
         return F.array(
-            F.struct(gap.alias("text"), F.lit(False).alias("match")),
-            F.struct(F.try_element_at(hits, i + 1).alias("text"), F.lit(True).alias("match")),
+            F.struct(pair["gap"].alias("text"), F.lit(False).alias("match")),
+            F.struct(pair["hit"].alias("text"), F.lit(True).alias("match")),
         )
 
-    pieces = F.filter(F.flatten(F.transform(gaps, piece)), lambda s: F.coalesce(s["text"], F.lit("")) != "")
+    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
+    pieces = F.filter(F.flatten(F.transform(pairs, piece)), lambda s: F.coalesce(s["text"], F.lit("")) != "")
     whole = F.array(F.struct(text.alias("text"), F.lit(False).alias("match")))
     return F.when((q == "") | (F.size(pieces) == 0), whole).otherwise(pieces)
 

@@ -7,6 +7,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Click-tracking query parameters dropped from a canonical URL.
 TRACKING_PREFIX = "utm_"
@@ -27,7 +28,7 @@ def _join(base: str | None, ref: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def absolutize(base: pd.Series, ref: pd.Series) -> pd.Series:
     """RFC 3986 reference resolution; null when the reference cannot be parsed."""
     return pd.Series([_join(b, r) for b, r in zip(base, ref, strict=True)], dtype="object")

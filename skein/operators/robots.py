@@ -82,7 +82,7 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
     matched = split.join(
         rules.select("origin", "n", "allow", "pattern", rule_regex(F.col("pattern")).alias("_re")), "origin"
-    ).filter(F.col("_path").rlike(F.col("_re")))
+    ).filter(F.rlike("_path", "_re"))
     verdict = matched.groupBy("url").agg(
         F.min_by("allow", F.struct((-F.octet_length("pattern")).alias("l"), "n")).alias("_allow")
     )

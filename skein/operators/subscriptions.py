@@ -236,7 +236,9 @@ def patch_subscriptions(subscriptions: DataFrame, patches: DataFrame) -> DataFra
     p = patches.select("user_id", "feed_id", *[
         F.col(c).alias(f"_{c}") for c in ("title", "rating", "rating_delta", "folder_id")
     ])
-    shifted = F.least(F.lit(5), F.greatest(F.lit(0), F.col("rating") + F.col("_rating_delta")))
+    # least and greatest skip nulls, so the clamp needs its own null test.
+    clamped = F.least(F.lit(5), F.greatest(F.lit(0), F.col("rating") + F.col("_rating_delta")))
+    shifted = F.when(F.col("_rating_delta").isNotNull(), clamped)
     folder = F.when(F.col("_folder_id") == 0, F.lit(None)).otherwise(F.coalesce("_folder_id", "folder_id"))
     return (
         subscriptions.join(p, ["user_id", "feed_id"], "left")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.items import format_cursor
 from skein.functions.text import like_contains, literal_contains
+from skein.skew import top_n_per_key
 
 DEFAULT_LIMIT = 100
 MAX_LIMIT = 500
@@ -118,6 +119,33 @@ def today_timeline(entries, state, subscriptions, pins, user_id, now, **page):
     return group_timeline(entries, recent, subscriptions, pins, user_id, F.lit(True), True, **page)
 
 
+def first_pages(
+    entries: DataFrame, state: DataFrame, pins: DataFrame, limit: int = DEFAULT_LIMIT
+) -> DataFrame:
+    """The newest unread page of every user at once, ranked by ``rn``.
+
+    The batch form of an unread timeline: pages are cut from narrow state rows
+    (in salted slices, so a user with most of the rows is still many groups)
+    before any entry text is read.
+    """
+    unread = state.filter(F.col("read_at").isNull() & (F.col("ignored") == 0)).select(
+        "user_id", "entry_id", "feed_id", "published_at"
+    )
+    pages = top_n_per_key(
+        unread, ["user_id"], [F.desc("published_at"), F.desc("entry_id")], limit, F.col("entry_id"), salts=16
+    )
+    text = entries.select(F.col("id").alias("entry_id"), "url", "title")
+    pinned = pins.select("user_id", "entry_id", F.lit(True).alias("_pin"))
+    return (
+        pages.join(text, "entry_id")
+        .join(pinned, ["user_id", "entry_id"], "left")
+        .select(
+            "user_id", "rn", "entry_id", "feed_id", "url", "title", "published_at",
+            F.col("_pin").isNotNull().alias("pinned"),
+        )
+    )
+
+
 def today_by_rating(timeline: DataFrame, subscriptions: DataFrame, user_id: int) -> DataFrame:
     """The page re-bucketed by rating 5 to 0, newest first inside; adds ``position``."""
     from pyspark.sql import Window

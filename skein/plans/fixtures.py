@@ -98,7 +98,7 @@ SELECT CAST(substr(source, 4) AS BIGINT) AS feed_id, doc_id * 2 + k AS pos,
   {NOW} - doc_id * 37 - k AS published_at, {NOW} - doc_id * 37 + k AS updated_at,
   CAST(substr(source, 4) AS BIGINT) % 5 = 0 AS date_missing
 FROM documents JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) c ON k = 0 OR doc_id % 6 < 2
-WHERE doc_id % 2 = 0""",
+WHERE doc_id % 7 < 4""",
     "fx_outcomes": f"""
 SELECT feed_id, status, CAST(new_entries AS BIGINT) AS new_entries, retry_after, error, title, site_url, new_feed_url, etag,
   CAST(NULL AS STRING) AS last_modified, CAST(NULL AS STRING) AS body_hash, http_status
@@ -107,7 +107,7 @@ FROM (SELECT id AS feed_id, CASE WHEN id % 5 = 1 THEN 'error' WHEN id % 5 = 2 TH
       id % 3 AS new_entries, CAST(CASE WHEN id = 6 THEN 7200 ELSE 0 END AS BIGINT) AS retry_after,
       CASE WHEN id % 5 = 1 THEN 'unexpected status 503' WHEN id % 11 = 7 THEN '410 gone' END AS error,
       concat('New title ', CAST(id AS STRING)) AS title, '' AS site_url,
-      CASE WHEN id = 9 THEN 'https://src10.example.com/feed' WHEN id IN (13, 14) THEN 'https://moved.example.com/feed' END AS new_feed_url,
+      CASE WHEN id = 9 THEN 'https://src11.example.com/feed' WHEN id IN (13, 14) THEN 'https://moved.example.com/feed' END AS new_feed_url,
       CASE WHEN id % 4 = 0 THEN concat('W/', CAST(id AS STRING)) END AS etag,
       CASE WHEN id % 5 = 1 THEN 503 WHEN id % 5 = 2 THEN 304 WHEN id % 11 = 7 THEN 410 ELSE 200 END AS http_status
       FROM fx_feeds) o""",
