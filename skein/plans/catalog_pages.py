@@ -433,12 +433,28 @@ def _(fx):
     return _nodes(fx).filter("tag <> '#text'").select("page_id", "pos", "end", "parent", "depth", "tag")
 
 
+@query(
+    "dom_tag_counts",
+    """SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(
+  regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<(script|style)[^>]*>).*?</(script|style)>', '\\1', 'gs'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) t
+WHERE tag NOT IN ('html', 'head', 'body') GROUP BY page_id, tag""",
+)
+def _(fx):
+    kept = _nodes(fx).filter("tag NOT IN ('#text', 'html', 'head', 'body')")
+    return kept.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("page_blocks")
 def _blocks(fx):
     return pagedom.page_blocks(_nodes(fx), fx.raw("pages"))
 
 
-@query("page_titles", "SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '[ \\t\\n]+', ' ', 'g')) AS page_title FROM pages")
+_TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
+for _raw, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _TITLE = f"replace({_TITLE}, '{_raw}', '{_char}')"
+
+
+@query("page_titles", f"SELECT page_id, trim(regexp_replace({_TITLE}, '[ \\t\\n]+', ' ', 'g')) AS page_title FROM pages")
 def _(fx):
     titles = pagedom.page_titles(_nodes(fx))
     return fx.raw("pages").select("page_id").join(titles, "page_id", "left").select(

@@ -332,10 +332,10 @@ def _(fx):
     return stats.duration_histogram(fx.log)
 
 
-@query("fetch_duration_totals", "SELECT round(sum(duration_s), 3) AS duration_sum, count(*) AS duration_count FROM fx_log")
+@query("fetch_duration_totals", "SELECT round(sum(duration_s), 5) AS duration_sum, count(*) AS duration_count FROM fx_log")
 def _(fx):
     totals = stats.duration_totals(fx.log)
-    return totals.select(F.round("duration_sum", 3).alias("duration_sum"), "duration_count")
+    return totals.select(F.round("duration_sum", 5).alias("duration_sum"), "duration_count")
 
 
 @query(

@@ -227,6 +227,15 @@ def _digests(root: Node) -> dict[int, tuple[str, int, int]]:
     return out
 
 
+def _candidates(html: str, max_depth: int, min_text: int) -> Iterator[tuple[int, int, int, str, int, int]]:
+    root = parse(html)
+    digests = _digests(root)
+    for n, depth in walk(root.children[1]):
+        sig, length, links = digests[n.pos]
+        if n.tag not in (TEXT, "body") and depth + 1 <= max_depth and length >= min_text:
+            yield n.pos, n.end, depth + 1, sig, length, links
+
+
 def digest_rows(pages: DataFrame, max_depth: int, min_text: int) -> DataFrame:
     """Candidate subtrees of each page with their signatures.
 
@@ -238,15 +247,30 @@ def digest_rows(pages: DataFrame, max_depth: int, min_text: int) -> DataFrame:
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in DIGEST_SCHEMA.split(", ")]
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for page, html in zip(batch["page_id"], batch["html"], strict=True):
-                root = parse(html or "")
-                digests = _digests(root)
-                for n, depth in walk(root.children[1]):
-                    sig, length, links = digests[n.pos]
-                    wanted = n.tag not in (TEXT, "body") and depth + 1 <= max_depth and length >= min_text
-                    if wanted:
-                        out.append((page, n.pos, n.end, depth + 1, sig, length, links))
+                out += [(page, *row) for row in _candidates(html or "", max_depth, min_text)]
             yield pd.DataFrame(out, columns=columns)
 
     return pages.select("page_id", "html").mapInPandas(explode, DIGEST_SCHEMA)
+
+
+PAGE_DIGEST_SCHEMA = (
+    "feed_id string, page_id bigint, "
+    "subtrees array<struct<pos:int,end:int,sig:string,text_len:int,link_len:int>>"
+)
+
+
+def page_digests(pages: DataFrame, max_depth: int, min_text: int) -> DataFrame:
+    """:func:`digest_rows` as one row per page of (feed_id, page_id, html), for streams."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("pos", "end", "sig", "text_len", "link_len")
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                found = [(p, e, s, t, k) for p, e, _, s, t, k in _candidates(row.html or "", max_depth, min_text)]
+                out.append((row.feed_id, row.page_id, [dict(zip(names, f, strict=True)) for f in found]))
+            yield pd.DataFrame(out, columns=["feed_id", "page_id", "subtrees"])
+
+    return pages.select("feed_id", "page_id", "html").mapInPandas(pack, PAGE_DIGEST_SCHEMA)
