@@ -20,8 +20,13 @@ GO_SPACE = "[\\t\\n\\u000B\\f\\r \\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2
 
 
 def ascii_lower(text: Column) -> Column:
-    """Fold A-Z only, the case rule of SQLite ``LIKE``."""
-    return F.translate(text, _UPPER, _LOWER)
+    """Fold A-Z only, the case rule of SQLite ``LIKE``.
+
+    ``translate`` walks characters one by one, so pure ASCII text takes the
+    byte-wise ``lower`` instead.
+    """
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def like_contains_folded(text: Column, word: Column) -> Column:
@@ -34,9 +39,24 @@ def like_contains_folded(text: Column, word: Column) -> Column:
     return F.when(word.rlike("[%_]"), F.like(text, pattern)).otherwise(F.contains(text, word))
 
 
+def like_probe(word: Column) -> Column:
+    """A literal that ``lower(text)`` must contain wherever ``word`` can match.
+
+    The longest run of the word between wildcards, lower-cased.  A word with a
+    capital sigma, whose lower case depends on its neighbours, gets the empty
+    probe, which every text contains.
+    """
+    runs = F.transform(F.split(word, "[%_]"), lambda r: F.struct(F.char_length(r).alias("n"), r.alias("r")))
+    return F.when(F.contains(word, F.lit("Σ")), "").otherwise(F.lower(F.array_max(runs)["r"]))
+
+
 def like_contains(text: Column, word: Column) -> Column:
-    """``text LIKE '%' || word || '%'`` under SQLite rules."""
-    return like_contains_folded(ascii_lower(text), ascii_lower(word))
+    """``text LIKE '%' || word || '%'`` under SQLite rules.
+
+    The cheap probe runs first; only texts that pass it are folded and matched.
+    """
+    exact = like_contains_folded(ascii_lower(text), ascii_lower(word))
+    return F.contains(F.lower(text), like_probe(word)) & exact
 
 
 def literal_contains(text: Column, needle: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import ascii_lower, like_contains_folded
+from skein.functions.text import ascii_lower, like_contains_folded, like_probe
 
 # Target size of one group of words tested against an entry in one pass.
 WORDS_PER_GROUP = 256
@@ -27,28 +27,35 @@ def ignored_pairs(entries: DataFrame, subscriptions: DataFrame, ignore_words: Da
     )
     feed_words = wanted.select("feed_id", "word").distinct()
     sizes = feed_words.groupBy("feed_id").agg(F.count(F.lit(1)).alias("_n"))
+    # A probe is a literal every match must contain: one substring search on
+    # the lower-cased text decides almost all words, and only the rest are
+    # matched exactly.
+    probed = F.struct("word", like_probe(F.col("word")).alias("probe"))
     groups = (
         feed_words.join(sizes, "feed_id")
         .withColumn("_g", F.pmod(F.xxhash64("word"), F.ceil(F.col("_n") / WORDS_PER_GROUP)))
         .groupBy("feed_id", "_g")
-        .agg(F.collect_list("word").alias("_words"))
+        .agg(F.collect_list(probed).alias("_words"))
         .drop("_g")
     )
-    folded = entries.select(
+    texts = entries.select(
         F.col("id").alias("entry_id"),
         "feed_id",
-        ascii_lower(F.col("title")).alias("_title"),
-        ascii_lower(F.col("body")).alias("_body"),
+        "title",
+        "body",
+        F.lower("title").alias("_title"),
+        F.lower("body").alias("_body"),
     )
-    hits = folded.join(groups, "feed_id").select(
+
+    def found(w: Column) -> Column:
+        return (F.contains(F.col("_title"), w["probe"]) & like_contains_folded(ascii_lower(F.col("title")), w["word"])) | (
+            F.contains(F.col("_body"), w["probe"]) & like_contains_folded(ascii_lower(F.col("body")), w["word"])
+        )
+
+    hits = texts.join(groups, "feed_id").select(
         "entry_id",
         "feed_id",
-        F.explode(
-            F.filter(
-                "_words",
-                lambda w: like_contains_folded(F.col("_title"), w) | like_contains_folded(F.col("_body"), w),
-            )
-        ).alias("word"),
+        F.explode(F.transform(F.filter("_words", found), lambda w: w["word"])).alias("word"),
     )
     return hits.join(wanted, ["feed_id", "word"]).select("user_id", "entry_id").distinct()
 

@@ -118,7 +118,7 @@ def _(fx):
 @query("search_postings", _SEARCH.format(_ci("ón con")))
 def _(fx):
     return timeline.search_postings(
-        fx.entries, timeline.trigram_postings(fx.entries), fx.state(), fx.subs, fx.pins, USER, "ón con"
+        fx.entries, fx.postings(), fx.state(), fx.subs, fx.pins, USER, "ón con"
     )
 
 
@@ -151,7 +151,7 @@ def _(fx):
     UNION ALL SELECT id, string_split(lower(body), '') AS c FROM fx_entries) a) g GROUP BY gram""",
 )
 def _(fx):
-    return timeline.trigram_postings(fx.entries).groupBy("gram").agg(F.count(F.lit(1)).alias("entries"))
+    return fx.postings().groupBy("gram").agg(F.count(F.lit(1)).alias("entries"))
 
 
 @query(

@@ -227,6 +227,11 @@ class Fixtures:
             "user_id", "entry_id", "feed_id", "published_at", "created_at", "read_at", "ignored"
         )
 
+    def postings(self) -> DataFrame:
+        from skein.operators.timeline import trigram_postings
+
+        return trigram_postings(self.entries)
+
     def counted_subs(self) -> DataFrame:
         from skein.operators.subscriptions import unread_counts
 
@@ -234,6 +239,47 @@ class Fixtures:
         return unread_counts(subs, self.state()).select(*subs.columns)
 
 
+class StoredFixtures(Fixtures):
+    """The same tables read from a table store, laid out for the queries."""
+
+    TABLES = (
+        "feeds", "entries", "subs", "folders", "reads", "pins", "words", "fulltext", "batch", "log", "blocks",
+        "hosts",
+    )
+
+    def __init__(self, spark: SparkSession, sf_dir: str, store) -> None:
+        super().__init__(spark, sf_dir)
+        self._store = store
+
+    @classmethod
+    def build(cls, spark: SparkSession, sf_dir: str, store) -> StoredFixtures:
+        from skein.sources.tablestore import LAYOUT
+
+        source = Fixtures(spark, sf_dir)
+        tables = {name: source.view(f"fx_{name}") for name in cls.TABLES}
+        tables["state"] = source.state()
+        store.publish(tables, layout={**LAYOUT, "subs": ["user_id"]})
+        out = cls(spark, sf_dir, store)
+        store.publish(
+            {"counted_subs": Fixtures.counted_subs(out), "postings": Fixtures.postings(out)},
+            layout={"counted_subs": ["user_id"], "postings": ["gram"]},
+        )
+        return out
+
+    def view(self, view: str) -> DataFrame:
+        name = view.removeprefix("fx_")
+        return self._store.read(name) if name in self.TABLES else super().view(view)
+
+    def state(self) -> DataFrame:
+        return self._store.read("state")
+
+    def postings(self) -> DataFrame:
+        return self._store.read("postings")
+
+    def counted_subs(self) -> DataFrame:
+        return self._store.read("counted_subs")
+
+
 def _like(text: str, word: str) -> str:
     fold = f"translate({{}}, '{UPPER}', '{LOWER}')"
     return f"{fold.format(text)} LIKE concat('%', {fold.format(word)}, '%')"

@@ -10,15 +10,24 @@ from skein.functions.urls import path_tail
 from skein.operators import boilerplate
 from skein.operators.pagedom import article_bodies, page_titles, published_dates
 from skein.session import cut_lineage
-from skein.sources.dom import digest_rows, dom_rows
+from skein.sources.dom import TEXT, dom_rows
 from skein.sources.sanitize import sanitize_html
 
 
-def removed_subtrees(pages: DataFrame) -> DataFrame:
-    """Chrome to cut from (page_id, feed_id, html) pages, ordered by page_id."""
+def candidate_digests(signed_nodes: DataFrame) -> DataFrame:
+    """Subtrees worth counting, from signed DOM rows (html is depth 0 there)."""
+    return signed_nodes.filter(
+        F.col("in_body")
+        & ~F.col("tag").isin(TEXT, "body")
+        & (F.col("depth") + 1 <= boilerplate.MAX_DEPTH)
+        & (F.col("text_len") >= boilerplate.MIN_TEXT)
+    ).select("page_id", "pos", "end", "sig", "text_len", "link_len")
+
+
+def removed_subtrees(pages: DataFrame, signed_nodes: DataFrame) -> DataFrame:
+    """Chrome to cut from (page_id, feed_id) pages, each feed ordered by page_id."""
     numbered = boilerplate.number_pages(pages.select("page_id", "feed_id"), "feed_id", "page_id")
-    digests = digest_rows(pages, boilerplate.MAX_DEPTH, boilerplate.MIN_TEXT)
-    return boilerplate.removed_blocks(digests.join(numbered, "page_id"))
+    return boilerplate.removed_blocks(candidate_digests(signed_nodes).join(numbered, "page_id"))
 
 
 def article_texts(pages: DataFrame) -> DataFrame:
@@ -26,8 +35,8 @@ def article_texts(pages: DataFrame) -> DataFrame:
 
     Pages without a removable subtree are extracted once, unchanged.
     """
-    nodes = cut_lineage(dom_rows(pages))
-    removed = cut_lineage(removed_subtrees(pages).select("page_id", "pos", "end"))
+    nodes = cut_lineage(dom_rows(pages, signed=True))
+    removed = cut_lineage(removed_subtrees(pages, nodes).select("page_id", "pos", "end"))
     original = article_bodies(nodes, pages)
     touched = nodes.join(removed.select("page_id").distinct(), "page_id", "left_semi")
     cut = article_bodies(boilerplate.cut_subtrees(touched, removed, "page_id"), pages)

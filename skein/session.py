@@ -54,3 +54,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+SPREAD_BYTES_PER_SLOT = 8 << 20
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a small input to per-row Python work enough partitions.
+
+    A file of one row group is one task however many cores wait.  Inputs that
+    the planner's size estimate puts above a few MiB per slot already have
+    enough splits and are not shuffled.
+    """
+    if df.isStreaming:
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(slots) if estimate < slots * SPREAD_BYTES_PER_SLOT else df

@@ -16,6 +16,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from skein.session import spread_small
+
 # Elements without content.
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -172,35 +174,45 @@ NODE_SCHEMA = (
     "page_id bigint, pos int, end int, parent int, depth int, in_body boolean, tag string, "
     "parent_tag string, attrs map<string,string>, text string"
 )
-_NODE_COLUMNS = ["page_id", "pos", "end", "parent", "depth", "in_body", "tag", "parent_tag", "attrs", "text"]
+_SIGNED = ", sig string, text_len int, link_len int"
 _CHUNK = 20_000
 
 
-def dom_rows(pages: DataFrame) -> DataFrame:
+def _names(schema: str) -> list[str]:
+    # Commas inside a type never precede a blank.
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def dom_rows(pages: DataFrame, signed: bool = False) -> DataFrame:
     """One row per element and text run of (page_id, html) pages.
 
-    ``depth`` counts from body (body is 0; head nodes are negative-free and
-    count from head).  Comments are not rows.
+    ``depth`` counts from body or head (which are 0).  Comments are not rows.
+    With ``signed`` every row also has its subtree signature and the lengths
+    of its text and link text.
     """
+    schema = NODE_SCHEMA + (_SIGNED if signed else "")
+    columns = _names(schema)
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         for batch in batches:
             for page, html in zip(batch["page_id"], batch["html"], strict=True):
-                for part in parse(html or "").children:
+                root = parse(html or "")
+                digests = _digests(root) if signed else {}
+                for part in root.children:
                     for n, depth in walk(part):
-                        parent = n.parent
-                        out.append(
-                            (page, n.pos, n.end, parent.pos if parent else -1, depth, part.tag == "body",
-                             n.tag, parent.tag if parent else None, dict(n.attrs), n.text or None)
+                        row = (
+                            page, n.pos, n.end, n.parent.pos, depth, part.tag == "body", n.tag,
+                            n.parent.tag, dict(n.attrs), n.text or None,
                         )
+                        out.append(row + digests[n.pos] if signed else row)
                 if len(out) >= _CHUNK:
-                    yield pd.DataFrame(out, columns=_NODE_COLUMNS)
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
         if out:
-            yield pd.DataFrame(out, columns=_NODE_COLUMNS)
+            yield pd.DataFrame(out, columns=columns)
 
-    return pages.select("page_id", "html").mapInPandas(explode, NODE_SCHEMA)
+    return spread_small(pages.select("page_id", "html")).mapInPandas(explode, schema)
 
 
 DIGEST_SCHEMA = "page_id bigint, pos int, end int, depth int, sig string, text_len int, link_len int"
@@ -245,14 +257,14 @@ def digest_rows(pages: DataFrame, max_depth: int, min_text: int) -> DataFrame:
     """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in DIGEST_SCHEMA.split(", ")]
+        columns = _names(DIGEST_SCHEMA)
         for batch in batches:
             out: list[tuple] = []
             for page, html in zip(batch["page_id"], batch["html"], strict=True):
                 out += [(page, *row) for row in _candidates(html or "", max_depth, min_text)]
             yield pd.DataFrame(out, columns=columns)
 
-    return pages.select("page_id", "html").mapInPandas(explode, DIGEST_SCHEMA)
+    return spread_small(pages.select("page_id", "html")).mapInPandas(explode, DIGEST_SCHEMA)
 
 
 PAGE_DIGEST_SCHEMA = (
