@@ -25,8 +25,7 @@ def ascii_lower(text: Column) -> Column:
     ``translate`` walks characters one by one, so pure ASCII text takes the
     byte-wise ``lower`` instead.
     """
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.when(is_ascii(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def like_contains_folded(text: Column, word: Column) -> Column:
@@ -50,13 +49,37 @@ def like_probe(word: Column) -> Column:
     return F.when(F.contains(word, F.lit("Σ")), "").otherwise(F.lower(F.array_max(runs)["r"]))
 
 
-def like_contains(text: Column, word: Column) -> Column:
-    """``text LIKE '%' || word || '%'`` under SQLite rules.
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def folds_plainly(text: Column) -> Column:
+    """Whether ``lower`` and the A-Z fold agree wherever ASCII letters result.
 
-    The cheap probe runs first; only texts that pass it are folded and matched.
+    Only the Kelvin sign and the dotted capital I lower-case to ASCII letters.
     """
-    exact = like_contains_folded(ascii_lower(text), ascii_lower(word))
-    return F.contains(F.lower(text), like_probe(word)) & exact
+    return ~F.contains(text, F.lit("\u212a")) & ~F.contains(text, F.lit("\u0130"))
+
+
+def like_contains_probed(
+    text: Column, lowered: Column, plain: Column, word: Column, probe: Column, word_ascii: Column
+) -> Column:
+    """LIKE test of a folded ``word`` with everything about the text precomputed.
+
+    The probe decides almost all pairs; an ASCII word is then matched on the
+    lower-cased text, and only other words pay for the exact fold.
+    """
+    return F.contains(lowered, probe) & F.when(
+        plain & word_ascii, like_contains_folded(lowered, word)
+    ).otherwise(like_contains_folded(ascii_lower(text), word))
+
+
+def like_contains(text: Column, word: Column) -> Column:
+    """``text LIKE '%' || word || '%'`` under SQLite rules."""
+    folded = ascii_lower(word)
+    return like_contains_probed(
+        text, F.lower(text), folds_plainly(text), folded, like_probe(folded), is_ascii(folded)
+    )
 
 
 def literal_contains(text: Column, needle: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import ascii_lower, like_contains_folded, like_probe
+from skein.functions.text import ascii_lower, folds_plainly, is_ascii, like_contains_probed, like_probe
 
 # Target size of one group of words tested against an entry in one pass.
 WORDS_PER_GROUP = 256
@@ -30,7 +30,8 @@ def ignored_pairs(entries: DataFrame, subscriptions: DataFrame, ignore_words: Da
     # A probe is a literal every match must contain: one substring search on
     # the lower-cased text decides almost all words, and only the rest are
     # matched exactly.
-    probed = F.struct("word", like_probe(F.col("word")).alias("probe"))
+    word = F.col("word")
+    probed = F.struct("word", like_probe(word).alias("probe"), is_ascii(word).alias("ascii"))
     groups = (
         feed_words.join(sizes, "feed_id")
         .withColumn("_g", F.pmod(F.xxhash64("word"), F.ceil(F.col("_n") / WORDS_PER_GROUP)))
@@ -45,12 +46,16 @@ def ignored_pairs(entries: DataFrame, subscriptions: DataFrame, ignore_words: Da
         "body",
         F.lower("title").alias("_title"),
         F.lower("body").alias("_body"),
+        folds_plainly(F.concat("title", "body")).alias("_plain"),
     )
 
     def found(w: Column) -> Column:
-        return (F.contains(F.col("_title"), w["probe"]) & like_contains_folded(ascii_lower(F.col("title")), w["word"])) | (
-            F.contains(F.col("_body"), w["probe"]) & like_contains_folded(ascii_lower(F.col("body")), w["word"])
-        )
+        def in_text(column: str) -> Column:
+            return like_contains_probed(
+                F.col(column), F.col(f"_{column}"), F.col("_plain"), w["word"], w["probe"], w["ascii"]
+            )
+
+        return in_text("title") | in_text("body")
 
     hits = texts.join(groups, "feed_id").select(
         "entry_id",
