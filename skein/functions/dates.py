@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skein.functions.text import trim_space
+
 HOUR = 3600
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
 _JP = r"^(\d{4})年(\d{1,2})月(\d{1,2})日"
@@ -16,7 +18,7 @@ def flexible_date(text: Column, now: Column) -> Column:
     Dates more than one hour after ``now`` are rejected.  The third form
     normalizes overflow (February 31 becomes early March).
     """
-    s = F.trim(text)
+    s = trim_space(text)
     full = F.when(s.rlike(_RFC3339), F.replace(s, F.lit(","), F.lit(".")).try_cast("timestamp"))
     day = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s.try_cast("date").cast("timestamp"))
 

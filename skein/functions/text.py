@@ -87,6 +87,11 @@ def literal_contains(text: Column, needle: Column) -> Column:
     return F.contains(F.lower(text), F.lower(needle))
 
 
+def trim_space(text: Column) -> Column:
+    """Trim every kind of whitespace, not only blanks."""
+    return F.regexp_replace(text, f"^{GO_SPACE}+|{GO_SPACE}+$", "")
+
+
 def collapse_space(text: Column) -> Column:
     """Collapse whitespace runs to one blank and trim; no Unicode folding."""
     return F.trim(F.regexp_replace(text, GO_SPACE + "+", " "))
@@ -108,9 +113,7 @@ def normalize_text(text: Column) -> Column:
 
 def strip_tags(html: Column) -> Column:
     """Remove every ``<...>`` run and trim whitespace."""
-    return F.regexp_replace(
-        F.regexp_replace(html, "<[^>]*>", ""), f"^{GO_SPACE}+|{GO_SPACE}+$", ""
-    )
+    return trim_space(F.regexp_replace(html, "<[^>]*>", ""))
 
 
 def truncate_chars(text: Column, limit: int) -> Column:
@@ -151,13 +154,13 @@ _META = r"([.*+?^${}()|\[\]\\])"
 
 def ignore_pattern(text: Column) -> Column:
     """A reusable pattern for a block's text: escaped, digit runs generalized."""
-    escaped = F.regexp_replace(F.trim(text), _META, r"\\$1")
+    escaped = F.regexp_replace(trim_space(text), _META, r"\\$1")
     return F.substring(F.regexp_replace(escaped, "[0-9]+", r"\\d+"), 1, MAX_IGNORE_PATTERN_CHARS)
 
 
 def highlight_segments(text: Column, query: Column) -> Column:
     """Array of (text, match) pieces splitting ``text`` at each literal match."""
-    q = F.trim(query)
+    q = trim_space(query)
     pattern = F.concat(F.lit("(?iu)"), F.regexp_replace(q, _META, r"\\$1"))
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)

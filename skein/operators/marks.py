@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.text import trim_space
 from skein.operators.fanout import ignored_pairs
 from skein.operators.subscriptions import refresh_unread_counts, unread_counts
 
@@ -59,7 +60,7 @@ def edit_ignore_words(
 ) -> DataFrame:
     """Words after trimmed, unique additions and removals (user_id, word)."""
     fresh = (
-        added.select("user_id", F.trim("word").alias("word"))
+        added.select("user_id", trim_space(F.col("word")).alias("word"))
         .filter("word <> ''")
         .distinct()
         .join(ignore_words.select("user_id", "word"), ["user_id", "word"], "left_anti")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from skein.functions.dates import flexible_date
 from skein.functions.markup import BLOCK_TAGS, HEADING_TAGS, is_noise
-from skein.functions.text import GO_SPACE, normalize_text
+from skein.functions.text import GO_SPACE, anonymize_text, is_anonymized, normalize_text
 from skein.functions.urls import absolutize, canonical_url, resolve_url
 from skein.operators.blocks import MAX_BLOCKS, with_heading_context
 from skein.sources.dom import TEXT, VOID_TAGS
@@ -75,8 +75,14 @@ def _escape(text: Column) -> Column:
     return out
 
 
-def _start_tag() -> Column:
+def _start_tag(all_attrs: bool) -> Column:
     attrs, tag = F.col("attrs"), F.col("tag")
+    closing = F.when(tag.isin(*VOID_TAGS), F.lit("/>")).otherwise(F.lit(">"))
+    if all_attrs:
+        written = F.transform(
+            F.map_entries(attrs), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), _escape(e["value"]), F.lit('"'))
+        )
+        return F.concat(F.lit("<"), tag, F.coalesce(F.array_join(written, ""), F.lit("")), closing)
 
     def attr(name: str, value: Column) -> Column:
         return F.when(value.isNotNull(), F.concat(F.lit(f' {name}="'), _escape(value), F.lit('"'))).otherwise("")
@@ -87,20 +93,22 @@ def _start_tag() -> Column:
         .when(tag == "time", attr("datetime", attrs["datetime"]))
         .otherwise("")
     )
-    closing = F.when(tag.isin(*VOID_TAGS), F.lit("/>")).otherwise(F.lit(">"))
     return F.concat(F.lit("<"), tag, kept, closing)
 
 
-def rendered(nodes: DataFrame, group: str) -> DataFrame:
+def rendered(nodes: DataFrame, group: str, all_attrs: bool = False) -> DataFrame:
     """HTML and text of each group of nodes: (page_id, group, html, raw_text).
 
+    Only the compared attributes are written (links from ``link``), or with
+    ``all_attrs`` every attribute as it was.
+
     Opening tags sort at their position and closing tags at their end, inner
     ones first, so an ordered join of the pieces is the serialized subtree.
     """
     is_text = F.col("tag") == TEXT
     opening = F.struct(
         F.col("pos").alias("at"), F.lit(0).alias("k"), F.lit(0).alias("o"),
-        F.when(is_text, _escape(F.col("text"))).otherwise(_start_tag()).alias("s"),
+        F.when(is_text, _escape(F.col("text"))).otherwise(_start_tag(all_attrs)).alias("s"),
     )
     closing = F.struct(
         F.col("end").alias("at"), F.lit(1).alias("k"), (-F.col("pos")).alias("o"),
@@ -357,3 +365,20 @@ def article_links(nodes: DataFrame, urls: DataFrame) -> DataFrame:
     return joined.select(
         "page_id", "pos", "end", resolve_url(F.col("_base"), F.col("attrs")["href"]).alias("url")
     ).filter("url <> ''")
+
+
+def anonymized_pages(nodes: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Pages with every text run masked by character class, markup kept.
+
+    Comments are gone; ``keep`` lists patterns whose text runs stay as they are.
+    """
+    masked = nodes.withColumn("text", anonymize_text(F.col("text"), keep)).withColumn("_page", F.col("page_id"))
+    return rendered(masked, "_page", all_attrs=True).select(
+        "page_id", F.concat(F.lit("<!DOCTYPE html><html>"), "html", F.lit("</html>")).alias("html")
+    )
+
+
+def unmasked_text(nodes: DataFrame) -> DataFrame:
+    """(page_id, n) text runs that still hold unmasked letters or digits."""
+    runs = nodes.filter((F.col("tag") == TEXT) & ~is_anonymized(F.col("text")))
+    return runs.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from skein.operators import blocks, boilerplate, listing, pagedom, robots
 from skein.plans.fixtures import NOW
 from skein.plans.registry import query
-from skein.sources import dom
+from skein.plans.fulltext import article_texts
+from skein.sources import dom, suggest
+from skein.sources import listing as listing_source
+from skein.sources.feeds import feed_items, normalize_items
 
 BY = ["source", "version"]
 
@@ -473,6 +476,83 @@ def _(fx):
     return pagedom.article_bodies(_nodes(fx), fx.raw("pages"))
 
 
+@query("anonymized_pages")
+def _(fx):
+    return pagedom.anonymized_pages(_nodes(fx), ["License"])
+
+
+@query("published_dates", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 1704448800 WHEN 1 THEN 1704499200 ELSE 1704585600 END AS published_at FROM pages")
+def _(fx):
+    # The driver pages carry no dates, so each gets one of the known kinds.
+    made = fx.raw("pages").withColumn(
+        "html",
+        F.concat(
+            F.when(F.col("page_id") % 3 == 0, '<meta property="article:published_time" content="2024-01-05T10:00:00Z">')
+            .when(F.col("page_id") % 3 == 1, '<script type="application/ld+json">{"@graph":[{"@type":["NewsArticle"],"datePublished":"2024-01-06"}]}</script>')
+            .otherwise('<body><time datetime="2024-01-07">x</time>'),
+            "html",
+        ),
+    )
+    return pagedom.published_dates(dom.dom_rows(made), NOW)
+
+
+@query("alternate_feeds", "SELECT page_id, 2 AS pos, concat(regexp_extract(url, '^[a-z]+://[^/?#]+', 0), '/rss') AS feed_url, 'News' AS title FROM pages")
+def _(fx):
+    made = fx.raw("pages").withColumn(
+        "html", F.concat(F.lit('<link rel="alternate" type="application/rss+xml" title="News" href="/rss">'), "html")
+    )
+    return pagedom.alternate_feeds(dom.dom_rows(made), made)
+
+
+_LIST = {
+    "item_selector": "nav li, article p", "link_selector": "", "title_selector": "b", "date_selector": "",
+    "summary_selector": "",
+}
+
+
+@query("listing_candidates")
+def _(fx):
+    pages = fx.raw("pages").withColumns({k: F.lit(v) for k, v in _LIST.items()})
+    return listing_source.candidates(listing_source.listing_matches(pages), pages, NOW)
+
+
+@query("suggested_selectors")
+def _(fx):
+    elements = pagedom.inspect_elements(_nodes(fx)).select("page_id", "id", "parent_id", "tag", "classes", "html_id")
+    # The click lands on the page's first list item, else its first paragraph.
+    target = F.when(F.col("tag") == "li", F.col("id")).when(F.col("tag") == "p", F.col("id") + 1000000)
+    clicks = elements.groupBy("page_id").agg((F.min(target) % 1000000).alias("clicked_id")).filter("clicked_id IS NOT NULL")
+    return suggest.suggest_items(elements, clicks)
+
+
+@query("article_texts")
+def _(fx):
+    pages = fx.raw("pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("feed_id"), "url", "html")
+    return article_texts(pages)
+
+
+@query(
+    "feed_items",
+    """SELECT feed_id, guid, guid AS url, regexp_replace(title, '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g') AS title, published_at, false AS date_missing
+FROM (SELECT id // 500 AS feed_id, concat('https://f', CAST(id // 500 AS STRING), '.example.com/a/', CAST(id AS STRING)) AS guid, title, published_at FROM fx_entries) e""",
+)
+def _(fx):
+    # Each feed's entries written as one RSS document, then parsed and normalized.
+    esc = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(
+        F.lit("<item><title>"), esc("title"), F.lit("</title><link>/a/"), F.col("id").cast("string"),
+        F.lit("</link><description>"), esc("body"), F.lit("</description><pubDate>"),
+        F.date_format(F.timestamp_seconds("published_at"), "dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"),
+    )
+    entries = fx.entries.withColumn("feed", F.floor(F.col("id") / 500))
+    made = entries.groupBy("feed").agg(F.concat_ws("", F.collect_list(item)).alias("_items")).select(
+        F.col("feed").alias("feed_id"),
+        F.concat(F.lit("https://f"), F.col("feed").cast("string"), F.lit(".example.com/rss")).alias("feed_url"),
+        F.encode(F.concat(F.lit('<rss version="2.0"><channel><title>F</title>'), "_items", F.lit("</channel></rss>")), "UTF-8").alias("body"),
+    )
+    return normalize_items(feed_items(made), NOW).select("feed_id", "guid", "url", "title", "published_at", "date_missing")
+
+
 @query("subtree_digests")
 def _digests(fx):
     return dom.digest_rows(fx.raw("pages"), boilerplate.MAX_DEPTH, boilerplate.MIN_TEXT)

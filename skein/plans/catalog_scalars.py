@@ -137,7 +137,7 @@ def _(fx):
 
 @query(
     "ignore_pattern",
-    r"""SELECT doc_id, substr(regexp_replace(regexp_replace(trim(text), '([.*+?^${}()|\[\]\\])', '\\\1', 'g'), '[0-9]+', '\\d+', 'g'), 1, 1000) AS pattern FROM documents""",
+    r"""SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.*+?^${}()|\[\]\\])', '\\\1', 'g'), '[0-9]+', '\\d+', 'g'), 1, 1000) AS pattern FROM documents""",
 )
 def _(fx):
     return fx.raw("documents").select("doc_id", text.ignore_pattern(F.col("text")).alias("pattern"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.dates import published_or_now
 from skein.functions.items import blank, entry_guid, raw_body
-from skein.functions.text import truncate_utf8
+from skein.functions.text import trim_space, truncate_utf8
 from skein.functions.urls import resolve_url
 from skein.session import spread_small
 from skein.sources.charset import sniff_xml
@@ -159,7 +159,7 @@ def feed_headers(items: DataFrame) -> DataFrame:
     first = items.filter(F.col("pos").isNull() | (F.col("pos") == 0))
     return first.select(
         "feed_id",
-        F.trim(blank(F.col("feed_title"))).alias("title"),
+        trim_space(blank(F.col("feed_title"))).alias("title"),
         resolve_url(F.col("feed_url"), blank(F.col("feed_link"))).alias("site_url"),
         "error",
     )
@@ -179,7 +179,7 @@ def normalize_items(items: DataFrame, now: int) -> DataFrame:
         F.col("pos").cast("bigint").alias("pos"),
         entry_guid(F.col("guid"), F.col("_link"), F.col("title"), F.col("_raw")).alias("guid"),
         F.col("_link").alias("url"),
-        F.trim(blank(F.col("title"))).alias("title"),
+        trim_space(blank(F.col("title"))).alias("title"),
         blank(F.col("author")).alias("author"),
         clean.alias("body"),
         published.alias("published_at"),
