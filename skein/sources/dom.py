@@ -171,7 +171,7 @@ def text_of(node: Node) -> str:
 
 
 NODE_SCHEMA = (
-    "page_id bigint, pos int, end int, parent int, depth int, in_body boolean, tag string, "
+    "page_id {id}, pos int, end int, parent int, depth int, in_body boolean, tag string, "
     "parent_tag string, attrs map<string,string>, text string"
 )
 _SIGNED = ", sig string, text_len int, link_len int"
@@ -190,7 +190,7 @@ def dom_rows(pages: DataFrame, signed: bool = False) -> DataFrame:
     With ``signed`` every row also has its subtree signature and the lengths
     of its text and link text.
     """
-    schema = NODE_SCHEMA + (_SIGNED if signed else "")
+    schema = NODE_SCHEMA.format(id=dict(pages.dtypes)["page_id"]) + (_SIGNED if signed else "")
     columns = _names(schema)
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,7 +215,7 @@ def dom_rows(pages: DataFrame, signed: bool = False) -> DataFrame:
     return spread_small(pages.select("page_id", "html")).mapInPandas(explode, schema)
 
 
-DIGEST_SCHEMA = "page_id bigint, pos int, end int, depth int, sig string, text_len int, link_len int"
+DIGEST_SCHEMA = "page_id {id}, pos int, end int, depth int, sig string, text_len int, link_len int"
 
 
 def _short_hash(text: str) -> str:
@@ -264,7 +264,9 @@ def digest_rows(pages: DataFrame, max_depth: int, min_text: int) -> DataFrame:
                 out += [(page, *row) for row in _candidates(html or "", max_depth, min_text)]
             yield pd.DataFrame(out, columns=columns)
 
-    return spread_small(pages.select("page_id", "html")).mapInPandas(explode, DIGEST_SCHEMA)
+    return spread_small(pages.select("page_id", "html")).mapInPandas(
+        explode, DIGEST_SCHEMA.format(id=dict(pages.dtypes)["page_id"])
+    )
 
 
 PAGE_DIGEST_SCHEMA = (

@@ -164,7 +164,7 @@ def _outermost(root: Node, selector: list) -> list[Node]:
 
 
 MATCH_SCHEMA = (
-    "page_id bigint, pos int, matched int, href string, title string, date_text string, summary string, error string"
+    "page_id {id}, pos int, matched int, href string, title string, date_text string, summary string, error string"
 )
 _MATCH_COLUMNS = [c.split()[0] for c in MATCH_SCHEMA.split(", ")]
 SELECTORS = ["item_selector", "link_selector", "title_selector", "date_selector", "summary_selector"]
@@ -209,7 +209,9 @@ def listing_matches(pages: DataFrame) -> DataFrame:
                 out += _page_matches(row.page_id, row.html or "", [getattr(row, s) for s in SELECTORS])
             yield pd.DataFrame(out, columns=_MATCH_COLUMNS).astype({"pos": "Int32"})
 
-    return spread_small(pages.select("page_id", "html", *SELECTORS)).mapInPandas(explode, MATCH_SCHEMA)
+    return spread_small(pages.select("page_id", "html", *SELECTORS)).mapInPandas(
+        explode, MATCH_SCHEMA.format(id=dict(pages.dtypes)["page_id"])
+    )
 
 
 def candidates(matches: DataFrame, pages: DataFrame, now: int, same_host_only: bool = True) -> DataFrame:
