@@ -61,25 +61,34 @@ def folds_plainly(text: Column) -> Column:
     return ~F.contains(text, F.lit("\u212a")) & ~F.contains(text, F.lit("\u0130"))
 
 
-def like_contains_probed(
-    text: Column, lowered: Column, plain: Column, word: Column, probe: Column, word_ascii: Column
-) -> Column:
-    """LIKE test of a folded ``word`` with everything about the text precomputed.
+def like_word(folded: Column) -> Column:
+    """Everything a LIKE test needs to know about a folded word, computed once."""
+    probe = like_probe(folded)
+    wild = folded.rlike("[%_]")
+    return F.struct(
+        folded.alias("word"),
+        probe.alias("probe"),
+        is_ascii(folded).alias("ascii"),
+        # On plainly folding text the probe alone decides these words.
+        (is_ascii(folded) & ~wild & (probe == folded)).alias("simple"),
+    )
+
+
+def like_contains_word(text: Column, lowered: Column, plain: Column, word: Column) -> Column:
+    """LIKE test of a :func:`like_word` against text with its ``lower`` at hand.
 
-    The probe decides almost all pairs; an ASCII word is then matched on the
-    lower-cased text, and only other words pay for the exact fold.
+    The probe decides almost all pairs; of the rest an ASCII word is matched
+    on the lower-cased text and only other words pay for the exact fold.
     """
-    return F.contains(lowered, probe) & F.when(
-        plain & word_ascii, like_contains_folded(lowered, word)
-    ).otherwise(like_contains_folded(ascii_lower(text), word))
+    exact = F.when(plain & word["ascii"], like_contains_folded(lowered, word["word"])).otherwise(
+        like_contains_folded(ascii_lower(text), word["word"])
+    )
+    return F.contains(lowered, word["probe"]) & ((plain & word["simple"]) | exact)
 
 
 def like_contains(text: Column, word: Column) -> Column:
     """``text LIKE '%' || word || '%'`` under SQLite rules."""
-    folded = ascii_lower(word)
-    return like_contains_probed(
-        text, F.lower(text), folds_plainly(text), folded, like_probe(folded), is_ascii(folded)
-    )
+    return like_contains_word(text, F.lower(text), folds_plainly(text), like_word(ascii_lower(word)))
 
 
 def literal_contains(text: Column, needle: Column) -> Column:

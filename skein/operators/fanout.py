@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import ascii_lower, folds_plainly, is_ascii, like_contains_probed, like_probe
+from skein.functions.text import ascii_lower, folds_plainly, like_contains_word, like_word
 
 # Target size of one group of words tested against an entry in one pass.
 WORDS_PER_GROUP = 256
@@ -30,8 +30,7 @@ def ignored_pairs(entries: DataFrame, subscriptions: DataFrame, ignore_words: Da
     # A probe is a literal every match must contain: one substring search on
     # the lower-cased text decides almost all words, and only the rest are
     # matched exactly.
-    word = F.col("word")
-    probed = F.struct("word", like_probe(word).alias("probe"), is_ascii(word).alias("ascii"))
+    probed = like_word(F.col("word"))
     groups = (
         feed_words.join(sizes, "feed_id")
         .withColumn("_g", F.pmod(F.xxhash64("word"), F.ceil(F.col("_n") / WORDS_PER_GROUP)))
@@ -51,9 +50,7 @@ def ignored_pairs(entries: DataFrame, subscriptions: DataFrame, ignore_words: Da
 
     def found(w: Column) -> Column:
         def in_text(column: str) -> Column:
-            return like_contains_probed(
-                F.col(column), F.col(f"_{column}"), F.col("_plain"), w["word"], w["probe"], w["ascii"]
-            )
+            return like_contains_word(F.col(column), F.col(f"_{column}"), F.col("_plain"), w)
 
         return in_text("title") | in_text("body")
 

@@ -18,9 +18,12 @@ def spark():
         "tests",
         "local[8]",
         {
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
+            # Tiny inputs: interpreting is faster than compiling hundreds of plans.
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.streaming.stateStore.providerClass": (
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
