@@ -1,10 +1,66 @@
-"""The corpus pipeline: quality, near-dedup, decontamination, PII, tokens."""
+"""The corpus pipeline: quality, near-dedup, decontamination, PII, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+it as Parquet in the shared folder and reads it back for the next.  All stages
+but the last return the columns of ``documents``; where a text changes,
+``n_chars`` follows it.  The stages work on whole texts and all rows; nulls,
+empty texts, repeated rows and empty tables go through as the operators say.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm import decontaminate, near_dedup, pii_crf, piece_lattice, quality_rules
+from skein.llm.common import stored, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and do not diverge from their language."""
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: the one of the smallest doc_id."""
+    return near_dedup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages cut from the texts."""
+    return _counted(decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data masked by its kind."""
+    return _counted(pii_crf.mask_personal(docs, pii_crf.train(docs)))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether the ids decode to the text."""
+    import public_tokenizers
+
+    return piece_lattice.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("pii", personal_data),
+    ("sentencepiece", tokens),
+]
+
+#: Near-duplicate classes and the field over personal data are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

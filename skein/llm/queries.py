@@ -8,7 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import label_shards, quality_rules, secret_scan, token_store
+from skein.llm import (
+    decontaminate,
+    label_shards,
+    license_scan,
+    near_dedup,
+    pii_crf,
+    piece_lattice,
+    quality_rules,
+    secret_scan,
+    suffix_dedup,
+    token_store,
+)
 from skein.llm.common import spans_digest, table
 from skein.session import shared_dir
 
@@ -32,6 +43,11 @@ def _span_report(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     )
 
 
+def op1_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return _span_report(pii_crf.find_personal(documents, pii_crf.train(documents)), pii_crf.KINDS)
+
+
 def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = label_shards.assign_shards(table(spark, sf_dir, "documents"))
     return placed.select(
@@ -45,6 +61,52 @@ def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.size("licenses").cast("bigint").alias("n_licenses"),
+        F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"),
+        F.array_join(F.transform("licenses", lambda x: x["first_word"].cast("string")), ",").alias("first_words"),
+    )
+
+
+def op4_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    hit = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, r: a + r["end"] - r["start"])
+    return found.select(
+        F.col("doc.doc_id").alias("doc_id"),
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.size("ranges") > 0).alias("contaminated"),
+    )
+
+
+def op5_piece_lattice_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_lattice.round_trip(table(spark, sf_dir, "documents"), path)
+
+
+def op6_suffix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, r: a + r["end"] - r["start"])
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        gone.alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op7_prob_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_class")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_report(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.BASE_KINDS)
 
@@ -76,7 +138,13 @@ def op10_elias_fano_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Run] = {
     f.__name__: f
     for f in (
+        op1_skip_chain_crf,
         op2_label_propagation_shards,
+        op3_minhash_license_windows,
+        op4_fm_index_decontamination,
+        op5_piece_lattice_tokens,
+        op6_suffix_sort_dedup,
+        op7_prob_minhash_classes,
         op8_secret_scan,
         op9_distribution_divergence,
         op10_elias_fano_token_files,

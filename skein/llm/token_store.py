@@ -32,7 +32,7 @@ from skein.llm.common import map_batches
 
 SAMPLE = 64
 ROW_IDS = 2_000_000
-CACHE_WORDS = 400_000
+CACHE_PARTS = 500_000
 
 Encoder = Callable[[list[str]], list[list[int]]]
 
@@ -117,32 +117,79 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-# str.split() also cuts at the four ASCII separators, which the tokenizer does not drop.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_STRIP = " \t\n\x0b\x0c\r"
-_SPACES = re.compile(f"[{_STRIP}]+")
-_words: dict[str, np.ndarray] = {}
+# The tokenizer's own pre-tokens, over lower-cased Latin-1 text: letters, numbers and white space
+# of that range written out.  Fixed values: the contractions come from the tokenizer file.
+_LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPACE = "\t-\r \x85\xa0"
+_PRETOKEN = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}{_SPACE}]+"
+)
+_SPACES = re.compile("[\t-\r ]+")
+_memo: dict[str, bytes] = {}
+
+
+@functools.cache
+def _pretoken_ends(path: str) -> np.ndarray:
+    """By id: whether the token ends a pre-token."""
+    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return ends
+
+
+def _parts(text: str) -> list[str]:
+    """Parts whose ids, one after the other, are the text's ids.
+
+    For text in Latin-1 these are the tokenizer's pre-tokens; its normalizer
+    only lower-cases there.  Other text, and text that spells a special token,
+    is cut at ASCII white space, which the tokenizer drops and never merges
+    across; those parts are marked by a leading blank.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        plain = False
+    else:
+        plain = "<|" not in text
+    if plain:
+        return _PRETOKEN.findall(text.lower())
+    return [f" {w}" for w in _SPACES.split(text) if w]
 
 
-def encode_texts(path: str, texts: list[str], dtype: str) -> list[np.ndarray]:
-    """Ids of each text by the tokenizer file at ``path``.
+def encode_texts(path: str, texts: list[str], dtype: str) -> list[bytes]:
+    """Ids of each text by the tokenizer file at ``path``, as little-endian bytes.
 
-    The tokenizer drops white space and never merges across it, so a text's
-    ids are those of its white-space separated parts.  Parts already seen by
-    this worker come from a memo that is cleared when it is full.
+    Parts already seen by this worker come from a memo that is cleared when it is full.
     """
-    parts = [t.split() if not _SEPARATORS.search(t) else _SPACES.split(t.strip(_STRIP)) for t in texts]
-    fresh = list({w for p in parts for w in p if w not in _words})
-    if len(_words) + len(fresh) > CACHE_WORDS:
-        _words.clear()
-        fresh = list({w for p in parts for w in p})
-    tokenizer = _tokenizer(path)
-    for at in range(0, len(fresh), 10_000):
-        chunk = fresh[at : at + 10_000]
+    parts = [_parts(t) for t in texts]
+    fresh = {w for p in parts for w in p if w not in _memo}
+    if len(_memo) + len(fresh) > CACHE_PARTS:
+        _memo.clear()
+        fresh = {w for p in parts for w in p}
+    _learn(path, sorted(fresh), dtype)
+    return [b"".join(map(_memo.__getitem__, p)) for p in parts]
+
+
+def _learn(path: str, fresh: list[str], dtype: str) -> None:
+    """Encode new parts: pre-tokens many at a time, told apart by their end tokens."""
+    tokenizer, ends = _tokenizer(path), _pretoken_ends(path)
+    whole = [w for w in fresh if w[0] == " "]
+    single = [w for w in fresh if w[0] != " "]
+    for at in range(0, len(single), 2_000):
+        chunk = single[at : at + 2_000]
+        ids = np.array(tokenizer.encode(" ".join(chunk), add_special_tokens=False).ids, np.int64)
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) != len(chunk) or stops[-1] != len(ids):
+            whole += [w for w in chunk]
+            continue
+        raw, size = ids.astype(dtype).tobytes(), np.dtype(dtype).itemsize
+        edges = [0, *(stops * size).tolist()]
+        _memo.update((w, raw[s:e]) for w, s, e in zip(chunk, edges, edges[1:], strict=False))
+    for at in range(0, len(whole), 10_000):
+        chunk = whole[at : at + 10_000]
         for word, code in zip(chunk, tokenizer.encode_batch(chunk, add_special_tokens=False), strict=True):
-            _words[word] = np.array(code.ids, dtype)
-    none = np.zeros(0, dtype)
-    return [np.concatenate([_words[w] for w in p]) if p else none for p in parts]
+            _memo[word] = np.array(code.ids, dtype).tobytes()
 
 
 FILE_SCHEMA = (
@@ -172,8 +219,8 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        tail = np.array([end_id], dtype)
-        runs: list[np.ndarray] = []
+        tail = np.array([end_id], dtype).tobytes()
+        runs: list[bytes] = []
         doc_ids: list[int | None] = []
         ends: list[int] = []
         total = row = 0
@@ -184,7 +231,7 @@ def write_token_files(
                 "part": pa.array([part], pa.int32()),
                 "row": pa.array([row], pa.int32()),
                 "id_bytes": pa.array([4 if wide else 2], pa.int32()),
-                "ids": pa.array([np.concatenate(runs).tobytes()], pa.binary()),
+                "ids": pa.array([b"".join(runs)], pa.binary()),
                 "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
                 "n_ids": pa.array([total], pa.int64()),
                 "n_docs": pa.array([len(ends)], pa.int64()),
@@ -199,11 +246,12 @@ def write_token_files(
             for doc, ids in zip(
                 batch.column("doc_id").to_pylist(), encode_texts(tokenizer_path, texts, dtype), strict=True
             ):
-                if ends and total + len(ids) + 1 > row_ids:
+                n = len(ids) // len(tail) + 1
+                if ends and total + n > row_ids:
                     yield close()
                     runs, doc_ids, ends, total, row = [], [], [], 0, row + 1
                 runs += [ids, tail]
-                total += len(ids) + 1
+                total += n
                 ends.append(total)
                 doc_ids.append(doc)
         if ends:
