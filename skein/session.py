@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,27 +32,50 @@ def build_session(
         builder = builder.master(master)
     for key, value in {**REQUIRED_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set what the library relies on in a session somebody else built."""
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once a context: Python functions are pickled by name.
+
+    The archive is built on the driver; Spark's file server hands it out.
+    """
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(package)
+    if any(os.path.basename(f) == f"{name}.zip" for f in context._python_includes):
+        return spark
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for folder, _, files in os.walk(package):
+            for file in sorted(files):
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    bundle.write(path, os.path.join(name, os.path.relpath(path, package)))
+    context.addPyFile(archive)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for cut lineage and stream checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only when that is unset
-    (tests, a laptop) does a temporary folder stand in for it.
+    A cluster names it in ``spark.checkpoint.dir``.  Only on a local master
+    (tests, a laptop) does a temporary folder stand in where that is unset.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="skein-checkpoint-")
         spark.sparkContext.setCheckpointDir(current)
     return current
