@@ -140,6 +140,8 @@ def _gather(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 
 def window_minimum(data: np.ndarray, starts: np.ndarray, group: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
     """For each window: the least ``value`` among windows of its group with the same bytes."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
     prefix = prefix_hashes(data)
     order = suffix_merge_sort(data, prefix, starts, group, size)
     s, g = starts[order], group[order]
@@ -233,6 +235,8 @@ def _unpacked(table: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
 
 def _split_rows(*keys: np.ndarray) -> Iterator[np.ndarray]:
     """Positions of equal keys, a group at a time."""
+    if not len(keys[0]):
+        return
     order = np.lexsort(keys)
     fresh = np.zeros(len(order), bool)
     fresh[:1] = True
