@@ -121,7 +121,7 @@ def find_licenses(
     spots = F.filter(
         F.transform(h, lambda x, i: F.when(x.isin(hashes), i)), lambda i: i.isNotNull()
     )
-    shingled = shingled.withColumn("spots", spots).filter(F.size("spots") > 0)
+    shingled = shingled.withColumn("spots", spots)
     # Every window that covers a spot: two of them, but at the ends of the text.
     last = F.greatest(F.ceil((F.size("hashes") - WINDOW) / STEP), F.lit(0)).cast("int")
     near = F.array_distinct(
@@ -135,7 +135,9 @@ def find_licenses(
             )
         )
     )
-    windows = shingled.withColumn("k", F.explode(near)).withColumn("at", F.col("k") * STEP)
+    # The outer form: a filter on the array would be pushed down and split the words anew for each.
+    windows = shingled.withColumn("k", F.explode_outer(near)).filter("k is not null")
+    windows = windows.withColumn("at", F.col("k") * STEP)
     around = F.greatest(F.col("at") - reach, F.lit(0))
     windows = windows.select(
         "doc_id",
