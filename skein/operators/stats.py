@@ -84,8 +84,8 @@ def crawl_summary(log: DataFrame) -> DataFrame:
 
 
 def recent_errors(log: DataFrame, keep: int = RECENT_ERRORS) -> DataFrame:
-    """The last ``keep`` failures, oldest first."""
-    last = log.filter(F.col("status") == "error").orderBy(F.desc("at_s"), F.desc("seq")).limit(keep)
+    """The last ``keep`` internal failures (not what a feed's server answered), oldest first."""
+    last = log.filter(F.col("status") == "internal").orderBy(F.desc("at_s"), F.desc("seq")).limit(keep)
     return last.orderBy("at_s", "seq")
 
 

@@ -346,14 +346,14 @@ def _(fx):
     return stats.crawl_summary(fx.log)
 
 
-@query("recent_errors", "SELECT * FROM fx_log WHERE status = 'error' ORDER BY at_s DESC, seq DESC LIMIT 50")
+@query("recent_errors", "SELECT * FROM fx_log WHERE status = 'internal' ORDER BY at_s DESC, seq DESC LIMIT 50")
 def _(fx):
     return stats.recent_errors(fx.log)
 
 
 @query(
     "recent_errors_of_subscribed",
-    f"""SELECT * FROM (SELECT * FROM fx_log WHERE status = 'error' ORDER BY at_s DESC, seq DESC LIMIT 50) t
+    f"""SELECT * FROM (SELECT * FROM fx_log WHERE status = 'internal' ORDER BY at_s DESC, seq DESC LIMIT 50) t
 WHERE feed_id IN (SELECT feed_id FROM fx_subs WHERE user_id = {USER})""",
 )
 def _(fx):
@@ -366,7 +366,7 @@ def _(fx):
 UNION ALL SELECT 'feeds_erroring', feeds_erroring FROM ({_STATS}) s WHERE user_id = {USER}
 UNION ALL SELECT 'entries_unread', entries_unread FROM ({_STATS}) s WHERE user_id = {USER}
 UNION ALL SELECT 'queue_depth', count(*) FROM fx_feeds WHERE next_fetch_at <= {NOW} AND error_count < 20
-UNION ALL SELECT 'crawler_internal_errors_recent', least(50, (SELECT count(*) FROM fx_log WHERE status = 'error'))""",
+UNION ALL SELECT 'crawler_internal_errors_recent', least(50, (SELECT count(*) FROM fx_log WHERE status = 'internal'))""",
 )
 def _(fx):
     mine = stats.user_stats(fx.counted_subs().filter(F.col("user_id") == USER), fx.feeds)

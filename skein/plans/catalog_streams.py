@@ -39,10 +39,6 @@ def interval_events(events):
     )
 
 
-def quota_calls(events):
-    return events.selectExpr("CAST(user_id AS STRING) AS key", "event_id AS seq", "event_id * 60 AS at_s")
-
-
 def page_versions(pages):
     keys = F.regexp_extract_all("html", F.lit(BLOCKS), F.lit(0))
     return pages.select(F.expr(HOST).alias("source"), F.col("page_id").alias("version"), keys.alias("keys"))
@@ -87,19 +83,6 @@ def _(fx):
     return run_to_files(keyed.chained_intervals(interval_events(stream_of(fx, "events"))), "intervals")
 
 
-@query("stream_action_quota")
-def _(fx):
-    return run_to_files(keyed.action_quota(quota_calls(stream_of(fx, "events")), 3, 36000), "quota")
-
-
-@query("stream_robots_cache")
-def _(fx):
-    requests = stream_of(fx, "pages").selectExpr(
-        "regexp_extract(url, '^[a-z]+://[^/?#]+', 0) AS origin", "page_id AS seq", "page_id * 3600 AS at_s"
-    )
-    return run_to_files(keyed.robots_fetches(requests), "robots")
-
-
 @query("stream_item_dedup")
 def _(fx):
     items = stream_of(fx, "events").selectExpr(

@@ -78,7 +78,8 @@ FROM (SELECT item_id, item_id % 15 AS user_id,
 GROUP BY user_id, word""",
     "fx_log": """
 SELECT event_id AS seq, event_id % 19 AS feed_id, 1704067200 + event_id * 60 AS at_s, value / 8 AS duration_s,
-  CASE event_type WHEN 'purchase' THEN 'not_modified' WHEN 'error' THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN event_type = 'purchase' THEN 'not_modified' WHEN event_type = 'error' AND event_id % 5 = 2 THEN 'internal'
+       WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
   CASE WHEN event_type IN ('view', 'signup') THEN event_id % 4 ELSE 0 END AS new_entries
 FROM events""",
     "fx_snapshots": """
@@ -93,12 +94,11 @@ FROM fx_feeds WHERE id % 4 = 1""",
 SELECT CAST(substr(source, 4) AS BIGINT) AS feed_id, doc_id * 2 + k AS pos,
   concat(CASE WHEN doc_id % 3 = 0 THEN 'g' ELSE 'n' END, CAST(doc_id AS STRING)) AS guid,
   concat('https://', source, '.example.com/b/', CAST(doc_id AS STRING)) AS url,
-  concat('v', CAST(k AS STRING), ' ', substr(text, 10, 40)) AS title,
-  concat('Writer ', CAST(doc_id % 4 AS STRING)) AS author, substr(text, 1, 400) AS body,
+  concat('v', CAST(k AS STRING), ' of ', CAST(doc_id AS STRING), ' in ', lang) AS title,
+  concat('Writer ', CAST(doc_id % 4 AS STRING)) AS author, text AS body,
   {NOW} - doc_id * 37 - k AS published_at, {NOW} - doc_id * 37 + k AS updated_at,
   CAST(substr(source, 4) AS BIGINT) % 5 = 0 AS date_missing
-FROM documents JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) c ON k = 0 OR doc_id % 6 < 2
-WHERE doc_id % 7 < 4""",
+FROM (SELECT d.*, 0 AS k FROM documents d UNION ALL SELECT d.*, 1 AS k FROM documents d WHERE doc_id % 6 < 2) c""",
     "fx_outcomes": f"""
 SELECT feed_id, status, CAST(new_entries AS BIGINT) AS new_entries, retry_after, error, title, site_url, new_feed_url, etag,
   CAST(NULL AS STRING) AS last_modified, CAST(NULL AS STRING) AS body_hash, http_status

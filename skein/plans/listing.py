@@ -11,7 +11,7 @@ from skein.operators import listing
 from skein.operators.robots import robots_allowed
 from skein.plans.fulltext import listing_articles
 from skein.session import cut_lineage
-from skein.sources.listing import SELECTORS, candidates, listing_matches
+from skein.sources.listing import candidates, listing_matches
 
 OK_STATUS = 200
 
@@ -71,23 +71,42 @@ def listing_round(
         )
     )
     imported = outcome.filter("imported")
-    with_page = imported.filter(F.col("_wanted") & F.col("article_id").isNotNull())
+    imported = imported.withColumn("_page", F.when(F.col("_wanted"), F.col("article_id")))
+    # An article that several listings link is extracted once; what a listing says itself comes first.
+    wanted = imported.filter(F.col("_page").isNotNull()).groupBy("_page").agg(
+        F.min("source").alias("feed_id"), F.min("url").alias("_url")
+    )
+    nothing = F.lit(None).cast("string")
     texts = listing_articles(
-        with_page.select(F.col("article_id").alias("page_id"), "url", "title", "summary", "published_at"),
-        articles.join(with_page.select("article_id", F.col("source").alias("feed_id")), "article_id").select(
+        wanted.select(
+            F.col("_page").alias("page_id"),
+            F.col("_url").alias("url"),
+            nothing.alias("title"),
+            nothing.alias("summary"),
+            F.lit(None).cast("bigint").alias("published_at"),
+        ),
+        articles.join(wanted.select(F.col("_page").alias("article_id"), "feed_id"), "article_id").select(
             F.col("article_id").alias("page_id"), "feed_id", "url", "html"
         ),
         now,
-    ).select("url", F.col("title").alias("_title"), F.col("body").alias("_body"), F.col("published_at").alias("_at"))
-    entries = imported.join(texts, "url", "left").select(
+    ).select(
+        F.col("page_id").alias("_page"),
+        F.col("title").alias("_title"),
+        F.col("body").alias("_body"),
+        F.col("published_at").alias("_at"),
+    )
+    entries = imported.join(texts, "_page", "left").select(
         "source",
         "pos",
         F.col("url").alias("guid"),
         "url",
-        F.coalesce("_title", "title").alias("title"),
+        F.when(F.col("_title").isNull(), F.col("title"))
+        .otherwise(F.coalesce(F.nullif("title", F.lit("")), "_title"))
+        .alias("title"),
         F.coalesce("_body", "summary").alias("body"),
-        F.coalesce("_at", "published_at", F.lit(now)).cast("bigint").alias("published_at"),
+        F.coalesce("published_at", "_at", F.lit(now)).cast("bigint").alias("published_at"),
     )
+    imported = imported.drop("_page")
 
     resync = decisions.filter(F.col("decision") == "resync").select("source")
     sealed = found.join(resync, "source", "left_semi")
@@ -107,11 +126,3 @@ def listing_round(
     )
     return ListingRound(entries, resynced, decisions)
 
-
-def missing_selectors(sources: DataFrame) -> DataFrame:
-    """Fill selector columns a source table lacks with nulls."""
-    out = sources
-    for name in SELECTORS:
-        if name not in out.columns:
-            out = out.withColumn(name, F.lit(None).cast("string"))
-    return out

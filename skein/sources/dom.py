@@ -8,6 +8,7 @@ windows, and everything after this module is relational.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -218,8 +219,10 @@ def dom_rows(pages: DataFrame, signed: bool = False) -> DataFrame:
 DIGEST_SCHEMA = "page_id {id}, pos int, end int, depth int, sig string, text_len int, link_len int"
 
 
-def _short_hash(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+def _signature(*facts: object) -> str:
+    """128-bit hash of a nested tuple in its JSON form, which tells strings, lists and their ends apart."""
+    spelled = json.dumps(facts, ensure_ascii=True)
+    return hashlib.blake2b(spelled.encode("ascii"), digest_size=16).hexdigest()
 
 
 def _digests(root: Node) -> dict[int, tuple[str, int, int]]:
@@ -228,14 +231,13 @@ def _digests(root: Node) -> dict[int, tuple[str, int, int]]:
     for n, _ in sorted(walk(root), key=lambda item: -item[0].pos):
         if n.tag == TEXT:
             text = normalize(n.text)
-            out[n.pos] = (_short_hash(text), len(text), 0)
+            out[n.pos] = (_signature("text", text), len(text), 0)
             continue
-        parts = [out[c.pos] for c in n.children]
-        length = sum(p[1] for p in parts)
-        links = length if n.tag == "a" else sum(p[2] for p in parts)
-        attrs = "\0".join(sorted(f"{k}={v}" for k, v in n.attrs))
-        shape = "".join(["\0" + p[0] for p in parts])
-        out[n.pos] = (_short_hash(f"{n.tag}\0{attrs}{shape}"), length, links)
+        below = [out[c.pos] for c in n.children]
+        length = sum(size for _, size, _ in below)
+        links = length if n.tag == "a" else sum(linked for _, _, linked in below)
+        attributes = dict(sorted(n.attrs))
+        out[n.pos] = (_signature("element", n.tag, attributes, [sig for sig, _, _ in below]), length, links)
     return out
 
 

@@ -7,6 +7,7 @@ import json
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from html.entities import html5
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
@@ -32,6 +33,8 @@ _FIELDS = _COLUMNS[5:13]
 # Namespaces of the extensions that carry item fields.
 _DC = "{http://purl.org/dc/elements/1.1/}"
 _CONTENT = "{http://purl.org/rss/1.0/modules/content/}encoded"
+_NAMED_ENTITY = re.compile(r"&([A-Za-z][A-Za-z0-9]*);")
+_BARE_AMPERSAND = re.compile(r"&(?!#[0-9]+;|#x[0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*;)")
 _RFC822_NAME = re.compile(r"\(([^)]+)\)\s*$")
 
 
@@ -112,13 +115,32 @@ def _json_item(item: dict) -> tuple:
     )
 
 
+def _xml_root(document: str) -> ET.Element:
+    """The root element; a document that fails is read again with HTML entities and bare ampersands mended."""
+    try:
+        return ET.fromstring(document)
+    except ET.ParseError:
+        return ET.fromstring(_BARE_AMPERSAND.sub("&amp;", _NAMED_ENTITY.sub(_numeric, document)))
+
+
+def _numeric(entity: re.Match[str]) -> str:
+    spelled = html5.get(f"{entity[1]};")
+    if entity[1] in ("amp", "lt", "gt", "quot", "apos") or spelled is None:
+        return entity[0]
+    return "".join(f"&#{ord(c)};" for c in spelled)
+
+
+def _as_text(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else str(value)
+
+
 def _read_feed(body: bytes) -> tuple[str, str, list[tuple]]:
     """(title, link, items) of an RSS, Atom or JSON feed, items in feed order."""
     if body.lstrip()[:1] == b"{":
         doc = json.loads(body)
         items = [_json_item(i) for i in doc.get("items") or [] if isinstance(i, dict)]
         return doc.get("title") or "", doc.get("home_page_url") or "", items
-    root = ET.fromstring(sniff_xml(body))
+    root = _xml_root(sniff_xml(body))
     kind = _local(root)
     if kind == "feed":
         entries = [c for c in root if _local(c) == "entry"]
@@ -141,11 +163,15 @@ def feed_items(fetched: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for feed, url, body in zip(batch["feed_id"], batch["feed_url"], batch["body"], strict=True):
                 try:
-                    title, link, found = _read_feed(bytes(body))
-                except (ET.ParseError, LookupError, ValueError, AttributeError) as err:
-                    out.append((feed, url, None, None, None, *[None] * len(_FIELDS), str(err)))
+                    title, link, found = _read_feed(bytes(body or b""))
+                except Exception as err:  # one hostile response is one error row
+                    out.append((feed, url, None, None, None, *[None] * len(_FIELDS), str(err) or type(err).__name__))
                     continue
-                out += [(feed, url, i, title, link, *item, None) for i, item in enumerate(found[:MAX_ITEMS])]
+                title, link = _as_text(title), _as_text(link)
+                out += [
+                    (feed, url, i, title, link, *map(_as_text, item[:-2]), *item[-2:], None)
+                    for i, item in enumerate(found[:MAX_ITEMS])
+                ]
                 if not found:
                     out.append((feed, url, None, title, link, *[None] * len(_FIELDS), None))
             frame = pd.DataFrame(out, columns=_COLUMNS)

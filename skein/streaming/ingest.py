@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.plans.ingest import ingest_round
+from skein.session import cut_lineage
 from skein.sources.tablestore import LAYOUT, TableStore
 
 CHANGED = ("feeds", "entries", "state", "subscriptions")
 
 
-def latest_response(fetched: DataFrame) -> DataFrame:
-    """One response per feed of a micro-batch: the last by ``at_s``."""
-    last = F.max_by(F.struct(*[c for c in fetched.columns if c != "feed_id"]), "at_s")
-    return fetched.groupBy("feed_id").agg(last.alias("_r")).select("feed_id", "_r.*")
+def response_turns(fetched: DataFrame) -> list[DataFrame]:
+    """All responses of a micro-batch as rounds of one response a feed, each feed's in order of ``at_s``.
+
+    There are as many rounds as the busiest feed has responses in the batch;
+    equal times are ordered by the other columns.
+    """
+    others = [c for c in fetched.columns if c not in ("feed_id", "at_s")]
+    order = Window.partitionBy("feed_id").orderBy("at_s", F.xxhash64(*others))
+    turned = cut_lineage(fetched.withColumn("_turn", F.row_number().over(order)))
+    last = turned.agg(F.max("_turn")).first()[0] or 0
+    return [turned.filter(F.col("_turn") == t).drop("_turn") for t in range(1, last + 1)]
 
 
 def ingest_handler(store: TableStore, clock: Callable[[DataFrame], int]) -> Callable[[DataFrame, int], None]:
@@ -30,9 +38,11 @@ def ingest_handler(store: TableStore, clock: Callable[[DataFrame], int]) -> Call
         done = store.current()["batch"]
         if done is not None and batch_id <= done:
             return
-        tables = store.read_all()
-        out = ingest_round(tables, latest_response(fetched), clock(fetched))
-        store.publish({name: out[name] for name in CHANGED}, batch=batch_id, layout=LAYOUT)
+        tables, now = store.read_all(), clock(fetched)
+        for responses in response_turns(fetched):
+            out = ingest_round(tables, responses, now)
+            tables |= {name: cut_lineage(out[name]) for name in CHANGED}
+        store.publish({name: tables[name] for name in CHANGED}, batch=batch_id, layout=LAYOUT)
 
     return handle
 

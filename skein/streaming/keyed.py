@@ -77,72 +77,6 @@ def chained_intervals(log: DataFrame) -> DataFrame:
     return apply_state(log, "feed_id", IntervalProcessor(), INTERVAL_SCHEMA)
 
 
-# ------------------------------------------------------------------ action quotas
-
-QUOTA_SCHEMA = "key string, seq bigint, at_s bigint, allowed boolean"
-
-
-class QuotaProcessor(StatefulProcessor):
-    """Fixed windows that start at a key's first call; refused calls do not count."""
-
-    def __init__(self, limit: int, window_s: int) -> None:
-        self.limit, self.window_s = limit, window_s
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "start bigint, count bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start, count = self.state.get() if self.state.exists() else (None, 0)
-        out = []
-        for r in _ordered(rows, "at_s", "seq"):
-            if start is None or r.at_s - start > self.window_s:
-                start, count = int(r.at_s), 0
-            allowed = self.limit <= 0 or count < self.limit
-            count += allowed and self.limit > 0
-            out.append((key[0], r.seq, r.at_s, bool(allowed)))
-        self.state.update((int(start), int(count)))
-        yield pd.DataFrame(out, columns=["key", "seq", "at_s", "allowed"])
-
-    def close(self) -> None:
-        pass
-
-
-def action_quota(calls: DataFrame, limit: int, window_s: int) -> DataFrame:
-    """``calls``: (key, seq, at_s).  A limit of 0 or less allows everything."""
-    return apply_state(calls, "key", QuotaProcessor(limit, window_s), QUOTA_SCHEMA)
-
-
-# ------------------------------------------------------------------ expiring cache
-
-CACHE_SCHEMA = "origin string, seq bigint, at_s bigint, must_fetch boolean"
-ROBOTS_TTL = 24 * 3600
-
-
-class CacheProcessor(StatefulProcessor):
-    """Whether a robots file must be fetched again or a copy under 24 h old exists."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fetched", "at_s bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get()[0] if self.state.exists() else None
-        out = []
-        for r in _ordered(rows, "at_s", "seq"):
-            stale = held is None or r.at_s >= held + ROBOTS_TTL
-            held = int(r.at_s) if stale else held
-            out.append((key[0], r.seq, r.at_s, stale))
-        self.state.update((held,))
-        yield pd.DataFrame(out, columns=["origin", "seq", "at_s", "must_fetch"])
-
-    def close(self) -> None:
-        pass
-
-
-def robots_fetches(requests: DataFrame) -> DataFrame:
-    """``requests``: (origin, seq, at_s)."""
-    return apply_state(requests, "origin", CacheProcessor(), CACHE_SCHEMA)
-
-
 # ------------------------------------------------------------------ watched pages
 
 WATCH_SCHEMA = "source string, version bigint, decision string, guid string, n_added int, n_removed int"

@@ -1,4 +1,4 @@
-"""HTML to rows to blocks, articles, candidates and suggestions."""
+"""HTML to rows to blocks, articles and candidates."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import blocks, boilerplate, config, pagedom, robots
 from skein.plans.fulltext import article_texts
-from skein.sources import dom, opml, suggest
+from skein.sources import dom, opml
 from skein.sources import listing as listing_source
 
 NOW = 1_704_067_200
@@ -223,23 +223,6 @@ def test_config_checks(rows):
     assert got[2] is None and all(got[i] for i in (1, 3, 4, 5, 6))
 
 
-def test_suggested_selectors(pages, rows):
-    p = pages(
-        '<body><div class=nav><a>1</a><a>2</a></div><div id=main><ul class="list 1a2b3c4d">'
-        + "".join(f'<li class="card"><h3>T{i}</h3><p>s</p></li>' for i in range(4))
-        + "</ul></div></body>"
-    )
-    elements = pagedom.inspect_elements(dom.dom_rows(p)).cache()
-    h3 = elements.filter("tag = 'h3'").agg(F.min("id").alias("clicked_id")).first().clicked_id
-    clicks = rows("page_id bigint, clicked_id int", [(0, h3)])
-    got = suggest.suggest_items(elements, clicks).orderBy("rank").collect()
-    # The generated-looking class is left out of the container's selector.
-    assert got[0].match_count == 4 and got[0].selector == "ul.list > li.card" and got[0].from_siblings
-    item = elements.filter("tag = 'li'").agg(F.min("id").alias("i")).first().i
-    title = suggest.suggest_titles(elements, rows("page_id bigint, item_id int, clicked_id int", [(0, item, h3)])).first()
-    assert (title.selector, title.match_count) == ("h3", 1)
-
-
 def test_opml_round_trip(rows, as_set):
     doc = """<?xml version="1.0" encoding="Shift_JIS"?><opml version="1.0"><body><outline text="外"><outline title="内">
       <outline title="A &amp; B" xmlUrl="https://a/rss" htmlUrl="https://a/"/></outline><outline text="C" xmlUrl="https://c/rss"/></outline>

@@ -78,24 +78,6 @@ def test_interval_step_equals_the_column_form(spark, rows):
         assert keyed.next_interval(r.cur, r.errors, r.status, r.n, r.retry, r.jitter)[0] == r.v, r
 
 
-def test_action_quota(arriving, events):
-    calls = cs.quota_calls(events)
-    got = {r.seq: r.allowed for r in run_to_files(keyed.action_quota(arriving(calls, "seq"), 3, 20000), "t").collect()}
-    windows, want = {}, {}
-    for r in calls.orderBy("at_s", "seq").collect():
-        start, n = windows.get(r.key, (r.at_s, 0))
-        if r.at_s - start > 20000:
-            start, n = r.at_s, 0
-        want[r.seq] = n < 3
-        windows[r.key] = (start, n + (n < 3))
-    assert got == want and 0 < sum(want.values()) < len(want)
-
-
-def test_action_quota_off(arriving, events):
-    out = run_to_files(keyed.action_quota(arriving(cs.quota_calls(events), "seq"), 0, 10), "t")
-    assert out.filter("NOT allowed").count() == 0
-
-
 def test_page_watch(arriving, pages):
     versions = cs.page_versions(pages)
     got = {(r.source, r.version): (r.decision, r.n_added, r.n_removed) for r in run_to_files(keyed.watch_versions(arriving(versions, "version")), "t").collect()}
