@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from skein.plans.fixtures import StoredFixtures
 from skein.plans.registry import load_all
-from skein.session import build_session, shared_dir
+from skein.session import PARSE_PARTITIONS, build_session, shared_dir
 from skein.sources.tablestore import TableStore
 
 HEADLINE = [
@@ -56,6 +56,7 @@ def main() -> None:
         {
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
+            PARSE_PARTITIONS: cpus,
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

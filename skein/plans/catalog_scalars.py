@@ -86,9 +86,9 @@ def _(fx):
     return fx.raw("pages").select("page_id", urls.favicon_url(F.col("url")).alias("favicon"))
 
 
-@query("robots_product_token", "SELECT doc_id, regexp_extract(substr(text, 5, 60), '^[^/ ]*', 0) AS token FROM documents")
+@query("robots_product_token", "SELECT doc_id, regexp_extract(text, '^[^/ ]*', 0) AS token FROM documents")
 def _(fx):
-    return fx.raw("documents").select("doc_id", urls.product_token(F.expr("substr(text, 5, 60)")).alias("token"))
+    return fx.raw("documents").select("doc_id", urls.product_token(F.col("text")).alias("token"))
 
 
 # ---------------------------------------------------------------- text

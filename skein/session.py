@@ -90,18 +90,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SPREAD_BYTES_PER_SLOT = 8 << 20
+#: Setting with the partition count for per-row Python work over few large files.
+PARSE_PARTITIONS = "spark.skein.parse.partitions"
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a small input to per-row Python work enough partitions.
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to as many partitions as PARSE_PARTITIONS says; as it is where that is unset.
 
-    A file of one row group is one task however many cores wait.  Inputs that
-    the planner's size estimate puts above a few MiB per slot already have
-    enough splits and are not shuffled.
+    A file of one row group is one task however many cores wait.  Inputs of
+    many splits need no shuffle, so nothing is dealt out unless asked for.
     """
-    if df.isStreaming:
-        return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(slots) if estimate < slots * SPREAD_BYTES_PER_SLOT else df
+    partitions = None if df.isStreaming else df.sparkSession.conf.get(PARSE_PARTITIONS, None)
+    return df.repartition(int(partitions)) if partitions else df

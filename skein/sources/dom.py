@@ -17,7 +17,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from skein.session import spread_small
+from skein.session import spread
 
 # Elements without content.
 VOID_TAGS = frozenset(
@@ -213,7 +213,7 @@ def dom_rows(pages: DataFrame, signed: bool = False) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=columns)
 
-    return spread_small(pages.select("page_id", "html")).mapInPandas(explode, schema)
+    return spread(pages.select("page_id", "html")).mapInPandas(explode, schema)
 
 
 DIGEST_SCHEMA = "page_id {id}, pos int, end int, depth int, sig string, text_len int, link_len int"
@@ -266,7 +266,7 @@ def digest_rows(pages: DataFrame, max_depth: int, min_text: int) -> DataFrame:
                 out += [(page, *row) for row in _candidates(html or "", max_depth, min_text)]
             yield pd.DataFrame(out, columns=columns)
 
-    return spread_small(pages.select("page_id", "html")).mapInPandas(
+    return spread(pages.select("page_id", "html")).mapInPandas(
         explode, DIGEST_SCHEMA.format(id=dict(pages.dtypes)["page_id"])
     )
 

@@ -18,7 +18,7 @@ from skein.functions.dates import published_or_now
 from skein.functions.items import blank, entry_guid, raw_body
 from skein.functions.text import trim_space, truncate_utf8
 from skein.functions.urls import resolve_url
-from skein.session import spread_small
+from skein.session import spread
 from skein.sources.charset import sniff_xml
 from skein.sources.sanitize import sanitize_html
 
@@ -177,7 +177,7 @@ def feed_items(fetched: DataFrame) -> DataFrame:
             frame = pd.DataFrame(out, columns=_COLUMNS)
             yield frame.astype({"pos": "Int32", "published": "Int64", "updated": "Int64"})
 
-    return spread_small(fetched.select("feed_id", "feed_url", "body")).mapInPandas(explode, ITEM_SCHEMA)
+    return spread(fetched.select("feed_id", "feed_url", "body")).mapInPandas(explode, ITEM_SCHEMA)
 
 
 def feed_headers(items: DataFrame) -> DataFrame:

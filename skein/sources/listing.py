@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skein.functions.dates import flexible_date
 from skein.functions.urls import absolutize, candidate_url
 from skein.operators.listing import MAX_CANDIDATES, first_per_url
-from skein.session import spread_small
+from skein.session import spread
 from skein.sources.dom import TEXT, Node, normalize, parse, text_of, walk
 
 MAX_SELECTOR_CHARS = 200
@@ -209,7 +209,7 @@ def listing_matches(pages: DataFrame) -> DataFrame:
                 out += _page_matches(row.page_id, row.html or "", [getattr(row, s) for s in SELECTORS])
             yield pd.DataFrame(out, columns=_MATCH_COLUMNS).astype({"pos": "Int32"})
 
-    return spread_small(pages.select("page_id", "html", *SELECTORS)).mapInPandas(
+    return spread(pages.select("page_id", "html", *SELECTORS)).mapInPandas(
         explode, MATCH_SCHEMA.format(id=dict(pages.dtypes)["page_id"])
     )
 
