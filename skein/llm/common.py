@@ -30,10 +30,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame,
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """``mapInArrow`` over batches bounded by bytes, not by rows alone."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return df.mapInArrow(run, schema)
 
 

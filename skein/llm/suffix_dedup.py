@@ -172,13 +172,7 @@ def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return edge[np.concatenate([[0], cut])], edge[np.concatenate([cut - 1, [len(edge) - 1]])]
 
 
-def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, bytes]]]:
-    """Arrays as bytes, split by bucket."""
-    for pick in _split_rows(bucket):
-        yield int(bucket[pick[0]]), {k: v[pick].tobytes() for k, v in columns.items()}
-
-
-_STAGE_A = "bucket int, hash binary, doc binary, row binary, first binary, offset binary, count binary"
+_STAGE_A = "bucket int, hash binary, at binary, first binary, offset binary, count binary, docs binary, rows binary"
 _SHARED = "row bigint, doc bigint, first binary, offset binary, count binary, hash binary"
 _STRETCH = "bucket int, hash binary, doc binary, row binary, first binary, offset binary, count binary, bytes binary, done binary"
 _GONE = "row bigint, doc bigint, start binary, end binary"
@@ -214,19 +208,30 @@ def _find_anchors(size: int, gram: int, buckets: int) -> Callable:
                 local = first - (offsets[a + row] - base)
                 columns = {
                     "hash": h,
-                    "doc": ids[a + row],
-                    "row": keys[a + row],
-                    "first": local.astype(np.uint32),
+                    "first": local.astype("<u4"),
                     "offset": (place - first).astype(np.uint8),
                     "count": count.astype(np.uint8),
                 }
-                rows = [{"bucket": k} | v for k, v in _packed((h % np.uint64(buckets)).astype(np.int64), columns)]
-                yield _table(_STAGE_A, rows)
+                packed = []
+                for pick in _split_rows((h % np.uint64(buckets)).astype(np.int64)):
+                    own, at = np.unique(row[pick], return_inverse=True)  # each document once a bucket
+                    packed.append(
+                        {n: v[pick].tobytes() for n, v in columns.items()}
+                        | {
+                            "bucket": int(h[pick[0]] % np.uint64(buckets)),
+                            "at": at.astype("<u4").tobytes(),
+                            "docs": ids[a + own].tobytes(),
+                            "rows": keys[a + own].tobytes(),
+                        }
+                    )
+                yield _table(_STAGE_A, packed)
 
     return run
 
 
-_TYPES = {"hash": "<u8", "doc": "<i8", "row": "<i8", "first": "<u4", "offset": "u1", "count": "u1", "done": "u1"}
+_ENTRY = ("hash", "doc", "row", "first", "offset", "count", "done")
+_TYPES = {"hash": "<u8", "first": "<u4", "at": "<u4", "offset": "u1", "count": "u1", "done": "u1"}
+_TYPES |= dict.fromkeys(("doc", "row", "docs", "rows"), "<i8")
 
 
 def _unpacked(table: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
@@ -249,7 +254,11 @@ def _split_rows(*keys: np.ndarray) -> Iterator[np.ndarray]:
 
 def _keep_shared(table: pa.Table) -> pa.Table:
     """Of one bucket: the anchors that stand in two documents or more, packed by row."""
-    e = _unpacked(table, ("hash", "doc", "row", "first", "offset", "count"))
+    e = _unpacked(table, ("hash", "at", "first", "offset", "count", "docs", "rows"))
+    entries = [len(x) for x in table.column("count").to_pylist()]
+    known = np.array([len(x) // 8 for x in table.column("docs").to_pylist()], np.int64)
+    at = e.pop("at") + np.repeat(np.cumsum(known) - known, entries)
+    e |= {"doc": e.pop("docs")[at], "row": e.pop("rows")[at]}
     order = np.argsort(e["hash"], kind="stable")
     h, doc = e["hash"][order], e["doc"][order]
     heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else order
@@ -308,7 +317,7 @@ def _cut_stretches(size: int, buckets: int) -> Callable:
                 spread = np.repeat(starts[live] - (np.cumsum(lengths[live]) - lengths[live]), lengths[live])
                 rows.append(
                     {"bucket": int(bucket[pick[0]]), "bytes": data[spread + np.arange(len(spread))].tobytes()}
-                    | {n: e[n][pick].tobytes() for n in (*_TYPES,)}
+                    | {n: e[n][pick].tobytes() for n in _ENTRY}
                 )
             yield _table(_STRETCH, rows)
 
@@ -318,7 +327,7 @@ def _cut_stretches(size: int, buckets: int) -> Callable:
 def _decide(size: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         """Of one bucket: the removed byte ranges, packed by row."""
-        e = _unpacked(table, (*_TYPES,))
+        e = _unpacked(table, _ENTRY)
         done = e["done"] > 0
         first = e["first"].astype(np.int64)
         last = first + e["count"] - 1 + size
@@ -327,45 +336,11 @@ def _decide(size: int) -> Callable[[pa.Table], pa.Table]:
         data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
         lengths = e["count"].astype(np.int64) + size - 1
         starts = np.cumsum(lengths) - lengths
-        if len(starts):
-            order, repeats = _content_order(e, data, starts, lengths)
-            heads = np.flatnonzero(~repeats)
-            content = np.cumsum(~repeats) - 1
-            lead = order[heads]
-            # Contents whose anchor has several: window by window.
-            h = e["hash"][lead]
-            several = np.zeros(len(lead), bool)
-            several[1:] |= h[1:] == h[:-1]
-            several[:-1] |= h[1:] == h[:-1]
-            pick = np.flatnonzero(several)
-            windows = e["count"][lead[pick]].astype(np.int64)
-            owner = np.repeat(pick, windows)
-            number = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            relative = number - e["offset"][lead[owner]]
-            by = np.lexsort((relative, h[owner]))
-            key_h, key_r = h[owner][by], relative[by]
-            fresh = np.concatenate([[True], (key_h[1:] != key_h[:-1]) | (key_r[1:] != key_r[:-1])]) if len(by) else by > 0
-            least = np.zeros(len(owner), np.int64)
-            least[by] = window_minimum(
-                data, (starts[lead[owner]] + number)[by], np.cumsum(fresh), e["doc"][lead[owner]][by], size
-            )
-            # Where windows of each content begin in ``least``.
-            begin = np.full(len(lead), -1, np.int64)
-            begin[pick] = np.cumsum(windows) - windows
-            doc_lead = e["doc"][lead[content]]
-            mine = e["doc"][order]
-            later = mine > doc_lead
-            whole = order[later]
-            first = e["first"].astype(np.int64)
-            gone.append((e["row"][whole], e["doc"][whole], first[whole], first[whole] + lengths[whole]))
-            rest = np.flatnonzero(~later & (begin[content] >= 0))
-            spread_n = e["count"][order[rest]].astype(np.int64)
-            entry = np.repeat(np.arange(len(rest)), spread_n)
-            place = np.arange(spread_n.sum()) - np.repeat(np.cumsum(spread_n) - spread_n, spread_n)
-            flags = least[begin[content[rest[entry]]] + place] < mine[rest[entry]]
-            s, t = _runs(flags, entry)
-            who = order[rest[entry[s]]] if len(s) else s
-            gone.append((e["row"][who], e["doc"][who], first[who] + place[s], first[who] + place[t] + size))
+        # An anchor's stretches stay together; parts of the anchors bound the memory of the hashes.
+        parts = -(-len(data) // SLICE_BYTES)
+        for own in _split_rows((mix(e["hash"]) % np.uint64(max(1, parts))).astype(np.int64)):
+            spread = np.repeat(starts[own] - (np.cumsum(lengths[own]) - lengths[own]), lengths[own])
+            gone.append(_removed({k: v[own] for k, v in e.items()}, data[spread + np.arange(len(spread))], size))
         row, doc, start, end = (np.concatenate([g[i] for g in gone]) for i in range(4))
         rows = [
             {
@@ -381,6 +356,50 @@ def _decide(size: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _removed(e: dict[str, np.ndarray], data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(row, doc, start, end) of the ranges that smaller doc_ids take from these stretches."""
+    lengths = e["count"].astype(np.int64) + size - 1
+    starts = np.cumsum(lengths) - lengths
+    first = e["first"].astype(np.int64)
+    order, repeats = _content_order(e, data, starts, lengths)
+    content = np.cumsum(~repeats) - 1
+    lead = order[~repeats]
+    # Contents whose anchor has several: window by window.
+    h = e["hash"][lead]
+    several = np.zeros(len(lead), bool)
+    several[1:] |= h[1:] == h[:-1]
+    several[:-1] |= h[1:] == h[:-1]
+    pick = np.flatnonzero(several)
+    windows = e["count"][lead[pick]].astype(np.int64)
+    owner = np.repeat(pick, windows)
+    number = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    relative = number - e["offset"][lead[owner]]
+    by = np.lexsort((relative, h[owner]))
+    key_h, key_r = h[owner][by], relative[by]
+    fresh = np.ones(len(by), bool)
+    fresh[1:] = (key_h[1:] != key_h[:-1]) | (key_r[1:] != key_r[:-1])
+    least = np.zeros(len(owner), np.int64)
+    least[by] = window_minimum(
+        data, (starts[lead[owner]] + number)[by], np.cumsum(fresh), e["doc"][lead[owner]][by], size
+    )
+    begin = np.full(len(lead), -1, np.int64)  # where the windows of a content begin in ``least``
+    begin[pick] = np.cumsum(windows) - windows
+    mine = e["doc"][order]
+    later = mine > e["doc"][lead[content]]
+    whole = order[later]
+    rest = np.flatnonzero(~later & (begin[content] >= 0))
+    count = e["count"][order[rest]].astype(np.int64)
+    entry = np.repeat(np.arange(len(rest)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    flags = least[begin[content[rest[entry]]] + place] < mine[rest[entry]]
+    s, t = _runs(flags, entry)
+    part = order[rest[entry[s]]]
+    who = np.concatenate([whole, part])
+    start = np.concatenate([first[whole], first[part] + place[s]])
+    end = np.concatenate([first[whole] + lengths[whole], first[part] + place[t] + size])
+    return e["row"][who], e["doc"][who], start, end
+
+
 def merged_ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(start, kind="stable")
     start, top = start[order], np.maximum.accumulate(end[order]) if len(end) else end
@@ -400,12 +419,12 @@ def remove_repeats(
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
 
-    found = map_batches(base, _find_anchors(size, gram, buckets), _STAGE_A)
+    found = map_batches(base, _find_anchors(size, gram, buckets), _STAGE_A, SLICE_BYTES)
     shared = found.groupBy("bucket").applyInArrow(_keep_shared, _SHARED)
     names = ("first", "offset", "count", "hash")
     by_row = shared.groupBy("row", "doc").agg(*[F.collect_list(n).alias(n) for n in names])
     with_text = base.join(by_row, ["row", "doc"], "left")
-    stretches = map_batches(with_text, _cut_stretches(size, buckets), _STRETCH)
+    stretches = map_batches(with_text, _cut_stretches(size, buckets), _STRETCH, SLICE_BYTES)
     gone = stretches.groupBy("bucket").applyInArrow(_decide(size), _GONE)
     ranges = gone.groupBy("row", "doc").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
 
@@ -438,5 +457,5 @@ def remove_repeats(
             )
 
     schema = "doc_id bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary"
-    return map_batches(base.join(ranges, ["row", "doc"], "left"), cut, schema)
+    return map_batches(base.join(ranges, ["row", "doc"], "left"), cut, schema, SLICE_BYTES)
 
