@@ -11,9 +11,9 @@ text costs about its length plus ``m log m`` arrivals.  Registers are banded
 
 Texts with the same words are one node from the start.  A band shared by
 several nodes is a bucket.  In every round each bucket compares its members
-with a few pivots of its own, except those already in the pivot's class, by
+with a few pivots of its own, except those known to be in the pivot's class, by
 the exact similarity of their texts; pivots then leave, and a bucket whose
-members are all in one class is done.  Pivots double each round.  So every
+members are all known in one class is done.  Pivots grow each round.  So every
 pair that shares a band is either compared or already in one class: no pair is
 lost, and a bucket of many copies costs its size, not its square.
 
@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import map_batches, stored
-from skein.llm.components import connected
+from skein.llm.components import coarse_labels, connected
 from skein.llm.textbytes import find_words, mix, shingles, text_bytes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
+#: How much a bucket's pivots grow from round to round.
+GROWTH = 8
 
 
 def weighted_shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +213,7 @@ def classes(
     labels = spark.createDataFrame([], "node binary, label binary")
     step = 0
     while not active.isEmpty():
-        salt = F.pmod(F.xxhash64("key", F.lit(step)), F.lit(1 << step))
+        salt = F.pmod(F.xxhash64("key", F.lit(step)), F.lit(GROWTH**step))
         pivots = active.groupBy("band", salt.alias("salt")).agg(F.min("key").alias("pivot")).select("band", "pivot")
         pairs = (
             active.join(pivots, "band")
@@ -230,7 +232,7 @@ def classes(
         pairs = stored(pairs, "dedup")
         links = stored(links.union(_verified(pairs, texts, similarity)), "dedup")
         tested = tested.union(pairs)
-        labels = connected(links)
+        labels = coarse_labels(links)
         rest = active.join(pivots.withColumnRenamed("pivot", "key"), ["band", "key"], "left_anti")
         rest = rest.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
             "label", F.coalesce("label", "key")
@@ -239,6 +241,7 @@ def classes(
         active = stored(rest.join(mixed.select("band"), "band").select("band", "key"), "dedup")
         step += 1
 
+    labels = connected(links)
     named = signed.select("doc_id", "th", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("label", F.coalesce("label", "key"))
     heads = named.groupBy("label").agg(
