@@ -180,14 +180,14 @@ def _(fx):
 
 # ---------------------------------------------------------------- listing rows
 
-_CANDS = """(SELECT source, version, pos, concat('https://', source, '/', substr(sha256(substr(text, 1, 6)), 1, 3)) AS url, substr(text, 1, 20) AS title
+_CANDS = """(SELECT source, version, pos, concat('https://', source, '/', substr(sha256(text), 1, 16)) AS url, text AS title
   FROM fx_blocks WHERE NOT is_heading)"""
 
 
 def _candidates(fx):
-    url = F.concat(F.lit("https://"), "source", F.lit("/"), F.substring(F.sha2(F.substring("text", 1, 6), 256), 1, 3))
+    url = F.concat(F.lit("https://"), "source", F.lit("/"), F.substring(F.sha2("text", 256), 1, 16))
     return fx.blocks.filter("NOT is_heading").select(
-        "source", "version", "pos", url.alias("url"), F.substring("text", 1, 20).alias("title")
+        "source", "version", "pos", url.alias("url"), F.col("text").alias("title")
     )
 
 
@@ -306,9 +306,9 @@ def _(fx):
 
 # ---------------------------------------------------------------- boilerplate on rows
 
-# Flat subtrees: every block of a page, nav links standing in for chrome.
-_DIG = """(SELECT f.source AS feed_id, f.version, d.page_ord, f.pos, f.pos AS "end", substr(sha256(substr(f.text, 1, 4)), 1, 16) AS sig, length(f.text) AS text_len,
-  CASE WHEN f.pos % 3 = 0 THEN length(f.text) ELSE 0 END AS link_len
+# Flat subtrees: every block of a page; blocks of one length count as alike, list items as links.
+_DIG = """(SELECT f.source AS feed_id, f.version, d.page_ord, f.pos, f.pos AS "end", substr(sha256(CAST(length(f.text) AS STRING)), 1, 16) AS sig, length(f.text) AS text_len,
+  CASE WHEN f.html LIKE '<li%' THEN length(f.text) ELSE 0 END AS link_len
 FROM fx_blocks f JOIN (SELECT source, version, row_number() OVER (PARTITION BY source ORDER BY version) - 1 AS page_ord FROM (SELECT DISTINCT source, version FROM fx_blocks) v) d
   ON d.source = f.source AND d.version = f.version)"""
 
@@ -323,9 +323,9 @@ def _flat_digests(fx):
         "page_ord",
         "pos",
         F.col("pos").alias("end"),
-        F.substring(F.sha2(F.substring("text", 1, 4), 256), 1, 16).alias("sig"),
+        F.substring(F.sha2(text_len.cast("string"), 256), 1, 16).alias("sig"),
         text_len.alias("text_len"),
-        F.when(F.col("pos") % 3 == 0, text_len).otherwise(0).alias("link_len"),
+        F.when(F.col("html").startswith("<li"), text_len).otherwise(0).alias("link_len"),
     )
 
 
