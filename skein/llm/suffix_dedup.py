@@ -71,6 +71,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tupl
     return row[heads], windows[heads], count, place[heads], grams[place[heads]]
 
 
+def _anchor_hashes(data: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of the grams at ``at``, in pieces so that no prefix array spans all the data."""
+    out = np.zeros(len(at), np.uint64)
+    for piece in range(0, len(data), SLICE_BYTES):
+        own = np.flatnonzero((at >= piece) & (at < piece + SLICE_BYTES))
+        local = at[own] - piece
+        out[own] = mix(span_hashes(prefix_hashes(data[piece : piece + SLICE_BYTES + gram]), local, local + gram))
+    return out
+
+
 def common_extension(prefix: np.ndarray, x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
     """Length, at most ``limit``, of the common prefix of the suffixes at x and y, by binary search on hashes."""
     found = np.zeros(len(x), np.int64)
@@ -172,9 +182,9 @@ def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return edge[np.concatenate([[0], cut])], edge[np.concatenate([cut - 1, [len(edge) - 1]])]
 
 
-_STAGE_A = "bucket int, hash binary, at binary, first binary, offset binary, count binary, docs binary, rows binary"
-_SHARED = "row bigint, doc bigint, first binary, offset binary, count binary, hash binary"
-_STRETCH = "bucket int, hash binary, doc binary, row binary, first binary, offset binary, count binary, bytes binary, done binary"
+_STAGE_A = "bucket int, high binary, low binary, at binary, first binary, offset binary, count binary, docs binary, rows binary"
+_SHARED = "row bigint, doc bigint, first binary, offset binary, count binary"
+_STRETCH = "bucket int, doc binary, row binary, first binary, offset binary, count binary, bytes binary, done binary"
 _GONE = "row bigint, doc bigint, start binary, end binary"
 
 
@@ -206,8 +216,10 @@ def _find_anchors(size: int, gram: int, buckets: int) -> Callable:
                 if not len(row):
                     continue
                 local = first - (offsets[a + row] - base)
+                # 40 bits tell anchors of a bucket apart well enough: an accident is sorted out in step 3.
                 columns = {
-                    "hash": h,
+                    "high": (h >> np.uint64(32)).astype("<u4"),
+                    "low": (h >> np.uint64(24)).astype(np.uint8),
                     "first": local.astype("<u4"),
                     "offset": (place - first).astype(np.uint8),
                     "count": count.astype(np.uint8),
@@ -216,12 +228,12 @@ def _find_anchors(size: int, gram: int, buckets: int) -> Callable:
                 for pick in _split_rows((h % np.uint64(buckets)).astype(np.int64)):
                     own, at = np.unique(row[pick], return_inverse=True)  # each document once a bucket
                     packed.append(
-                        {n: v[pick].tobytes() for n, v in columns.items()}
+                        {n: _pack(v[pick]) for n, v in columns.items()}
                         | {
                             "bucket": int(h[pick[0]] % np.uint64(buckets)),
-                            "at": at.astype("<u4").tobytes(),
-                            "docs": ids[a + own].tobytes(),
-                            "rows": keys[a + own].tobytes(),
+                            "at": _pack(at.astype("<u4")),
+                            "docs": _pack(ids[a + own]),
+                            "rows": _pack(keys[a + own]),
                         }
                     )
                 yield _table(_STAGE_A, packed)
@@ -229,13 +241,28 @@ def _find_anchors(size: int, gram: int, buckets: int) -> Callable:
     return run
 
 
-_ENTRY = ("hash", "doc", "row", "first", "offset", "count", "done")
-_TYPES = {"hash": "<u8", "first": "<u4", "at": "<u4", "offset": "u1", "count": "u1", "done": "u1"}
-_TYPES |= dict.fromkeys(("doc", "row", "docs", "rows"), "<i8")
+_ENTRY = ("doc", "row", "first", "offset", "count", "done")
+_TYPES = {"high": "<u4", "low": "u1", "first": "<u4", "at": "<u4", "offset": "u1", "count": "u1", "done": "u1"}
+_TYPES |= dict.fromkeys(("doc", "row", "docs", "rows"), "<i8") | {"bytes": "u1"}
 
 
 def _unpacked(table: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
-    return {n: np.frombuffer(b"".join(table.column(n).to_pylist()), _TYPES[n]) for n in names}
+    none = {n: np.zeros(0, _TYPES[n]) for n in names}
+    return {n: np.concatenate([none[n], *(_unpack(x, _TYPES[n]) for x in table.column(n).to_pylist())]) for n in names}
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """An array as zstd of its byte planes, behind its size."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return values.nbytes.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, dtype: str) -> np.ndarray:
+    size, width = int.from_bytes(raw[:8], "little"), np.dtype(dtype).itemsize
+    if not size:
+        return np.zeros(0, dtype)
+    planes = pa.decompress(raw[8:], size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
 def _split_rows(*keys: np.ndarray) -> Iterator[np.ndarray]:
@@ -254,11 +281,12 @@ def _split_rows(*keys: np.ndarray) -> Iterator[np.ndarray]:
 
 def _keep_shared(table: pa.Table) -> pa.Table:
     """Of one bucket: the anchors that stand in two documents or more, packed by row."""
-    e = _unpacked(table, ("hash", "at", "first", "offset", "count", "docs", "rows"))
-    entries = [len(x) for x in table.column("count").to_pylist()]
-    known = np.array([len(x) // 8 for x in table.column("docs").to_pylist()], np.int64)
+    e = _unpacked(table, ("high", "low", "at", "first", "offset", "count", "docs", "rows"))
+    sizes = {n: [int.from_bytes(x[:8], "little") for x in table.column(n).to_pylist()] for n in ("count", "docs")}
+    entries, known = sizes["count"], np.array(sizes["docs"], np.int64) // 8
     at = e.pop("at") + np.repeat(np.cumsum(known) - known, entries)
     e |= {"doc": e.pop("docs")[at], "row": e.pop("rows")[at]}
+    e["hash"] = (e.pop("high").astype(np.uint64) << np.uint64(8)) | e.pop("low").astype(np.uint64)
     order = np.argsort(e["hash"], kind="stable")
     h, doc = e["hash"][order], e["doc"][order]
     heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else order
@@ -266,7 +294,7 @@ def _keep_shared(table: pa.Table) -> pa.Table:
     shared = np.repeat(np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads), sizes) if len(h) else h > 0
     pick = order[shared]
     e = {k: v[pick] for k, v in e.items()}
-    names = ("first", "offset", "count", "hash")
+    names = ("first", "offset", "count")
     rows = [
         {n: int(e[n][own[0]]) for n in ("row", "doc")} | {n: e[n][own].tobytes() for n in names}
         for own in _split_rows(e["row"], e["doc"])
@@ -288,7 +316,7 @@ def _content_order(e: dict[str, np.ndarray], data: np.ndarray, starts: np.ndarra
     return order, np.concatenate([[False], same]) if len(order) else same
 
 
-def _cut_stretches(size: int, buckets: int) -> Callable:
+def _cut_stretches(size: int, gram: int, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("first").is_valid())
@@ -296,13 +324,14 @@ def _cut_stretches(size: int, buckets: int) -> Callable:
                 continue
             data, offsets = text_bytes(batch.column("text"))
             ids, keys = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
-            lists = {n: [b"".join(x) for x in batch.column(n).to_pylist()] for n in ("first", "offset", "count", "hash")}
+            lists = {n: [b"".join(x) for x in batch.column(n).to_pylist()] for n in ("first", "offset", "count")}
             n_each = np.array([len(x) for x in lists["count"]])
             at = np.repeat(np.arange(batch.num_rows), n_each)
             e = {n: np.frombuffer(b"".join(v), _TYPES[n]) for n, v in lists.items()}
             e |= {"doc": ids[at], "row": keys[at]}
             starts = offsets[at] + e["first"]
             lengths = e["count"].astype(np.int64) + size - 1
+            e["hash"] = _anchor_hashes(data, starts + e["offset"], gram)
             order, repeats = _content_order(e, data, starts, lengths)
             # A repeat of an earlier doc_id's bytes is decided here; only the first goes on.
             head = np.maximum.accumulate(np.where(repeats, 0, np.arange(len(order))))
@@ -316,26 +345,27 @@ def _cut_stretches(size: int, buckets: int) -> Callable:
                 live = pick[~done[pick]]
                 spread = np.repeat(starts[live] - (np.cumsum(lengths[live]) - lengths[live]), lengths[live])
                 rows.append(
-                    {"bucket": int(bucket[pick[0]]), "bytes": data[spread + np.arange(len(spread))].tobytes()}
-                    | {n: e[n][pick].tobytes() for n in _ENTRY}
+                    {"bucket": int(bucket[pick[0]]), "bytes": _pack(data[spread + np.arange(len(spread))])}
+                    | {n: _pack(e[n][pick]) for n in _ENTRY}
                 )
             yield _table(_STRETCH, rows)
 
     return run
 
 
-def _decide(size: int) -> Callable[[pa.Table], pa.Table]:
+def _decide(size: int, gram: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         """Of one bucket: the removed byte ranges, packed by row."""
-        e = _unpacked(table, _ENTRY)
+        e = _unpacked(table, (*_ENTRY, "bytes"))
+        data = e.pop("bytes")
         done = e["done"] > 0
         first = e["first"].astype(np.int64)
         last = first + e["count"] - 1 + size
         gone = [(e["row"][done], e["doc"][done], first[done], last[done])]
         e = {k: v[~done] for k, v in e.items()}
-        data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
         lengths = e["count"].astype(np.int64) + size - 1
         starts = np.cumsum(lengths) - lengths
+        e["hash"] = _anchor_hashes(data, starts + e["offset"], gram)
         # An anchor's stretches stay together; parts of the anchors bound the memory of the hashes.
         parts = -(-len(data) // SLICE_BYTES)
         for own in _split_rows((mix(e["hash"]) % np.uint64(max(1, parts))).astype(np.int64)):
@@ -421,11 +451,11 @@ def remove_repeats(
 
     found = map_batches(base, _find_anchors(size, gram, buckets), _STAGE_A, SLICE_BYTES)
     shared = found.groupBy("bucket").applyInArrow(_keep_shared, _SHARED)
-    names = ("first", "offset", "count", "hash")
+    names = ("first", "offset", "count")
     by_row = shared.groupBy("row", "doc").agg(*[F.collect_list(n).alias(n) for n in names])
     with_text = base.join(by_row, ["row", "doc"], "left")
-    stretches = map_batches(with_text, _cut_stretches(size, buckets), _STRETCH, SLICE_BYTES)
-    gone = stretches.groupBy("bucket").applyInArrow(_decide(size), _GONE)
+    stretches = map_batches(with_text, _cut_stretches(size, gram, buckets), _STRETCH, SLICE_BYTES)
+    gone = stretches.groupBy("bucket").applyInArrow(_decide(size, gram), _GONE)
     ranges = gone.groupBy("row", "doc").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
