@@ -1,18 +1,18 @@
 """License scan: MinHash bands over text windows retrieve templates, shingles verify them.
 
-Words are lower-cased runs of letters and digits; a shingle is two words in a
+Words are lower-cased runs of letters and digits; a shingle is three words in a
 row.  Windows of ``WINDOW`` shingles overlap by half.  A window or template
 part has one minimum per hash function, and every function is a band of one
-row: a window that holds a part of ``n`` shingles shares a band with it with
-probability 1 - (1 - n / (WINDOW + n)) ** BANDS at least, over 0.999 for two
-shingles and more with every further one; both windows over a passage count.
+row: a window that holds a part of ``n`` shingles whole shares a band with it
+with probability 1 - (1 - n / WINDOW) ** BANDS, over 0.9998 for one shingle and
+more with every further one; both windows over a passage count.
 Windows that hold no template shingle at all cannot share a minimum, so their
 minima are not computed.  A retrieved template is verified exactly: the share
 of its distinct shingles (compared as words) that stand within its own length
 around the window must reach ``CONTAINMENT``.
 
 Templates are a fixed, short list, so the joined side is bounded by it.  Null
-and empty texts, and texts of one word, have no shingles and no licenses.
+and empty texts, and texts of one or two words, have no shingles and no licenses.
 Repeated rows repeat; only the id and text columns are read.
 """
 
@@ -47,7 +47,8 @@ TEMPLATES = {
 NOT_WORD = r"[^\p{L}\p{N}]+"
 WINDOW = 8
 STEP = WINDOW // 2
-BANDS = 32
+BANDS = 64
+BROADCAST_WORDS = 20_000
 CONTAINMENT = 0.9
 
 
@@ -55,22 +56,21 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
 
 
-def _pairs(words: str) -> Column:
-    """Shingle hashes in order; empty for fewer than two words."""
+def _hashes(words: str) -> Column:
+    """Shingle hashes in order; empty for fewer than three words."""
     w = F.col(words)
     return F.when(
-        F.size(words) > 1,
-        F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.xxhash64(w[i], w[i + 1])),
+        F.size(words) > 2,
+        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])),
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _spelled(words: Column) -> Column:
-    """Distinct shingles as text."""
+def _spelled(words: str) -> Column:
+    """Shingles as text, in order."""
+    w = F.col(words)
     return F.when(
-        F.size(words) > 1,
-        F.array_distinct(
-            F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-        ),
+        F.size(words) > 2,
+        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", w[i], w[i + 1], w[i + 2])),
     ).otherwise(F.array().cast("array<string>"))
 
 
@@ -96,8 +96,8 @@ def _windows(count: Column) -> Column:
 def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES) -> DataFrame:
     """(license, words, shingles, hashes) of every template."""
     rows = spark.createDataFrame(sorted(texts.items()), "license string, text string")
-    worded = rows.withColumn("words", _words(F.col("text"))).withColumn("hashes", _pairs("words"))
-    return worded.select("license", "words", _spelled(F.col("words")).alias("shingles"), "hashes")
+    worded = rows.withColumn("words", _words(F.col("text"))).withColumn("hashes", _hashes("words"))
+    return worded.select("license", "words", F.array_distinct(_spelled("words")).alias("shingles"), "hashes")
 
 
 def find_licenses(
@@ -107,8 +107,10 @@ def find_licenses(
     spark = docs.sparkSession
     known = templates(spark, texts)
     # The template list is a parameter of the call; its own shingles and lengths come back from it.
-    listed = known.select(F.array_distinct(F.flatten(F.collect_list("hashes"))), F.max(F.size("words"))).first()
-    reach, hashes = listed[1], listed[0]
+    sizes = F.size("words")
+    hashes, reach, n_words = known.select(
+        F.array_distinct(F.flatten(F.collect_list("hashes"))), F.max(sizes), F.sum(sizes)
+    ).first()
     parts = known.select(
         "license", "shingles", F.explode(_windows(F.size("hashes"))).alias("at"), "hashes"
     ).select("license", "shingles", F.explode(_bands(F.slice("hashes", F.col("at") + 1, F.lit(WINDOW)))).alias("b"))
@@ -116,7 +118,7 @@ def find_licenses(
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("row", F.xxhash64("doc_id", "text"))
-    shingled = base.select("doc_id", "row", _words(F.col("text")).alias("words")).withColumn("hashes", _pairs("words"))
+    shingled = base.select("doc_id", "row", _words(F.col("text")).alias("words")).withColumn("hashes", _hashes("words"))
     h = F.col("hashes")
     spots = F.filter(
         F.transform(h, lambda x, i: F.when(x.isin(hashes), i)), lambda i: i.isNotNull()
@@ -148,18 +150,18 @@ def find_licenses(
         F.slice("words", around + 1, F.lit(2 * reach + WINDOW + 1)).alias("words"),
     )
     banded = windows.select("doc_id", "row", "at", "from", "words", F.explode(_bands(F.col("own"))).alias("b"))
+    # The templates are bounded by a check of their words; past it the join is left to Spark.
+    side = F.broadcast(parts) if n_words <= BROADCAST_WORDS else parts
     met = banded.join(
-        parts, (F.col("b.band") == parts["band"]) & (F.col("b.least") == parts["least"])
+        side, (F.col("b.band") == parts["band"]) & (F.col("b.least") == parts["least"])
     ).select("doc_id", "row", "at", "from", "license", "shingles", "words")
-    met = met.dropDuplicates(["doc_id", "row", "at", "license"])
-    there = F.array_intersect("shingles", _spelled(F.col("words")))
+    met = met.withColumn("spelled", _spelled("words"))
+    there = F.array_intersect("shingles", "spelled")
     checked = met.withColumn("containment", F.size(there) / F.size("shingles")).filter(
         F.col("containment") >= CONTAINMENT
     )
-    joined = F.zip_with(
-        F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b)
-    )
-    first = F.col("from") + F.array_position(F.transform(joined, lambda x: F.array_contains("shingles", x)), True) - 1
+    known_here = F.transform("spelled", lambda x: F.array_contains("shingles", x))
+    first = F.col("from") + F.array_position(known_here, True) - 1
     found = checked.groupBy("doc_id", "row", "license").agg(
         F.max("containment").alias("containment"), F.min(first).alias("first_word")
     )

@@ -14,8 +14,8 @@ def words_of(text):
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
-def pairs(words):
-    return [" ".join(p) for p in zip(words, words[1:], strict=False)]
+def shingles(words):
+    return [" ".join(p) for p in zip(words, words[1:], words[2:], strict=False)]
 
 
 def test_notices_are_found_where_they_stand(docs):
@@ -49,6 +49,6 @@ def test_every_document_of_the_table(spark):
         joined = " " + " ".join(words_of(r["text"])) + " "
         verbatim = {n for n, w in known.items() if f" {' '.join(w)} " in joined}
         assert verbatim <= got[r["doc_id"]]
-        own = set(pairs(words_of(r["text"])))
+        own = set(shingles(words_of(r["text"])))
         for name in got[r["doc_id"]]:
-            assert len(own & set(pairs(known[name]))) >= 0.9 * len(set(pairs(known[name])))
+            assert len(own & set(shingles(known[name]))) >= 0.9 * len(set(shingles(known[name])))
