@@ -31,16 +31,16 @@ def ingest_handler(store: TableStore, clock: Callable[[DataFrame], int]) -> Call
     """A ``foreachBatch`` function that publishes one table version per batch.
 
     A replayed batch id publishes nothing, so every response counts once.
-    ``clock`` gives the round's time in epoch seconds.
+    ``clock`` gives a round's time in epoch seconds.
     """
 
     def handle(fetched: DataFrame, batch_id: int) -> None:
         done = store.current()["batch"]
         if done is not None and batch_id <= done:
             return
-        tables, now = store.read_all(), clock(fetched)
+        tables = store.read_all()
         for responses in response_turns(fetched):
-            out = ingest_round(tables, responses, now)
+            out = ingest_round(tables, responses, clock(responses))
             tables |= {name: cut_lineage(out[name]) for name in CHANGED}
         store.publish({name: tables[name] for name in CHANGED}, batch=batch_id, layout=LAYOUT)
 

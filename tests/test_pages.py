@@ -280,3 +280,19 @@ def test_anonymized_page(pages):
     assert '<p class="x">Aa 亜 &amp; 00</p><p>Keep me</p>' in out.first().html
     left = pagedom.unmasked_text(dom.dom_rows(out))
     assert left.first().n == 1
+
+
+def test_sloppy_and_hostile_feeds(rows):
+    from skein.sources.feeds import feed_items
+
+    bodies = [
+        (1, "https://a.example.com/", bytearray(b"<rss><channel><title>A&nbsp;& B</title><item><title>x &eacute;</title></item></channel></rss>")),
+        (2, "https://b.example.com/", None),
+        (3, "https://c.example.com/", bytearray(b'{"title": 5, "items": [{"id": 7, "url": 8, "title": ["t"]}]}')),
+        (4, "https://d.example.com/", bytearray(b"<rss><channel>")),
+        (5, "https://e.example.com/", bytearray(b"[" * 100_000)),
+    ]
+    got = {r.feed_id: r for r in feed_items(rows("feed_id bigint, feed_url string, body binary", bodies)).collect()}
+    assert got[1].title == "x \u00e9" and got[1].feed_title == "A\u00a0& B"
+    assert got[3].link == "8" and got[3].feed_title == "5"
+    assert all(got[i].error and got[i].pos is None for i in (2, 4, 5))

@@ -127,6 +127,16 @@ def test_listing_round(rows, rules, as_set):
     assert as_set(out.state.pending, "url", "n") == {(L + "bad", 1)}
 
 
+def test_article_of_two_listings_is_extracted_once(rows, rules):
+    src, pages, arts = listing_frames(rows, ["ok"], [(1, L + "ok", 200, f"<title>Full</title><div><p>{LONG}</p></div>")])
+    second = [df.withColumn("source", F.lit("t")) for df in (src, pages)]
+    seen, pending = state_frames(rows, [L + "old"])
+    seen = seen.unionByName(seen.withColumn("source", F.lit("t")))
+    got = listing_round(src.unionByName(second[0]), pages.unionByName(second[1]), arts, seen, pending, rules, NOW).entries.collect()
+    assert sorted((r.source, r.url, r.title) for r in got) == [("s", L + "ok", "Link ok"), ("t", L + "ok", "Link ok")]
+    assert all(r.body.count("Sentence") == 20 for r in got)
+
+
 def test_listing_first_crawl_seals_the_backlog_and_robots_import_by_title(rows, rules, as_set):
     src, pages, arts = listing_frames(rows, ["secret", "a", "b"], [], has_state=False, max_items_per_crawl=1)
     out = listing_round(src, pages, arts, *state_frames(rows), rules, NOW)

@@ -146,12 +146,6 @@ def test_boilerplate_decays_and_forgets():
     assert pages < boilerplate.DECAY_PAGES and "nav" not in counts
 
 
-def test_robots_cache(arriving, rows):
-    asked = rows("origin string, seq bigint, at_s bigint", [("o", 1, 0), ("o", 2, 10), ("o", 3, 86399), ("o", 4, 86400), ("p", 5, 50)])
-    got = {r.seq: r.must_fetch for r in run_to_files(keyed.robots_fetches(arriving(asked, "seq", 2)), "t").collect()}
-    assert got == {1: True, 2: False, 3: False, 4: True, 5: True}
-
-
 def test_metrics_stream_equals_batch(arriving, events):
     batch = {(r.hour, r.status): r.le_inf for r in metrics.fetch_metrics(cs.event_log(events)).collect()}
     out = run_to_files(metrics.fetch_metrics(cs.event_log(arriving(events, "event_id"))), "t")
@@ -236,3 +230,17 @@ def test_polling_ingests_each_response_once(spark, rows, workdir):
     # A replayed batch changes nothing.
     handle(rows(FETCHED, second), store.current()["batch"])
     assert store.current()["version"] == version
+
+
+def test_all_responses_of_a_batch_count_in_order(spark, rows, workdir):
+    store = start_store(spark, rows, f"{workdir}/store")
+    url = "https://f1.example.com/rss"
+    both = [
+        (1, url, 503, bytearray(b""), 0, None, "", "", T0 + 900),
+        (1, url, 200, rss(1, [2, 3]), 0, None, "e2", "", T0 + 1800),
+        (1, url, 200, rss(1, [1, 2]), 0, None, "e1", "", T0),
+    ]
+    ingest_handler(store, batch_time)(rows(FETCHED, both), 0)
+    assert {r.guid for r in store.read("entries").collect()} == {"g1", "g2", "g3"}
+    feed = {r.id: r for r in store.read("feeds").collect()}[1]
+    assert feed.etag == "e2" and feed.error_count == 0 and feed.last_fetched_at == T0 + 1800
