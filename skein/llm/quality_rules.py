@@ -4,10 +4,14 @@ Each text gives two histograms: of character classes, and of the common words
 of its language.  The reference of a language is the sum of both over all its
 documents that pass the base rules; a document is kept if its Jensen-Shannon
 distance (base 2, 0 to 1) from the reference stays within the limits.  The
-character test needs ``MIN_CHARS`` counted characters, the word test
-``MIN_COMMON`` common words; below that the test passes, for a short text says
-too little.  A language without word list, or whose reference rests on fewer
-than ``MIN_REFERENCE`` words, keeps the base verdict.
+character limit is fixed.  The word limit is a share of the distance at which a
+text without any common word stands, which follows from how common the common
+words of that reference are; a text whose words are nearer to the reference of
+another language goes as well.  The character test needs ``MIN_CHARS`` counted
+characters, the word test ``MIN_TOKENS`` words read, common or not; below that
+the test passes, for a short text says too little.  A language without word
+list, or whose reference rests on fewer than ``MIN_REFERENCE`` words, keeps the
+base verdict.
 
 References are at most one short row per listed language and come to the
 driver; everything else stays in rows.  Null and empty texts have no words and
@@ -16,6 +20,9 @@ fail the base rule.  Only id, text and language are read.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +51,10 @@ SYMBOLS = r"[^#*$%&|<>]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_CHAR_DISTANCE = 0.3
-MAX_WORD_DISTANCE = 0.6
 MIN_CHARS = 300
-MIN_COMMON = 20
+MIN_TOKENS = 50
+# Fixed values: (words read, share of a word-free text's distance) of the word limit; fewer words scatter more.
+WORD_LIMITS = ((100, 0.8), (MIN_TOKENS, 0.9))
 MIN_REFERENCE = 1000
 
 
@@ -116,26 +124,30 @@ def _char_histogram(df: DataFrame) -> DataFrame:
     return df.drop(*[f"rest{i}" for i in range(len(CHAR_CLASSES))])
 
 
+EVERY = sorted({w for words in COMMON_WORDS.values() for w in words})
+
+
 def _word_histogram(df: DataFrame) -> DataFrame:
-    """Counts of the language's common words in list order, then of all other words."""
-    every = sorted({w for words in COMMON_WORDS.values() for w in words})
+    """Counts of the common words of all languages in the order of ``EVERY``, and of all words."""
     df = df.withColumn("tokens", F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), ""))
-    found = F.filter("tokens", lambda w: w.isin(every))
+    found = F.filter("tokens", lambda w: w.isin(EVERY))
     df = df.withColumn("found", F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" ")))
     df = df.withColumn("n_tokens", F.size("tokens")).drop("tokens")
-    per_lang = F.lit(None).cast("array<int>")
-    for lang, words in COMMON_WORDS.items():
-        counts = [
-            ((F.length("found") - F.length(F.replace("found", F.lit(f" {w} ")))) / (len(w) + 2)).cast("int")
-            for w in words
-        ]
-        per_lang = F.when(F.col("lang") == lang, F.array(*counts)).otherwise(per_lang)
-    df = df.withColumn("common", per_lang)
-    others = F.col("n_tokens") - F.aggregate("common", F.lit(0), lambda a, x: a + x)
-    return df.withColumn("common", F.concat("common", F.array(others))).drop("found", "n_tokens")
-
-
-def _distance(counts: str, reference: Column) -> Column:
+    counts = [
+        ((F.length("found") - F.length(F.replace("found", F.lit(f" {w} ")))) / (len(w) + 2)).cast("int")
+        for w in EVERY
+    ]
+    return df.withColumn("every", F.array(*counts)).drop("found")
+
+
+def _common(lang: str) -> Column:
+    """Counts of the language's common words in list order, then of all other words."""
+    counts = F.transform(F.array(*[F.lit(EVERY.index(w)) for w in COMMON_WORDS[lang]]), lambda i: F.col("every")[i])
+    others = F.col("n_tokens") - F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+    return F.concat(counts, F.array(others))
+
+
+def _distance(counts: str | Column, reference: Column) -> Column:
     """Jensen-Shannon distance of a count array from a frequency array."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     shares = F.transform(counts, lambda x: x / F.greatest(total, F.lit(1.0)))
@@ -149,11 +161,21 @@ def _distance(counts: str, reference: Column) -> Column:
     return F.sqrt(F.greatest(divergence, F.lit(0.0)))
 
 
+def _word_free_distance(reference: list[float]) -> float:
+    """Distance from a reference at which a text without any common word stands."""
+    others = reference[-1]
+    left = math.log2(2 / (1 + others)) + (others * math.log2(2 * others / (1 + others)) if others else 0.0)
+    return math.sqrt((1 - others + left) / 2)
+
+
 def references(measured: DataFrame) -> dict[str, dict[str, list[float]]]:
     """Histogram shares per listed language over its documents that pass the base rules."""
     sound = measured.filter(~F.col("base_failed") & F.col("lang").isin(list(COMMON_WORDS)))
+    common = F.lit(None).cast("array<int>")
+    for lang in COMMON_WORDS:
+        common = F.when(F.col("lang") == lang, _common(lang)).otherwise(common)
     cells = sound.select(
-        "lang", F.explode(F.array(F.lit("chars"), F.lit("common"))).alias("kind"), "chars", "common"
+        "lang", F.explode(F.array(F.lit("chars"), F.lit("common"))).alias("kind"), "chars", common.alias("common")
     ).select("lang", "kind", F.posexplode(F.when(F.col("kind") == "chars", F.col("chars")).otherwise(F.col("common"))))
     sums = cells.groupBy("lang", "kind", "pos").agg(F.sum("col").alias("n")).collect()
     grouped: dict[str, dict[str, dict[int, int]]] = {}
@@ -176,29 +198,39 @@ def measure(
     full = stored(full, "quality")
     refs = references(full)
 
-    def pick(kind: str) -> Column:
-        chosen = F.lit(None).cast("array<double>")
-        for lang, shares in sorted(refs.items()):
-            chosen = F.when(F.col("lang") == lang, F.array(*map(F.lit, shares[kind]))).otherwise(chosen)
+    def own(value: Callable[[str], Column], type_: str) -> Column:
+        chosen = F.lit(None).cast(type_)
+        for lang in sorted(refs):
+            chosen = F.when(F.col("lang") == lang, value(lang)).otherwise(chosen)
         return chosen
 
-    def sized(kind: str, least: int, skip: int) -> Column:
-        used = F.slice(F.col(kind), 1, F.size(kind) - skip)
-        return F.aggregate(used, F.lit(0), lambda a, x: a + x) >= least
+    def word_limit(lang: str) -> Column:
+        limit = F.lit(None).cast("double")
+        for least, share in reversed(WORD_LIMITS):
+            limit = F.when(F.col("n_tokens") >= least, share * _word_free_distance(refs[lang]["common"])).otherwise(limit)
+        return limit
+
+    def others(lang: str) -> Column:
+        return F.array(*[F.col(f"words_{other}") for other in sorted(refs) if other != lang]).cast("array<double>")
 
-    full = full.withColumn("char_ref", pick("chars")).withColumn("word_ref", pick("common"))
+    full = full.withColumn("char_ref", own(lambda lang: F.array(*map(F.lit, refs[lang]["chars"])), "array<double>"))
+    long_enough = F.aggregate("chars", F.lit(0), lambda a, x: a + x) >= MIN_CHARS
     full = full.withColumn(
-        "char_distance",
-        F.when(F.col("char_ref").isNotNull() & sized("chars", MIN_CHARS, 0), _distance("chars", F.col("char_ref"))),
-    ).withColumn(
-        "word_distance",
-        F.when(F.col("word_ref").isNotNull() & sized("common", MIN_COMMON, 1), _distance("common", F.col("word_ref"))),
+        "char_distance", F.when(F.col("char_ref").isNotNull() & long_enough, _distance("chars", F.col("char_ref")))
     )
-    diverges = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (
-        F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE
+    tested = F.col("lang").isin(sorted(refs)) & (F.col("n_tokens") >= MIN_TOKENS)
+    names = [f"words_{lang}" for lang in sorted(refs)]
+    for lang, name in zip(sorted(refs), names, strict=True):
+        shares = F.array(*map(F.lit, refs[lang]["common"]))
+        full = full.withColumn(name, F.when(tested, _distance(_common(lang), shares)))
+    full = full.withColumn("word_distance", own(lambda lang: F.col(f"words_{lang}"), "double"))
+    diverges = (
+        (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE)
+        | F.coalesce(F.col("word_distance") > own(word_limit, "double"), F.lit(False))
+        | F.coalesce(F.col("word_distance") > F.array_min(own(others, "array<double>")), F.lit(False))
     )
     return full.withColumn("kept", ~F.col("base_failed") & ~diverges).drop(
-        "chars", "common", "char_ref", "word_ref"
+        "chars", "every", "n_tokens", "char_ref", *names
     )
 
 

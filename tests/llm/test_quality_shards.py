@@ -50,6 +50,29 @@ def test_divergent_texts_go_and_all_columns_stay(docs, with_clashes):
     assert sound <= ids
 
 
+def in_language(lang, i, n=120):
+    draw = random.Random(i)
+    common = quality_rules.COMMON_WORDS[lang]
+    weights = [1 / (k + 1) for k in range(len(common))]
+    rest = ["".join(draw.choice("bdfgklmnprstvz") + draw.choice("aeiou") for _ in range(4)) for _ in range(n)]
+    return " ".join(draw.choices(common, weights)[0] if draw.random() < 0.3 else w for w in rest)
+
+
+def test_lower_case_gibberish_and_wrong_languages_go(docs):
+    good = [(1000 * k + i, in_language(lang, i), lang) for k, lang in enumerate(("en", "de", "fr", "es")) for i in range(200)]
+    draw = random.Random(7)
+    words = ["".join(draw.choice("bdfgklmnprstvz") + draw.choice("aeiou") for _ in range(4)) for _ in range(3000)]
+    bad = [(9000, " ".join(words), "en"), (9001, " ".join(words[:60]), "de"), (9002, " ".join([*words[:150], *["the"] * 3]), "en")]
+    wrong = [("de", "en"), ("fr", "es"), ("es", "fr"), ("en", "de"), ("es", "en")]
+    bad += [(9100 + i, in_language(a, 500 + i, 300), b) for i, (a, b) in enumerate(wrong)]
+    unlisted = [(9200, " ".join(words), "xx")]
+    got = {r["doc_id"]: r for r in quality_rules.measure(docs([*good, *bad, *unlisted])).collect()}
+    assert not any(brute.quality(t)["base_failed"] for _, t, _ in bad)
+    assert [i for i, *_ in bad if got[i]["kept"]] == []
+    assert [i for i, t, _ in [*good, *unlisted] if not got[i]["kept"] and not brute.quality(t)["base_failed"]] == []
+    assert got[9000]["word_distance"] is not None and got[9200]["word_distance"] is None
+
+
 def check_shards(placed, rows, shards):
     assert len(placed) == len(rows)
     facts = sorted((r[0] is None, r[0] or 0, *brute.shard_facts(r[1])) for r in rows)
@@ -70,7 +93,7 @@ def test_shards_of_the_table(spark):
 
 
 def test_shards_keep_groups_together_and_split_a_hot_one(docs, odd_rows, with_clashes):
-    rows = [(i, "hot") for i in range(100)] + [(200 + i, f"pair {i // 2}") for i in range(60)]
+    rows = [(i, "hot") for i in range(100)] + [(200 + i, f"pair {i // 2}") for i in range(200)]
     rows += [(400 + i, f"alone {i}") for i in range(140)]
     placed = label_shards.assign_shards(docs(rows), shards=6).collect()
     check_shards(placed, rows, 6)
