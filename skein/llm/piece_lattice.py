@@ -1,7 +1,10 @@
 """SentencePiece-style encoding and decoding over a lattice of pieces.
 
-A text is cut into units: a run of letters, digits or other characters, each
-with the blank before it, a lone blank, or a line break; no piece crosses a unit.  The lattice of a table of distinct units
+A text is cut into units: a run of letters, digits or other characters
+(underscores and superscript two among them), each with all blanks before it, a
+run of blanks, or a line break.  No piece of the table crosses a unit, which
+loading the table checks, so the best path of a text is the best paths of its
+units one after the other.  The lattice of a table of distinct units
 is relational: substrings of at most ``MAX_PIECE`` characters are exploded,
 equi-joined to the piece table on their text, and the edges of a unit grouped
 by where they end; a Viterbi fold over its end positions picks the path with
@@ -43,9 +46,11 @@ MAX_PIECE = 16
 BLANK = "▁"
 #: Stands for a blank mark that the text itself holds; no piece has it.
 LITERAL = 0x110000
-UNITS = re.compile(r" ?[^\W\d_]+| ?\d+| ?_+| ?[^\w \n]+|[ \n]")
+UNITS = re.compile(r" *(?:[^\W\d_²]+|\d+|(?:[_²]|[^\w \n])+)| +|\n")
 MEMO_UNITS = 400_000
 BATCH_UNITS = 50_000
+#: Fewer units of a length than this are folded one by one, which is faster than short arrays.
+FEW_LIVE = 8
 
 
 class Pieces(NamedTuple):
@@ -73,11 +78,15 @@ def load_pieces(path: str) -> Pieces:
         for i in range(n)
     ]
     scores = np.array([-math.log(1.0 - min(0.0, model.get_score(i))) for i in range(n)])
+    texts = [model.id_to_piece(i) for i in range(n)]
+    crossing = [t for t, k in zip(texts, kinds, strict=True) if k == "normal" and len(UNITS.findall(t.replace(BLANK, " "))) > 1]
+    if crossing:
+        raise ValueError(f"pieces that cross units: {crossing[:5]}")
     byte_ids = np.zeros(256, np.int64)
     for i, kind in enumerate(kinds):
         if kind == "byte":
-            byte_ids[int(model.id_to_piece(i)[3:5], 16)] = i
-    return Pieces([model.id_to_piece(i) for i in range(n)], scores, byte_ids, kinds)
+            byte_ids[int(texts[i][3:5], 16)] = i
+    return Pieces(texts, scores, byte_ids, kinds)
 
 
 def units_of(text: str) -> list[str]:
@@ -223,6 +232,17 @@ def segment(path: str, units: list[str]) -> list[bytes]:
     best[slot] = 0.0
     for end in range(1, int(lengths[0]) + 1 if len(lengths) else 0):
         live = int(np.searchsorted(-lengths, -end, "right"))
+        if live < FEW_LIVE:
+            for unit in range(live):
+                at, head, top = int(slot[unit]) + end, int(heads[unit]) + end, -np.inf
+                for size in range(1, min(MAX_PIECE, end) + 1):
+                    piece = edges[size - 1][head - size]
+                    if piece >= 0 or size == 1:
+                        total = best[at - size] + (pieces.scores[piece] if piece >= 0 else fallback)
+                        if total > top:
+                            top, back[at] = total, size
+                best[at] = top
+            continue
         for size in range(1, min(MAX_PIECE, end) + 1):
             piece = edges[size - 1][heads[:live] + end - size]
             score = np.where(piece >= 0, pieces.scores[piece], fallback if size == 1 else -np.inf)

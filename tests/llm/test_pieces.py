@@ -47,6 +47,27 @@ def test_segments_equal_the_definition():
     assert ids_of(UNITS) == [best_path(u) for u in UNITS]
 
 
+WHOLE = [
+    "def f(x):\n        if x:\n            return {'a_{i}': x->_next, '__(': (__x)}\n",
+    "$x_{i}_{\\\\alpha}$  and   5 m². Then ²²._ __init__.py\n\n    ",
+    " " * 37 + "deep" + " " * 16 + "\n" + " " * 5,
+    "Plain prose, no indent; 漢字 ▁▁ ☃ it's 1 234_567.",
+]
+
+
+def test_whole_texts_take_the_best_path_of_the_whole_lattice():
+    for text in WHOLE:
+        ids = np.frombuffer(piece_lattice.encode_texts(MODEL, [text])[0], "<i4").tolist()
+        assert ids == best_path(" " + text)
+
+
+def test_every_piece_can_be_produced_by_some_unit():
+    pieces = piece_lattice.load_pieces(MODEL)
+    normal = [t.replace("▁", " ") for t, k in zip(pieces.texts, pieces.kinds, strict=True) if k == "normal"]
+    assert [t for t in normal if len(piece_lattice.UNITS.findall(t)) != 1] == []
+    assert max(map(len, normal)) <= piece_lattice.MAX_PIECE
+
+
 def test_relational_plan_equals_the_batch_form(spark):
     units = spark.createDataFrame([(u,) for u in UNITS], "unit string")
     got = {r["unit"]: r["ids"] for r in piece_lattice.encode_units(units, MODEL).collect()}
