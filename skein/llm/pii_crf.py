@@ -11,8 +11,9 @@ that the patterns cover are evidence.  Runs of one label outside the base
 spans are added; base spans stay.
 
 Weights are fitted on a bounded sample: candidate tokens of at most
-``SAMPLE_DOCS`` documents with a digit (those of the smallest hash), at most
-``SAMPLE_TOKENS`` tokens, labelled by the patterns.  Everything else runs on
+``SAMPLE_DOCS`` documents with a digit or an at sign (those of the smallest
+hash), at most ``SAMPLE_TOKENS`` tokens (those of the smallest hash of document
+and position), labelled by the patterns.  Everything else runs on
 all documents and whole texts.  Skip links join consecutive occurrences of a
 key, so a document costs its number of tokens.
 
@@ -205,31 +206,39 @@ def fit(features: np.ndarray, labels: np.ndarray, pairs: np.ndarray, rounds: int
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on the bounded sample; the prior where there is nothing to fit on."""
     digit = docs.filter(F.col(text_col).rlike("[@0-9]"))
-    order = F.xxhash64(id_col)
-    picked = [
-        r[0]
-        for r in digit.filter(F.col(id_col).isNotNull()).select(order.alias("h")).orderBy("h").limit(SAMPLE_DOCS).collect()
-    ]
+    hashed = digit.filter(F.col(id_col).isNotNull()).select(
+        F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).alias("text")
+    )
+    picked = [r[0] for r in hashed.select("doc").distinct().orderBy("doc").limit(SAMPLE_DOCS).collect()]
     if not picked:
         return prior()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, labels, before = [], [], []
+            rows, labels, before, spots = [], [], [], []
             for text in batch.column("text").to_pylist():
                 nodes = nodes_of(text)
                 seen = observed(nodes, base_spans(text))
                 rows += [np.flatnonzero(f).tolist() for f in nodes.features]
                 labels += seen.tolist()
                 before += [int(seen[i - 1]) if nodes.joined[i] else -1 for i in range(len(seen))]
+                spots.append(range(len(seen)))
+            docs_ = batch.column("doc").take(pa.array(np.repeat(np.arange(len(spots)), [len(s) for s in spots])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.list_(pa.int64())), pa.array(labels, pa.int64()), pa.array(before, pa.int64())],
-                ["on", "label", "before"],
+                [
+                    pa.array(rows, pa.list_(pa.int64())),
+                    pa.array(labels, pa.int64()),
+                    pa.array(before, pa.int64()),
+                    docs_,
+                    pa.array([i for s in spots for i in s], pa.int64()),
+                ],
+                ["on", "label", "before", "doc", "spot"],
             )
 
-    sample = digit.filter(order.isin(picked)).select(F.col(text_col).alias("text"))
-    tokens = map_batches(sample, run, "on array<bigint>, label bigint, before bigint")
-    tokens = tokens.orderBy("label", "before", F.xxhash64("on")).limit(SAMPLE_TOKENS).collect()
+    # Repeated rows count once; the order of the cut knows nothing of labels.
+    sample = hashed.filter(F.col("doc").isin(picked)).groupBy("doc").agg(F.min("text").alias("text"))
+    tokens = map_batches(sample, run, "on array<bigint>, label bigint, before bigint, doc bigint, spot bigint")
+    tokens = tokens.orderBy(F.xxhash64("doc", "spot"), "doc", "spot").limit(SAMPLE_TOKENS).collect()
     features = np.zeros((len(tokens), len(FEATURES)))
     for i, r in enumerate(tokens):
         features[i, r["on"]] = 1

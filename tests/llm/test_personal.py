@@ -62,6 +62,16 @@ def test_repeated_forms_get_one_label(spark):
     assert pii_crf.scan("room 12 at 10:30 in 2024", model) == []
 
 
+def test_the_sample_keeps_all_labels_in_proportion(docs, monkeypatch):
+    rows = [(i, " ".join(f"row{k} of" for k in range(100)) + f" from user{i}@mail.example.org") for i in range(250)]
+    seen = {}
+    monkeypatch.setattr(pii_crf, "fit", lambda features, labels, pairs: seen.update(labels=labels, features=features))
+    pii_crf.train(docs([*rows, *rows]))
+    labels = seen["labels"]
+    assert len(labels) == len(seen["features"]) == pii_crf.SAMPLE_TOKENS
+    assert 140 <= (labels == pii_crf.LABELS.index("email")).sum() <= 250
+
+
 def test_untrained_model_and_odd_rows(docs, odd_rows, with_clashes):
     assert pii_crf.train(docs([])).weights.tolist() == pii_crf.prior().weights.tolist()
     rows = [*odd_rows, (30, "mail a.b@c.org é 10.0.0.1")]
