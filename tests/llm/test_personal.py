@@ -72,6 +72,28 @@ def test_the_sample_keeps_all_labels_in_proportion(docs, monkeypatch):
     assert 140 <= (labels == pii_crf.LABELS.index("email")).sum() <= 250
 
 
+@pytest.fixture(scope="module")
+def model(spark):
+    return pii_crf.train(spark.read.parquet(f"{SF_DIR}/documents.parquet"))
+
+
+def test_evidence_reaches_every_repeat(model):
+    for n in (1, 3, 100, 1000):
+        text = "call +1 (988) 555-2485 now; " + "so 988-555-2485, then; " * n
+        found = [text[s:e] for k, s, e, b in pii_crf.scan(text, model) if k == "phone" and not b]
+        assert found == ["988-555-2485"] * n
+        text = "mail jonasbeck@mail.example.com today; " + "ask jonasbeck about it; " * n
+        found = [text[s:e] for k, s, e, b in pii_crf.scan(text, model) if k == "email" and not b]
+        assert found == ["jonasbeck"] * n
+
+
+def test_the_field_does_not_need_a_base_span(model):
+    text = "write to user@exämple.com about it"
+    for shown in (text, text + "; host 10.0.0.1"):
+        assert ("email", 9, 25, False) in pii_crf.scan(shown, model)
+    assert pii_crf.scan("chapter 3 of 12, pages 100-120, in 1987", model) == []
+
+
 def test_untrained_model_and_odd_rows(docs, odd_rows, with_clashes):
     assert pii_crf.train(docs([])).weights.tolist() == pii_crf.prior().weights.tolist()
     rows = [*odd_rows, (30, "mail a.b@c.org é 10.0.0.1")]
