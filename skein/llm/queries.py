@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from skein.llm import (
     decontaminate,
+    impact_index,
     label_shards,
     license_scan,
     near_dedup,
     pii_crf,
     piece_lattice,
     quality_rules,
+    run_detection,
     secret_scan,
     suffix_dedup,
     token_store,
+    whitening,
 )
 from skein.llm.common import spans_digest, table
 from skein.session import shared_dir
@@ -135,6 +138,41 @@ def op10_elias_fano_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_files(spark, path)
 
 
+def op11_suffix_automaton_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_detection.find_runs(table(spark, sf_dir, "documents"), planted=True)
+
+    # Greatest length / period by cross products, then first start, then shortest period.
+    def stronger(best: Column, run: Column) -> Column:
+        gain = run["length"] * best["period"] - best["length"] * run["period"]
+        return F.when(best.isNull() | (gain > 0), run).otherwise(best)
+
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    best = found.withColumn("best", F.aggregate("runs", none, stronger))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
+
+
+def op12_impact_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    index = impact_index.build_index(embeddings, "vec_id", "embedding")
+    asked = embeddings.filter(F.col("vec_id") % 100 == 0)
+    found = impact_index.search(index, asked, "vec_id", "embedding", k=10)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op13_exact_polynomial_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Run] = {
     f.__name__: f
     for f in (
@@ -148,6 +186,9 @@ QUERIES: dict[str, Run] = {
         op8_secret_scan,
         op9_distribution_divergence,
         op10_elias_fano_token_files,
+        op11_suffix_automaton_runs,
+        op12_impact_ordered_topk,
+        op13_exact_polynomial_whitening,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
