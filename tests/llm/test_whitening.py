@@ -84,6 +84,6 @@ def test_odd_rows(spark):
         (54, [1.0, 2.0]), (55, []), (56, [1e30, 0.0, 0.0, 0.0]),
     ]
     table = spark.createDataFrame([(i, v, "x") for i, v in good + bad], SCHEMA)
-    check(whitening.whiten(table, "vec_id", "embedding").collect(), good)
+    check(whitening.whiten(table, "vec_id", "embedding").withColumnRenamed("id", "vec_id").collect(), good)
     for rows in ([], [(1, [1.0, 2.0], "x")], [(1, [1.0, 2.0], "x")] * 3, [(1, [], "x")], [(1, None, "x")]):
         assert whitening.whiten(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding").count() == 0
