@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skein.operators import fanout, feeds, ingest, marks, retention, sources, subscriptions
+from skein.plans import incremental
 from skein.plans.fixtures import NOW, _like
 from skein.plans.registry import query
+from skein.session import shared_dir
 from skein.sources import opml, snapshots
+from skein.sources.buckets import BucketedTables
 
 # ---------------------------------------------------------------- ingest
 
@@ -22,6 +27,22 @@ def _ingested(fx):
     return ingest.upsert_entries(fx.entries, fx.state(), fx.counted_subs(), fx.words, fx.batch, NOW)
 
 
+def _bucketed(fx, **tables):
+    """The fixture tables in bucketed folders of their own, to be changed in place."""
+    root = f"{shared_dir(fx.spark)}/bucketed-{uuid.uuid4().hex}"
+    return BucketedTables(fx.spark, root, buckets=8).create(tables)
+
+
+def _ingested_in_place(fx):
+    tables = _bucketed(
+        fx, entries=fx.entries, state=fx.state(), subscriptions=fx.counted_subs(), ignore_words=fx.words
+    )
+    # All at one time and in one turn, as the plain operator has it.
+    batch = fx.batch.withColumns({"turn": F.lit(1), "at_s": F.lit(NOW).cast("bigint")})
+    incremental.apply_items(tables, batch)
+    return tables
+
+
 @query("existing_batch_items", "SELECT feed_id, pos, guid FROM fx_batch b WHERE EXISTS (SELECT 1 FROM fx_entries e WHERE e.feed_id = b.feed_id AND e.guid = b.guid)")
 def _(fx):
     return ingest.existing_items(fx.batch, fx.entries).select("feed_id", "pos", "guid")
@@ -44,20 +65,25 @@ def _(fx):
     )
 
 
-@query(
-    "upsert_entries",
-    f"""{_BATCH_CTES}
+_UPSERTED = f"""{_BATCH_CTES}
 SELECT feed_id, guid, coalesce(l.url, e.url) AS url, coalesce(l.title, e.title) AS title, coalesce(l.author, e.author) AS author,
   coalesce(l.body, e.body) AS body, e.published_at, coalesce(l.updated_at, e.updated_at) AS updated_at,
   CASE WHEN l.pos IS NOT NULL THEN {NOW} ELSE e.fetched_at END AS fetched_at, e.created_at
 FROM (SELECT feed_id, guid, url, title, author, body, published_at, updated_at, fetched_at, created_at FROM fx_entries
   UNION ALL SELECT feed_id, guid, url, title, author, body, published_at, updated_at, {NOW}, {NOW} FROM fresh) e
-LEFT JOIN lasts l USING (feed_id, guid)""",
-)
+LEFT JOIN lasts l USING (feed_id, guid)"""
+
+
+@query("upsert_entries", _UPSERTED)
 def _(fx):
     return _ingested(fx).entries.drop("id")
 
 
+@query("upsert_entries_in_place", _UPSERTED)
+def _(fx):
+    return _ingested_in_place(fx).read("entries").drop("id")
+
+
 @query(
     "upsert_entries_fan_out",
     f"""{_BATCH_CTES} SELECT s.user_id, f.feed_id, f.guid, f.published_at, f.read_at,
@@ -71,16 +97,21 @@ def _(fx):
     return rows.join(guids, "entry_id").select("user_id", "feed_id", "guid", "published_at", "read_at", "ignored")
 
 
-@query(
-    "upsert_entries_unread",
-    f"""{_BATCH_CTES} SELECT c.user_id, c.feed_id, c.unread_count + (SELECT count(*) FROM fresh f WHERE f.feed_id = c.feed_id AND f.read_at IS NULL
+_UPSERTED_UNREAD = f"""{_BATCH_CTES} SELECT c.user_id, c.feed_id, c.unread_count + (SELECT count(*) FROM fresh f WHERE f.feed_id = c.feed_id AND f.read_at IS NULL
   AND NOT EXISTS (SELECT 1 FROM fx_words w WHERE w.user_id = c.user_id AND ({_like("f.title", "w.word")} OR {_like("f.body", "w.word")}))) AS unread_count
-FROM fx_counted c""",
-)
+FROM fx_counted c"""
+
+
+@query("upsert_entries_unread", _UPSERTED_UNREAD)
 def _(fx):
     return _ingested(fx).subscriptions.select("user_id", "feed_id", "unread_count")
 
 
+@query("upsert_entries_unread_in_place", _UPSERTED_UNREAD)
+def _(fx):
+    return _ingested_in_place(fx).read("subscriptions").select("user_id", "feed_id", "unread_count")
+
+
 @query(
     "fulltext_targets",
     f"""{_BATCH_CTES} SELECT feed_id, guid, pos, rn FROM (SELECT feed_id, guid, pos, row_number() OVER (PARTITION BY feed_id ORDER BY pos) AS rn
@@ -211,6 +242,24 @@ def _(fx):
     return m.state.select("user_id", "entry_id", "read_at")
 
 
+def _marked_in_place(fx):
+    tables = _bucketed(fx, state=fx.state(), subscriptions=fx.counted_subs())
+    return tables, incremental.mark_ids_read(tables, _read_requests(fx), NOW)
+
+
+@query("mark_ids_read_in_place", _marked(_REQ_FLAG))
+def _(fx):
+    tables, _ = _marked_in_place(fx)
+    return tables.state().select("user_id", "entry_id", "read_at")
+
+
+@query("mark_ids_read_compacted", _marked(_REQ_FLAG))
+def _(fx):
+    tables, _ = _marked_in_place(fx)
+    tables.compact()
+    return tables.read("state").select("user_id", "entry_id", "read_at")
+
+
 @query(
     "mark_ids_read_counts",
     f"SELECT user_id, count(*) AS n FROM fx_state u WHERE u.read_at IS NULL AND {_REQ_FLAG} GROUP BY user_id",
@@ -234,6 +283,16 @@ def _(fx):
     return marks.mark_all_read(fx.state(), fx.counted_subs(), 7, NOW).state.select("user_id", "entry_id", "read_at")
 
 
+_FEED_BEFORE = _marked("u.user_id = 7 AND u.feed_id = 9 AND u.published_at <= 1705500000")
+
+
+@query("mark_feed_read_before_in_place", _FEED_BEFORE)
+def _(fx):
+    tables = _bucketed(fx, state=fx.state(), subscriptions=fx.counted_subs())
+    incremental.mark_user_read(tables, 7, NOW, feed_id=9, before=1705500000)
+    return tables.state().select("user_id", "entry_id", "read_at")
+
+
 @query("mark_feed_read_before", _marked("u.user_id = 7 AND u.feed_id = 9 AND u.published_at <= 1705500000"))
 def _(fx):
     m = marks.mark_feed_read(fx.state(), fx.counted_subs(), 7, 9, 1705500000, NOW)
@@ -260,9 +319,22 @@ _REDONE = f"""SELECT u.user_id, u.entry_id, u.feed_id, u.read_at, CASE WHEN EXIS
 FROM fx_state u JOIN fx_entries e ON e.id = u.entry_id"""
 
 
+def _reignoring(fx):
+    return fx.subs.filter("user_id % 10 = 3 OR user_id % 4 = 1").select("user_id")
+
+
 def _reignored(fx):
-    users = fx.subs.filter("user_id % 10 = 3 OR user_id % 4 = 1").select("user_id")
-    return marks.recompute_ignored(fx.state(), fx.counted_subs(), fx.entries, _edited_words(fx), users)
+    words = _edited_words(fx)
+    return marks.recompute_ignored(fx.state(), fx.counted_subs(), fx.entries, words, _reignoring(fx))
+
+
+@query("recompute_ignored_in_place", f"SELECT user_id, entry_id, ignored FROM ({_REDONE}) t")
+def _(fx):
+    tables = _bucketed(
+        fx, entries=fx.entries, state=fx.state(), subscriptions=fx.counted_subs(), ignore_words=_edited_words(fx)
+    )
+    incremental.reignore_users(tables, _reignoring(fx))
+    return tables.state().select("user_id", "entry_id", "ignored")
 
 
 @query("recompute_ignored", f"SELECT user_id, entry_id, ignored FROM ({_REDONE}) t")
@@ -464,7 +536,7 @@ def _(fx):
   CASE WHEN o.feed_id IS NULL THEN f.last_fetched_at ELSE {NOW} END AS last_fetched_at,
   CASE WHEN o.status IN ('ok', 'not_modified') THEN {NOW} ELSE f.last_success_at END AS last_success_at, coalesce(o.http_status, f.last_status) AS last_status,
   CASE WHEN o.feed_id IS NULL THEN f.error_count WHEN o.status = 'gone' THEN 20 WHEN o.status = 'error' THEN f.error_count + 1 ELSE 0 END AS error_count,
-  CASE WHEN f.id IN (9, 14) THEN concat('permanent redirect target "', o.new_feed_url, '" already used by another feed; feed_url left unchanged')
+  CASE WHEN f.id IN (9, 14) THEN concat('moved for good to ', o.new_feed_url, ', which another feed reads; address kept')
     WHEN o.feed_id IS NULL THEN f.last_error ELSE o.error END AS last_error
 FROM fx_feeds f LEFT JOIN (SELECT * FROM fx_outcomes WHERE status <> 'internal') o ON o.feed_id = f.id""",
 )

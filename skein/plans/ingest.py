@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.feeds import apply_updates, settle_outcomes
-from skein.operators.ingest import Ingested, upsert_entries
+from skein.operators.feeds import apply_updates, fold_outcomes, settle_outcomes
+from skein.operators.ingest import KEY, Ingested, upsert_entries
+from skein.plans.incremental import Applied, apply_items, first_sightings
 from skein.session import cut_lineage
+from skein.sources.buckets import BucketedTables
 from skein.sources.feeds import feed_headers, feed_items, normalize_items
 
 OK_STATUS = 200
@@ -71,3 +73,43 @@ def ingest_round(tables: dict[str, DataFrame], fetched: DataFrame, now: int) ->
         **tables, "feeds": feeds, "entries": done.entries, "state": done.state,
         "subscriptions": done.subscriptions,
     }
+
+
+def ingest_responses(
+    tables: BucketedTables, fetched: DataFrame, batch_id: int | None = None, again: bool = False
+) -> Applied:
+    """Apply any number of responses a feed to bucketed tables, with one write a table.
+
+    ``fetched`` as for ``ingest_round`` with ``at_s``, the time of each
+    response.  A feed's responses count in order of at_s (equal times in the
+    order of the other columns).  Feed rows remember ``batch_id``, so with
+    ``again`` an outcome that was stored already is not counted twice.
+    """
+    others = [c for c in fetched.columns if c not in ("feed_id", "at_s")]
+    order = Window.partitionBy("feed_id").orderBy("at_s", F.xxhash64(*others))
+    responses = cut_lineage(
+        fetched.withColumn("turn", F.row_number().over(order)).withColumn("response", F.monotonically_increasing_id())
+    )
+    told = responses.select(F.col("response").alias("feed_id"), F.col("feed_id").alias("_feed"), "turn", "at_s")
+    good = responses.filter(F.col("http_status") == OK_STATUS)
+    # A response stands in for its feed while items are parsed and normalized.
+    parsed = cut_lineage(feed_items(good.withColumn("feed_id", F.col("response"))))
+    timed = parsed.join(told.select("feed_id", "at_s"), "feed_id")
+    items = normalize_items(timed, F.col("at_s")).join(told, "feed_id")
+    batch = cut_lineage(items.withColumn("feed_id", F.col("_feed")).drop("_feed"))
+
+    heard = responses.withColumnRenamed("feed_id", "_feed").withColumnRenamed("response", "feed_id")
+    known = tables.read("entries", tables.buckets_of(batch, "feed_id")).select(*KEY)
+    fresh = first_sightings(batch).join(known, KEY, "left_anti").select("feed_id", "turn")
+    new = fresh.join(told.select(F.col("feed_id").alias("_r"), F.col("_feed").alias("feed_id"), "turn"), ["feed_id", "turn"])
+    outcomes = (
+        fetch_outcomes(heard, parsed, new.select(F.col("_r").alias("feed_id")))
+        .join(told, "feed_id")
+        .withColumn("feed_id", F.col("_feed"))
+    )
+    feeds = tables.read("feeds")
+    if again and batch_id is not None:
+        applied = feeds.filter(F.col("applied_batch") >= batch_id).select(F.col("id").alias("feed_id"))
+        outcomes = outcomes.join(applied, "feed_id", "left_anti")
+    folded = fold_outcomes(feeds, outcomes).withColumn("applied_batch", F.lit(batch_id).cast("bigint"))
+    return apply_items(tables, batch, folded, again)

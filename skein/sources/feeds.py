@@ -11,7 +11,7 @@ from html.entities import html5
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.dates import published_or_now
@@ -191,9 +191,12 @@ def feed_headers(items: DataFrame) -> DataFrame:
     )
 
 
-def normalize_items(items: DataFrame, now: int) -> DataFrame:
-    """The ingest batch of parsed items: links resolved, bodies sanitized, dates filled."""
-    clock = F.lit(now).cast("bigint")
+def normalize_items(items: DataFrame, now: int | Column) -> DataFrame:
+    """The ingest batch of parsed items: links resolved, bodies sanitized, dates filled.
+
+    ``now`` is the round's time, or a column of each item's own.
+    """
+    clock = (now if isinstance(now, Column) else F.lit(now)).cast("bigint")
     body = raw_body(F.col("content"), F.col("description"))
     parsed = items.filter(F.col("pos").isNotNull()).withColumns(
         {"_link": resolve_url(F.col("feed_url"), blank(F.col("link"))), "_raw": body}

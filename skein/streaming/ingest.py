@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.plans.ingest import ingest_round
+from skein.plans.ingest import ingest_responses, ingest_round
 from skein.session import cut_lineage
+from skein.sources.buckets import BucketedTables
+from skein.sources.snapshots import exists, touch
 from skein.sources.tablestore import LAYOUT, TableStore
 
 CHANGED = ("feeds", "entries", "state", "subscriptions")
@@ -47,6 +49,26 @@ def ingest_handler(store: TableStore, clock: Callable[[DataFrame], int]) -> Call
     return handle
 
 
+def bucketed_handler(tables: BucketedTables) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes each batch once, whatever its responses a feed.
+
+    Two small marker files a batch tell a batch that is done, which is left
+    alone, from one that stopped half way, which is finished.
+    """
+
+    def handle(fetched: DataFrame, batch_id: int) -> None:
+        spark, folder = tables.spark, f"{tables.root}/_batches"
+        started, done = (f"{folder}/{batch_id}.{mark}" for mark in ("started", "done"))
+        if exists(spark, done):
+            return
+        again = exists(spark, started)
+        touch(spark, started)
+        ingest_responses(tables, fetched, batch_id, again)
+        touch(spark, done)
+
+    return handle
+
+
 def batch_time(fetched: DataFrame) -> int:
     """The newest response time of a batch, so that a replay computes the same."""
     row = fetched.agg(F.max("at_s").alias("t")).first()
