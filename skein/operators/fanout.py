@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import ascii_lower, folds_plainly, like_contains_word, like_word
+from skein.skew import salted_join
 
 # Target size of one group of words tested against an entry in one pass.
 WORDS_PER_GROUP = 256
@@ -59,7 +60,10 @@ def ignored_pairs(entries: DataFrame, subscriptions: DataFrame, ignore_words: Da
         "feed_id",
         F.explode(F.transform(F.filter("_words", found), lambda w: w["word"])).alias("word"),
     )
-    return hits.join(wanted, ["feed_id", "word"]).select("user_id", "entry_id").distinct()
+    pairs = salted_join(
+        hits, wanted, ["feed_id", "word"], F.col("entry_id"), F.col("user_id"), count_left=False
+    )
+    return pairs.select("user_id", "entry_id").distinct()
 
 
 def fan_out(
@@ -82,7 +86,7 @@ def fan_out(
     )
     hidden = ignored_pairs(entries, subscriptions, ignore_words).withColumn("_hit", F.lit(1))
     return (
-        slim.join(subscriptions.select("user_id", "feed_id"), "feed_id")
+        salted_join(slim, subscriptions.select("user_id", "feed_id"), ["feed_id"], F.col("entry_id"), F.col("user_id"))
         .join(hidden, ["user_id", "entry_id"], "left")
         .withColumn("ignored", F.coalesce("_hit", F.lit(0)))
         .select(*STATE_COLUMNS)
@@ -106,11 +110,13 @@ def backfill_from_single_user(
     ``legacy_flags`` holds (entry_id, read_at, ignored) of the one old user;
     entries keep no registration time, so the fetch time stands in for it.
     """
-    return (
+    flagged = (
         entries.select(
             F.col("id").alias("entry_id"), "feed_id", "published_at", F.col("fetched_at").alias("created_at")
         )
-        .join(subscriptions.select("user_id", "feed_id"), "feed_id")
         .join(legacy_flags, "entry_id")
-        .select(*STATE_COLUMNS)
     )
+    rows = salted_join(
+        flagged, subscriptions.select("user_id", "feed_id"), ["feed_id"], F.col("entry_id"), F.col("user_id")
+    )
+    return rows.select(*STATE_COLUMNS)

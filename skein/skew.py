@@ -131,3 +131,49 @@ def sliced_last_value(
     return joined.withColumn(
         out, F.coalesce(F.last("_v", ignorenulls=True).over(inner), F.col("_offset"))
     ).drop("_offset", "_v")
+
+
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_spread: Column,
+    right_spread: Column,
+    rows_per_slice: int = 20_000,
+    count_left: bool = True,
+) -> DataFrame:
+    """Inner equi-join on ``keys`` whose hot keys are cut into a grid of tasks.
+
+    Counts of both sides (combined on the map side) say which keys have more
+    than ``rows_per_slice`` rows; only those are cut: a side of n rows into
+    ``ceil(n / rows_per_slice)`` slices by a hash of its spread expression,
+    and each side is copied once for every slice of the other.  So a cell holds
+    about ``rows_per_slice`` rows a side whatever a key holds, the narrow side
+    of a hot key (one slice) is what gets copied, and keys that are not hot
+    are joined as they are.  Null keys match nothing.
+
+    Counting computes a side twice.  Where the left side is costly and has few
+    rows, ``count_left=False`` cuts by the right side's counts alone and leaves
+    a skewed left side to the adaptive join.
+    """
+
+    def counted(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+    n, m = F.col("_n"), F.col("_m")
+    both = counted(right, "_m")
+    both = both.join(counted(left, "_n"), list(keys)) if count_left else both.withColumn("_n", F.lit(1))
+    grid = (
+        both.filter((n > rows_per_slice) | (m > rows_per_slice))
+        .select(*keys, F.ceil(n / rows_per_slice).cast("int").alias("_a"), F.ceil(m / rows_per_slice).cast("int").alias("_b"))
+    )
+
+    def celled(side: DataFrame, spread: Column, own: str, other: str) -> DataFrame:
+        slices, copies = F.coalesce(f"_{own}", F.lit(1)), F.coalesce(f"_{other}", F.lit(1))
+        cut = F.pmod(F.xxhash64(spread), slices).cast("int").alias(f"_{own}_cell")
+        copied = F.explode(F.sequence(F.lit(0), copies - 1)).alias(f"_{other}_cell")
+        return side.join(grid, list(keys), "left").select(*side.columns, cut, copied)
+
+    cells = ["_a_cell", "_b_cell"]
+    joined = celled(left, left_spread, "a", "b").join(celled(right, right_spread, "b", "a"), [*keys, *cells])
+    return joined.drop(*cells)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.skew import sliced_last_value, sliced_rank, sliced_running_count, top_n_per_key
+from skein.skew import salted_join, sliced_last_value, sliced_rank, sliced_running_count, top_n_per_key
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,23 @@ def test_last_value(skewed, forward):
     w = Window.partitionBy("k").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     want = sliced.withColumn("near", F.last(value, ignorenulls=True).over(w))
     assert sorted(got.select("id", "near").collect(), key=str) == sorted(want.select("id", "near").collect(), key=str)
+
+
+def test_salted_join_equals_the_plain_join_and_splits_one_key(spark, rows):
+    left = spark.range(5000).selectExpr("CASE WHEN id < 4900 THEN 1 ELSE id END AS k", "id AS a")
+    right = spark.range(40).selectExpr("CASE WHEN id < 30 THEN 1 ELSE id + 4890 END AS k", "id AS b")
+    odd = rows("k bigint, a bigint", [(None, -1)])
+    want = left.join(right, "k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for counted in (True, False):
+            got = salted_join(left.union(odd), right, ["k"], F.col("a"), F.col("b"), 10, counted)
+            assert got.columns == ["k", "a", "b"]
+            assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+            tasks = got.filter("k = 1").select(F.spark_partition_id()).distinct().count()
+            assert tasks > 1  # one key, several tasks
+    finally:
+        for name in ("adaptive.coalescePartitions.enabled", "shuffle.partitions", "autoBroadcastJoinThreshold"):
+            spark.conf.set(f"spark.sql.{name}", {"shuffle.partitions": "2"}.get(name, "true" if "adaptive" in name else "10MB"))
