@@ -17,7 +17,6 @@ doc_ids are ordered by text (nulls first).
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -117,81 +116,31 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-# The tokenizer's own pre-tokens, over lower-cased Latin-1 text: letters, numbers and white space
-# of that range written out.  Fixed values: the contractions come from the tokenizer file.
-_LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
-_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_SPACE = "\t-\r \x85\xa0"
-_PRETOKEN = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}{_SPACE}]+"
-)
-_SPACES = re.compile("[\t-\r ]+")
-_memo: dict[str, bytes] = {}
-
-
-@functools.cache
-def _pretoken_ends(path: str) -> np.ndarray:
-    """By id: whether the token ends a pre-token."""
-    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
-    ends = np.zeros(max(vocabulary.values()) + 1, bool)
-    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-    return ends
-
+_memo: dict[bytes, bytes] = {}
 
-def _parts(text: str) -> list[str]:
-    """Parts whose ids, one after the other, are the text's ids.
 
-    For text in Latin-1 these are the tokenizer's pre-tokens; its normalizer
-    only lower-cases there.  Other text, and text that spells a special token,
-    is cut at ASCII white space, which the tokenizer drops and never merges
-    across; those parts are marked by a leading blank.
-    """
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        plain = False
-    else:
-        plain = "<|" not in text
-    if plain:
-        return _PRETOKEN.findall(text.lower())
-    return [f" {w}" for w in _SPACES.split(text) if w]
-
-
-def encode_texts(path: str, texts: list[str], dtype: str) -> list[bytes]:
-    """Ids of each text by the tokenizer file at ``path``, as little-endian bytes.
+def encode_texts(path: str, texts: list[bytes], dtype: str) -> list[bytes]:
+    """Ids of each UTF-8 text by the tokenizer file at ``path``, as little-endian bytes.
 
-    Parts already seen by this worker come from a memo that is cleared when it is full.
+    Texts are cut at ASCII white space, which the tokenizer drops and never
+    merges across, so the ids of the parts, one after the other, are the
+    text's ids.  Parts already seen by this worker come from a memo that is
+    cleared when it is full.
     """
-    parts = [_parts(t) for t in texts]
-    fresh = {w for p in parts for w in p if w not in _memo}
+    parts = [t.split() for t in texts]
+    fresh = set().union(*parts).difference(_memo)
     if len(_memo) + len(fresh) > CACHE_PARTS:
         _memo.clear()
-        fresh = {w for p in parts for w in p}
-    _learn(path, sorted(fresh), dtype)
+        fresh = set().union(*parts)
+    words, tokenizer = sorted(fresh), _tokenizer(path)
+    for at in range(0, len(words), 10_000):
+        chunk = words[at : at + 10_000]
+        # The blank keeps a part what it is behind another one.
+        codes = tokenizer.encode_batch([f" {w.decode()}" for w in chunk], add_special_tokens=False)
+        _memo.update((w, np.array(code.ids, dtype).tobytes()) for w, code in zip(chunk, codes, strict=True))
     return [b"".join(map(_memo.__getitem__, p)) for p in parts]
 
 
-def _learn(path: str, fresh: list[str], dtype: str) -> None:
-    """Encode new parts: pre-tokens many at a time, told apart by their end tokens."""
-    tokenizer, ends = _tokenizer(path), _pretoken_ends(path)
-    whole = [w for w in fresh if w[0] == " "]
-    single = [w for w in fresh if w[0] != " "]
-    for at in range(0, len(single), 2_000):
-        chunk = single[at : at + 2_000]
-        ids = np.array(tokenizer.encode(" ".join(chunk), add_special_tokens=False).ids, np.int64)
-        stops = np.flatnonzero(ends[ids]) + 1
-        if len(stops) != len(chunk) or stops[-1] != len(ids):
-            whole += [w for w in chunk]
-            continue
-        raw, size = ids.astype(dtype).tobytes(), np.dtype(dtype).itemsize
-        edges = [0, *(stops * size).tolist()]
-        _memo.update((w, raw[s:e]) for w, s, e in zip(chunk, edges, edges[1:], strict=False))
-    for at in range(0, len(whole), 10_000):
-        chunk = whole[at : at + 10_000]
-        for word, code in zip(chunk, tokenizer.encode_batch(chunk, add_special_tokens=False), strict=True):
-            _memo[word] = np.array(code.ids, dtype).tobytes()
-
-
 FILE_SCHEMA = (
     "part int, row int, id_bytes int, ids binary, doc_ids array<bigint>, n_ids bigint, n_docs bigint,"
     " ef_low binary, ef_high binary, ef_samples binary"
@@ -212,7 +161,7 @@ def write_token_files(
     spark = docs.sparkSession
     if partitions is None:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     ordered = narrow.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     wide = _vocabulary_top(tokenizer_path, end_id) > 0xFFFF
     dtype = "<u4" if wide else "<u2"
@@ -242,7 +191,7 @@ def write_token_files(
             return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or b"" for t in batch.column("text").to_pylist()]
             for doc, ids in zip(
                 batch.column("doc_id").to_pylist(), encode_texts(tokenizer_path, texts, dtype), strict=True
             ):
