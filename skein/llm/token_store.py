@@ -127,6 +127,7 @@ _PRETOKEN = re.compile(
 )
 _SPACES = re.compile("[\t-\r ]+")
 _memo: dict[str, bytes] = {}
+_words: dict[bytes, bytes] = {}
 
 
 @functools.cache
@@ -157,18 +158,26 @@ def _parts(text: str) -> list[str]:
     return [f" {w}" for w in _SPACES.split(text) if w]
 
 
-def encode_texts(path: str, texts: list[str], dtype: str) -> list[bytes]:
-    """Ids of each text by the tokenizer file at ``path``, as little-endian bytes.
+def encode_texts(path: str, texts: list[bytes], dtype: str) -> list[bytes]:
+    """Ids of each UTF-8 text by the tokenizer file at ``path``, as little-endian bytes.
 
-    Parts already seen by this worker come from a memo that is cleared when it is full.
+    Texts are cut at ASCII white space.  Words already seen by this worker come
+    from a memo; new ones are put together from the parts of a second memo.
+    Either is cleared when it is full.
     """
-    parts = [_parts(t) for t in texts]
-    fresh = {w for p in parts for w in p if w not in _memo}
-    if len(_memo) + len(fresh) > CACHE_PARTS:
+    words = [t.split() for t in texts]
+    fresh = set().union(*words).difference(_words)
+    if len(_words) + len(fresh) > CACHE_PARTS:
+        _words.clear()
+        fresh = set().union(*words)
+    parts = {w: _parts(w.decode()) for w in fresh}
+    unknown = set().union(*parts.values()).difference(_memo)
+    if len(_memo) + len(unknown) > CACHE_PARTS:
         _memo.clear()
-        fresh = {w for p in parts for w in p}
-    _learn(path, sorted(fresh), dtype)
-    return [b"".join(map(_memo.__getitem__, p)) for p in parts]
+        unknown = set().union(*parts.values())
+    _learn(path, sorted(unknown), dtype)
+    _words.update((w, b"".join(map(_memo.__getitem__, p))) for w, p in parts.items())
+    return [b"".join(map(_words.__getitem__, w)) for w in words]
 
 
 def _learn(path: str, fresh: list[str], dtype: str) -> None:
@@ -212,7 +221,7 @@ def write_token_files(
     spark = docs.sparkSession
     if partitions is None:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     ordered = narrow.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     wide = _vocabulary_top(tokenizer_path, end_id) > 0xFFFF
     dtype = "<u4" if wide else "<u2"
@@ -242,7 +251,7 @@ def write_token_files(
             return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or b"" for t in batch.column("text").to_pylist()]
             for doc, ids in zip(
                 batch.column("doc_id").to_pylist(), encode_texts(tokenizer_path, texts, dtype), strict=True
             ):
