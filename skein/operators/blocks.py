@@ -8,8 +8,11 @@ versions of one source together.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from skein.functions.urls import display_title
 from skein.skew import sliced_last_value
 
 MAX_BLOCKS = 5000
+#: Above this many blocks on a side, copies are picked without alignment.
+ALIGNED_BLOCKS = 2000
 MAX_STATE_BYTES = 512 * 1024
 RULES_VERSION = 1
 STATE_VERSION = 1
@@ -104,9 +109,8 @@ def block_diff(prev: DataFrame, curr: DataFrame, by: Sequence[str]) -> DataFrame
 
     Both sides carry the same ``by`` label.  Returns the surplus rows with
     ``change`` 'added' (last copies of the current side) or 'removed' (first
-    copies of the previous side).  Aligning the sequences first would change
-    only which copy of a repeated block is shown, so no alignment table is
-    needed and the cost is linear.
+    copies of the previous side).  ``aligned_diff`` picks the copies by
+    alignment instead; how many of each key there are is the same.
     """
     both = prev.withColumn("_side", F.lit(0)).unionByName(curr.withColumn("_side", F.lit(1)))
     same = Window.partitionBy(*by, "key")
@@ -127,6 +131,92 @@ def block_diff(prev: DataFrame, curr: DataFrame, by: Sequence[str]) -> DataFrame
     )
 
 
+def aligned_positions(prev: list, curr: list) -> tuple[list[int], list[int]]:
+    """Indices (added in ``curr``, removed from ``prev``) outside a longest common subsequence, moves cancelled.
+
+    Lengths of common subsequences of all tails are computed row by row, each
+    row one running maximum.  Walking forward, equal blocks are paired; of
+    two equally long ways on, the one that drops the previous side's block is
+    taken.  A key that falls out on both sides has moved: as many of its first
+    indices as both sides have are taken back.
+    """
+    codes = {key: i for i, key in enumerate(dict.fromkeys([*prev, *curr]))}
+    a, b = (np.array([codes[k] for k in side], np.int32) for side in (prev, curr))
+    n, m = len(a), len(b)
+    tails = np.zeros((n + 1, m + 1), np.int16)
+    for i in range(n - 1, -1, -1):
+        best = np.where(b == a[i], tails[i + 1, 1:] + 1, tails[i + 1, :-1])
+        tails[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    added: list[int] = []
+    removed: list[int] = []
+    i = j = 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+        elif tails[i + 1, j] >= tails[i, j + 1]:
+            removed.append(i)
+            i += 1
+        else:
+            added.append(j)
+            j += 1
+    removed += range(i, n)
+    added += range(j, m)
+    moved = Counter(b[added].tolist()) & Counter(a[removed].tolist())
+
+    def kept(indices: list[int], side: np.ndarray) -> list[int]:
+        left, out = Counter(moved), []
+        for at in indices:
+            if left[side[at]] > 0:
+                left[side[at]] -= 1
+            else:
+                out.append(at)
+        return out
+
+    return kept(added, b), kept(removed, a)
+
+
+def aligned_diff(prev: DataFrame, curr: DataFrame, by: Sequence[str], limit: int = ALIGNED_BLOCKS) -> DataFrame:
+    """``block_diff`` with the shown copies of repeated blocks picked by alignment.
+
+    Alignment can only change which copy is shown, and only where some but not
+    all copies of a key on one side are surplus.  Pairs of versions without
+    such a key, and those with more than ``limit`` blocks on a side, keep the
+    rows of ``block_diff``; the others, at most ``2 * limit`` rows each, are
+    aligned one by one.
+    """
+    plain = block_diff(prev, curr, by)
+    sides = prev.select(*by, "pos", "key", F.lit(0).alias("_side")).unionByName(
+        curr.select(*by, "pos", "key", F.lit(1).alias("_side"))
+    )
+    was, now = F.count_if(F.col("_side") == 0), F.count_if(F.col("_side") == 1)
+    keys = sides.groupBy(*by, "key").agg(was.alias("_was"), now.alias("_is"))
+    open_key = (F.least("_was", "_is") > 0) & (F.col("_was") != F.col("_is"))
+    pairs = (
+        keys.groupBy(*by)
+        .agg(F.sum("_was").alias("_n"), F.sum("_is").alias("_m"), F.max(open_key).alias("_open"))
+        .filter(F.col("_open") & (F.greatest("_n", "_m") <= limit))
+        .select(*by)
+    )
+    types = dict(sides.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (*by, "pos")) + ", _side int"
+
+    def align(group: pd.DataFrame) -> pd.DataFrame:
+        ordered = group.sort_values("pos", kind="stable")
+        old, new = (ordered[ordered["_side"] == side] for side in (0, 1))
+        added, removed = aligned_positions(old["key"].tolist(), new["key"].tolist())
+        shown = pd.concat([new.iloc[added], old.iloc[removed]])
+        return shown[[*by, "pos", "_side"]]
+
+    shown = sides.join(pairs, list(by), "left_semi").groupBy(*by).applyInPandas(align, schema)
+    both = prev.withColumn("_side", F.lit(0)).unionByName(curr.withColumn("_side", F.lit(1)))
+    picked = (
+        both.join(shown, [*by, "pos", "_side"], "left_semi")
+        .withColumn("change", F.when(F.col("_side") == 1, "added").otherwise("removed"))
+        .drop("_side")
+    )
+    return plain.join(pairs, list(by), "left_anti").unionByName(picked.select(*plain.columns))
+
+
 def changed_chars(diff: DataFrame, by: Sequence[str]) -> DataFrame:
     """Characters of changed text per version: (by..., changed_chars)."""
     return diff.groupBy(*by).agg(F.sum(F.char_length("text")).alias("changed_chars"))

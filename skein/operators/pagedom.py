@@ -240,26 +240,31 @@ def alternate_feeds(nodes: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def _scan(value: Any) -> str:
-    """First datePublished of an article-like object anywhere in JSON-LD."""
-    if isinstance(value, dict):
-        kind = value.get("@type")
-        if isinstance(kind, list):
-            kind = next((k for k in kind if isinstance(k, str)), "")
-        date = value.get("datePublished")
-        if kind in ARTICLE_TYPES and isinstance(date, str) and date:
-            return date
-        value = list(value.values())
-    if isinstance(value, list):
-        return next((found for found in map(_scan, value) if found), "")
+    """First datePublished of an article-like object anywhere in JSON-LD, in document order."""
+    waiting = [value]
+    while waiting:
+        one = waiting.pop()
+        if isinstance(one, dict):
+            kind = one.get("@type")
+            if isinstance(kind, list):
+                kind = next((k for k in kind if isinstance(k, str)), "")
+            date = one.get("datePublished")
+            if isinstance(kind, str) and kind in ARTICLE_TYPES and isinstance(date, str) and date:
+                return date
+            waiting += reversed(list(one.values()))
+        elif isinstance(one, list):
+            waiting += reversed(one)
     return ""
 
 
 @F.pandas_udf(T.StringType())
 def jsonld_date(raw: pd.Series) -> pd.Series:
+    """Null for a text that is no JSON or is nested beyond what the parser takes."""
+
     def one(text: str | None) -> str | None:
         try:
             return _scan(json.loads(text or "null")) or None
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
 
     return raw.map(one)

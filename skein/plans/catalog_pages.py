@@ -87,6 +87,27 @@ def _(fx):
     return _diff(fx).select(*BY, "pos", "key", "change")
 
 
+# Alignment is no SQL; tests compare it with a plain one, and its counts with block_diff.
+@query("aligned_block_diff")
+def _(fx):
+    keyed, pairs = _keyed(fx), _versions(fx)
+    prev = blocks.previous_blocks(keyed, pairs, "source", "version")
+    later = keyed.join(pairs.select(*BY), BY, "left_semi")
+    return blocks.aligned_diff(prev, later, BY).select(*BY, "pos", "key", "change")
+
+
+@query(
+    "aligned_diff_counts",
+    f"SELECT source, version, key, change, count(*) AS n FROM {_DIFF_SQL} d GROUP BY source, version, key, change",
+)
+def _(fx):
+    keyed, pairs = _keyed(fx), _versions(fx)
+    prev = blocks.previous_blocks(keyed, pairs, "source", "version")
+    later = keyed.join(pairs.select(*BY), BY, "left_semi")
+    found = blocks.aligned_diff(prev, later, BY)
+    return found.groupBy(*BY, "key", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "changed_chars",
     f"SELECT source, version, sum(length(text))::BIGINT AS changed_chars FROM {_DIFF_SQL} d GROUP BY source, version",

@@ -72,7 +72,7 @@ def watch_round(
     )
 
     shape = ["source_id", "pos", "key", "html", "text"]
-    diff = blocks.block_diff(prev.select(*shape), current.select(*shape), BY)
+    diff = cut_lineage(blocks.aligned_diff(prev.select(*shape), current.select(*shape), BY))
     old_hash = prev.groupBy("source_id").agg(
         F.sha2(blocks.joined_in_order("key"), 256).alias("prev_hash"), F.min("can_remask").alias("can_remask")
     )
