@@ -28,12 +28,6 @@ def _first_labels(both: DataFrame) -> DataFrame:
     return both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
 
 
-def coarse_labels(links: DataFrame) -> DataFrame:
-    """(node, label) after one round only: nodes of one label are connected, the converse need not hold."""
-    both = _both_ways(links)
-    return stored(_step(both, _first_labels(both)).select("node", "label"), "labels")
-
-
 def connected(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (columns a, b); the label is the smallest node.
 

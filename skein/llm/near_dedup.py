@@ -7,15 +7,20 @@ arrival lands in a random register and keeps it if it is the earliest; a
 process ends once its time is past the latest register of its text, so a
 text costs about its length plus ``m log m`` arrivals.  Registers are banded
 (``BANDS`` of ``ROWS``): a pair at 0.8 shares a band with probability
-1 - (1 - 0.8**6)**32 > 0.9999.
+1 - (1 - 0.8**8)**48 > 0.9998, a pair at 0.5 with 0.17.
 
 Texts with the same words are one node from the start.  A band shared by
-several nodes is a bucket.  In every round each bucket compares its members
-with a few pivots of its own, except those known to be in the pivot's class, by
-the exact similarity of their texts; pivots then leave, and a bucket whose
-members are all known in one class is done.  Pivots grow each round.  So every
-pair that shares a band is either compared or already in one class: no pair is
-lost, and a bucket of many copies costs its size, not its square.
+several nodes is a bucket.  Star rounds come first: a few bands, then all of
+them; every bucket compares one pivot of its largest class with its members of
+other classes by the exact similarity of their texts, and classes are joined in
+full between rounds.  A last round takes what is left: all pairs of different
+classes in a bucket, at least one of them outside its largest class.  There a
+pair is compared if its sketches (one bit a register) differ in no more bits
+than a pair at the limit does by six standard deviations; a pair at 0.8 fails
+that with probability below 1e-7.  So every pair that shares a band is in one
+class, compared, or apart by its sketch.  A bucket of copies costs its size; a
+bucket of c classes that stay apart costs its size times the members outside
+its largest class in sketch tests, and text comparisons only for near pairs.
 
 A null text, and a text without words, is alone unless an equal text exists
 (nulls are equal if their doc_id is).  Repeated rows share a class.  The class
@@ -29,18 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import map_batches, stored
-from skein.llm.components import coarse_labels, connected
+from skein.llm.components import connected
 from skein.llm.textbytes import find_words, mix, shingles, text_bytes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 6
-#: How much a bucket's pivots grow from round to round.
-GROWTH = 8
+BANDS, ROWS = 48, 8
+#: Bands of the first star round, and star rounds before the last round.
+FIRST_BANDS, STAR_ROUNDS = 4, 4
+#: Standard deviations by which sketches of a pair at the limit may differ beyond their mean.
+SKETCH_SLACK = 6.0
 
 
 def weighted_shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +87,26 @@ def prob_minhash(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int,
     return owner.reshape(rows, m)
 
 
+def _sketch(registers: np.ndarray) -> np.ndarray:
+    """One bit of each register, packed into signed words (rows x ceil(m / 64)); the bits beyond m are 0."""
+    n, m = registers.shape
+    place = mix(np.arange(1, m + 1, dtype=np.uint64))
+    bits = np.zeros((n, -(-m // 64) * 64), np.uint8)
+    bits[:, :m] = mix(registers ^ place[None, :]) >> np.uint64(63)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def sketch_limit(similarity: float, m: int) -> int:
+    """Bits in which the sketches of a pair at ``similarity`` or above may differ."""
+    p = (1.0 - similarity) / 2
+    return int(np.ceil(m * p + SKETCH_SLACK * np.sqrt(m * p * (1 - p)) + SKETCH_SLACK))
+
+
+def _differing_bits(a: str, b: str, words: int) -> Column:
+    parts = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)]
+    return sum(parts[1:], parts[0])
+
+
 def _text_keys(texts: pa.Array, ids: list) -> list[bytes]:
     """128-bit key of each row's word sequence; of the text itself where it has no words."""
     data, offsets = text_bytes(texts)
@@ -105,7 +132,7 @@ def _text_keys(texts: pa.Array, ids: list) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """doc_id, th (a plain hash of the text), key of the word sequence, band keys."""
+    """doc_id, th (a plain hash of the text), key of the word sequence, band keys, sketch words."""
     narrow = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")
     )
@@ -115,6 +142,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
             texts, n = batch.column("text"), batch.num_rows
             row, h, count = weighted_shingles(texts)
             registers = prob_minhash(row, h, count, n, bands * rows).reshape(n, bands, rows)
+            sketch = _sketch(registers.reshape(n, bands * rows))
             key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0xA24BAED4963EE407)
             key = np.repeat(key, n, axis=0)
             for j in range(rows):
@@ -128,12 +156,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
                     batch.column("th"),
                     pa.array(_text_keys(texts, batch.column("doc_id").to_pylist()), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(lists), flat),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.arange(n + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.ravel())
+                    ),
                 ],
-                ["doc_id", "th", "key", "bands"],
+                ["doc_id", "th", "key", "bands", "sketch"],
             )
 
     id_type = dict(narrow.dtypes)["doc_id"]
-    return map_batches(narrow, run, f"doc_id {id_type}, th bigint, key binary, bands array<bigint>")
+    return map_batches(narrow, run, f"doc_id {id_type}, th bigint, key binary, bands array<bigint>, sketch array<bigint>")
 
 
 def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -182,6 +213,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return map_batches(joined, run, "a binary, b binary")
 
 
+def _mixed(members: DataFrame, labels: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """Members (band, key, label) of buckets with several classes, and (band, top, head): a bucket's largest
+    class and one member of it, another in every step."""
+    named = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
+        "band", "key", F.coalesce("label", "key").alias("label")
+    )
+    sizes = named.groupBy("band", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("key", F.xxhash64("key", F.lit(step))).alias("head")
+    )
+    tops = sizes.groupBy("band").agg(
+        F.max_by(F.struct("label", "head"), F.struct("n", F.xxhash64("label", F.lit(step)))).alias("t"),
+        F.count(F.lit(1)).alias("classes"),
+    )
+    tops = stored(
+        tops.filter("classes > 1").select("band", F.col("t.label").alias("top"), F.col("t.head").alias("head")), "dedup"
+    )
+    return stored(named.join(tops.select("band"), "band"), "dedup"), tops
+
+
+def _apart(others: DataFrame, members: DataFrame, nodes: DataFrame, limit: int, words: int) -> DataFrame:
+    """(x, y): pairs of a bucket in different classes, x outside its largest, whose sketches are near."""
+    sketches = nodes.select("key", "sketch")
+    left = others.join(sketches, "key").select(
+        "band", F.col("key").alias("x"), F.col("label").alias("lx"), F.col("top"), F.col("sketch").alias("sx")
+    )
+    right = members.join(sketches, "key").select(
+        F.col("band").alias("band_y"), F.col("key").alias("y"), F.col("label").alias("ly"), F.col("sketch").alias("sy")
+    )
+    near = (
+        (F.col("band") == F.col("band_y"))
+        & (F.col("lx") != F.col("ly"))
+        & ((F.col("ly") == F.col("top")) | (F.col("x") < F.col("y")))
+        & (_differing_bits("sx", "sy", words) <= limit)
+    )
+    return left.join(right, near).select("x", "y")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links``: links between classes are joined first, then carried to the members."""
+    now = links
+    for side in ("a", "b"):
+        of = labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+        now = now.join(of, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+    merged = connected(now.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a != b").distinct())
+    after = merged.select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    moved = labels.join(after, "label", "left").select("node", F.coalesce("joined", "label").alias("label"))
+    new = merged.join(labels.select("node"), "node", "left_anti")
+    return stored(moved.union(new), "dedup")
+
+
 def classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -194,54 +275,39 @@ def classes(
     spark = docs.sparkSession
     signed = stored(signatures(docs, id_col, text_col, bands, rows), "dedup")
     nodes = signed.groupBy("key").agg(
-        F.min_by("bands", "th").alias("bands"),
+        F.min_by(F.struct("bands", "sketch"), "th").alias("own"),
         F.min(F.struct("doc_id", "th")).alias("who"),
     )
-    cells = stored(nodes.select("key", "who", F.explode("bands").alias("band")), "dedup")
+    nodes = stored(nodes.select("key", "who", "own.*"), "dedup")
+    cells = nodes.select("key", F.posexplode("bands").alias("at", "band"))
     shared = cells.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    members = stored(cells.join(shared, "band").select("band", "key", "who"), "dedup")
-    wanted = members.groupBy("key").agg(F.first("who").alias("who")).select("key", "who.*")
+    members = stored(cells.join(shared, "band").select("band", "at", "key"), "dedup")
+    wanted = members.select("key").distinct().join(nodes, "key").select("key", "who.*")
     source = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")
     )
     same = (source["th"] == wanted["th"]) & source["doc_id"].eqNullSafe(wanted["doc_id"])
     texts = stored(source.join(wanted, same).select("key", "text").dropDuplicates(["key"]), "dedup")
 
-    active = members.select("band", "key")
-    links = spark.createDataFrame([], "a binary, b binary")
-    tested = links
+    tested = spark.createDataFrame([], "a binary, b binary")
     labels = spark.createDataFrame([], "node binary, label binary")
-    step = 0
-    while not active.isEmpty():
-        salt = F.pmod(F.xxhash64("key", F.lit(step)), F.lit(GROWTH**step))
-        pivots = active.groupBy("band", salt.alias("salt")).agg(F.min("key").alias("pivot")).select("band", "pivot")
-        pairs = (
-            active.join(pivots, "band")
-            .filter(F.col("key") != F.col("pivot"))
-            .select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
-            .distinct()
-        )
-        named = labels.select(F.col("node"), F.col("label"))
-        pairs = (
-            pairs.join(named.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-            .join(named.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-            .filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-            .select("a", "b")
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        pairs = stored(pairs, "dedup")
-        links = stored(links.union(_verified(pairs, texts, similarity)), "dedup")
+    for step in range(STAR_ROUNDS + 1):
+        open_, tops = _mixed(members.filter(F.col("at") < FIRST_BANDS) if step == 0 else members, labels, step)
+        if open_.isEmpty():
+            if step == 0:
+                continue
+            break
+        others = open_.join(tops, "band").filter(F.col("label") != F.col("top"))
+        if step < STAR_ROUNDS:
+            found = others.select(F.col("key").alias("x"), F.col("head").alias("y"))
+        else:
+            found = _apart(others, open_, nodes, sketch_limit(similarity, bands * rows), -(-bands * rows // 64))
+        pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "dedup")
+        links = stored(_verified(pairs, texts, similarity), "dedup")
         tested = tested.union(pairs)
-        labels = coarse_labels(links)
-        rest = active.join(pivots.withColumnRenamed("pivot", "key"), ["band", "key"], "left_anti")
-        rest = rest.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
-            "label", F.coalesce("label", "key")
-        )
-        mixed = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
-        active = stored(rest.join(mixed.select("band"), "band").select("band", "key"), "dedup")
-        step += 1
-
-    labels = connected(links)
+        labels = _merged(labels, links)
+
     named = signed.select("doc_id", "th", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("label", F.coalesce("label", "key"))
     heads = named.groupBy("label").agg(

@@ -116,6 +116,31 @@ def test_classes_equal_all_pairs(docs, seed):
     assert got(near_dedup.classes(docs(rows))) == wanted(rows)
 
 
+def test_a_bucket_of_texts_below_the_limit(docs):
+    """Texts alike at about 0.6 share many bands; chained copies among them still meet."""
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(40):
+        text = list(base)
+        for at in range(3 + i % 5, 200, 29):
+            text[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(text)))
+        rows.append((100 + i, " ".join(text[:-2] + ["tail", f"t{i}"])))
+    assert got(near_dedup.classes(docs(rows))) == wanted(rows, fast_similarity)
+
+
+def test_sketches_keep_pairs_at_the_limit():
+    m = near_dedup.BANDS * near_dedup.ROWS
+    draw = np.random.default_rng(3)
+    a = draw.integers(1, 1 << 62, (2000, m), dtype=np.int64).astype(np.uint64)
+    b = np.where(draw.random((2000, m)) < near_dedup.SIMILARITY, a, a + np.uint64(1))
+    differ = np.unpackbits((near_dedup._sketch(a) ^ near_dedup._sketch(b)).view(np.uint8), axis=1).sum(1)
+    assert differ.max() <= near_dedup.sketch_limit(near_dedup.SIMILARITY, m)
+    far = np.unpackbits((near_dedup._sketch(a) ^ near_dedup._sketch(b[::-1])).view(np.uint8), axis=1).sum(1)
+    assert far.min() > near_dedup.sketch_limit(near_dedup.SIMILARITY, m)
+
+
 def test_odd_rows(docs, odd_rows, with_clashes):
     df = with_clashes(docs(odd_rows))
     classes = set(got(near_dedup.classes(df.filter("doc_id is not null"))))
