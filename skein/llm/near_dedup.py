@@ -15,9 +15,9 @@ them; every bucket compares one pivot of its largest class with its members of
 other classes by the exact similarity of their texts, and classes are joined in
 full between rounds.  A last round takes what is left: all pairs of different
 classes in a bucket, at least one of them outside its largest class.  There a
-pair is compared if its sketches (one bit a register) differ in no more bits
-than a pair at the limit does by six standard deviations; a pair at 0.8 fails
-that with probability below 1e-7.  So every pair that shares a band is in one
+pair is compared if its sketches (two bits a register) differ in no more
+registers than those of a pair at the limit do by five standard deviations, so
+from about 0.68; a pair at 0.8 fails that with probability below 1e-5.  So every pair that shares a band is in one
 class, compared, or apart by its sketch.  A bucket of copies costs its size; a
 bucket of c classes that stay apart costs its size times the members outside
 its largest class in sketch tests, and text comparisons only for near pairs.
@@ -47,7 +47,7 @@ BANDS, ROWS = 48, 8
 #: Bands of the first star round, and star rounds before the last round.
 FIRST_BANDS, STAR_ROUNDS = 4, 4
 #: Standard deviations by which sketches of a pair at the limit may differ beyond their mean.
-SKETCH_SLACK = 6.0
+SKETCH_SLACK = 5.0
 
 
 def weighted_shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,22 +88,27 @@ def prob_minhash(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int,
 
 
 def _sketch(registers: np.ndarray) -> np.ndarray:
-    """One bit of each register, packed into signed words (rows x ceil(m / 64)); the bits beyond m are 0."""
+    """Two bits of each register as signed words (rows x 2 ceil(m / 64)): all first bits, then all second bits."""
     n, m = registers.shape
     place = mix(np.arange(1, m + 1, dtype=np.uint64))
-    bits = np.zeros((n, -(-m // 64) * 64), np.uint8)
-    bits[:, :m] = mix(registers ^ place[None, :]) >> np.uint64(63)
-    return np.packbits(bits, axis=1).view(np.int64)
+    mixed = mix(registers ^ place[None, :])
+    bits = np.zeros((n, 2, -(-m // 64) * 64), np.uint8)
+    bits[:, 0, :m] = mixed >> np.uint64(63)
+    bits[:, 1, :m] = mixed >> np.uint64(62) & np.uint64(1)
+    return np.packbits(bits.reshape(n, -1), axis=1).view(np.int64)
 
 
 def sketch_limit(similarity: float, m: int) -> int:
-    """Bits in which the sketches of a pair at ``similarity`` or above may differ."""
-    p = (1.0 - similarity) / 2
-    return int(np.ceil(m * p + SKETCH_SLACK * np.sqrt(m * p * (1 - p)) + SKETCH_SLACK))
+    """Registers in whose two bits the sketches of a pair at ``similarity`` or above may differ."""
+    p = (1.0 - similarity) * 3 / 4
+    return int(np.ceil(m * p + SKETCH_SLACK * np.sqrt(m * p * (1 - p))))
 
 
-def _differing_bits(a: str, b: str, words: int) -> Column:
-    parts = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)]
+def _differing(a: str, b: str, words: int) -> Column:
+    def unlike(i: int) -> Column:
+        return F.col(a)[i].bitwiseXOR(F.col(b)[i])
+
+    parts = [F.bit_count(unlike(i).bitwiseOR(unlike(words + i))) for i in range(words)]
     return sum(parts[1:], parts[0])
 
 
@@ -245,7 +250,7 @@ def _apart(others: DataFrame, members: DataFrame, nodes: DataFrame, limit: int,
         (F.col("band") == F.col("band_y"))
         & (F.col("lx") != F.col("ly"))
         & ((F.col("ly") == F.col("top")) | (F.col("x") < F.col("y")))
-        & (_differing_bits("sx", "sy", words) <= limit)
+        & (_differing("sx", "sy", words) <= limit)
     )
     return left.join(right, near).select("x", "y")
 
