@@ -1,8 +1,8 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns give the base spans.  In every document, each token with a digit or an
-at sign, and each token that is the user part of an address, becomes a node of
-a field over the labels ``LABELS``; all other tokens are nothing.  Neighbouring
+at sign, and each token that is the user part of an address and no role name
+(``ROLE_NAMES``), becomes a node of a field over the labels ``LABELS``; all other tokens are nothing.  Neighbouring
 nodes share a transition potential; nodes that repeat each other anywhere in
 the document (same address or user part, same last seven digits) share a hub
 node, joined to each by a skip potential that favours one label.  A hub takes
@@ -20,8 +20,9 @@ and position), labelled by the patterns.  Everything else runs on
 all documents and whole texts.  A key has one hub, so a round of messages costs
 the document's number of tokens; rounds go on until messages stand still.
 
-Null and empty texts have no spans; repeated rows repeat; only the id and text
-columns are read.
+Null and empty texts have no spans, and an empty table gives an empty one;
+repeated rows repeat; only the id and text columns are read, so others cannot
+clash.  Tokens and spans are found in one walk over a text of any length.
 """
 
 from __future__ import annotations
@@ -48,6 +49,18 @@ ROUNDS = 1000
 LEAST_BELIEF = 0.6
 LEAST_DIGITS = {"email": 0, "ip": 4, "card": 12, "phone": 7}
 
+# User parts that name a role, not a person; as bare words they are ordinary text.
+ROLE_NAMES = frozenset(
+    "abuse account accounts admin administrator advertising alerts billing booking bookings business careers "
+    "community contact customer customers customerservice design developer developers director editor editorial "
+    "education events experts feedback finance founder general guest hello helpdesk hosting hotel information "
+    "inquiries investor invoice legal letters library loans mailbox mailer manager marketing media members "
+    "membership newsletter noreply notifications office online orders owner partner partners partnership payment "
+    "payments postmaster press privacy product products projects questions recruiting reception registration "
+    "research reservations returns reviews sales school schools science secretary security service services "
+    "shipping status store student studio submissions subscribe support teacher tickets training travel "
+    "unsubscribe update updates volunteer webmaster welcome".split()
+)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # After the first digit of a run no later start of that run can match, and
@@ -56,7 +69,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
-TOKEN = re.compile(r"[^\s,;:!?\"'()<>\[\]{}|]*[^\s,;:!?\"'()<>\[\]{}|.]")
+#: Tokens are these runs without the dots at their end.
+RUN = re.compile(r"[^\s,;:!?\"'()<>\[\]{}|]+")
 BETWEEN = re.compile(r"[\s()]*")
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
 
@@ -125,9 +139,11 @@ class Nodes(NamedTuple):
 
 
 def nodes_of(text: str) -> Nodes:
-    tokens = [(m.span(), m[0]) for m in TOKEN.finditer(text)] if "@" in text or DIGIT.search(text) else []
+    runs = RUN.finditer(text) if "@" in text or DIGIT.search(text) else ()
+    bare = ((m.start(), m[0].rstrip(".")) for m in runs)
+    tokens = [((s, s + len(t)), t) for s, t in bare if t]
     users = {t.lower().split("@")[0] for _, t in tokens if "@" in t}
-    users = {u for u in users if len(u) >= 5}
+    users = {u for u in users if len(u) >= 5 and u not in ROLE_NAMES}
     spans = [s for s, t in tokens if "@" in t or DIGIT.search(t) or (users and t.lower() in users)]
     n = len(spans)
     features = np.zeros((n, len(FEATURES)))
@@ -155,15 +171,19 @@ def nodes_of(text: str) -> Nodes:
     return Nodes(spans, features, joined, keys)
 
 
+def first_over(spans: list[tuple[int, int]], base: list[Span]) -> Iterator[Span | None]:
+    """For each of ``spans`` (ascending, apart) the first base span over it; one walk over both lists."""
+    at = 0
+    for start, end in spans:
+        while at < len(base) and base[at][2] <= start:
+            at += 1
+        yield base[at] if at < len(base) and base[at][1] < end else None
+
+
 def observed(nodes: Nodes, base: list[Span]) -> np.ndarray:
     """Label number of the base span that covers each token, 0 where none does."""
-    out = np.zeros(len(nodes.spans), np.int64)
-    for i, (s, e) in enumerate(nodes.spans):
-        for kind, bs, be in base:
-            if bs < e and s < be:
-                out[i] = LABELS.index(kind)
-                break
-    return out
+    over = first_over(nodes.spans, base)
+    return np.array([LABELS.index(s[0]) if s else 0 for s in over], np.int64)
 
 
 # --- the model ----------------------------------------------------------------------------------------
@@ -326,11 +346,11 @@ def added_spans(text: str, base: list[Span], model: Model) -> list[Span]:
         while j + 1 < n and nodes.joined[j + 1] and label[j + 1] == label[i] and label[i]:
             j += 1
         kind, (start, end) = LABELS[label[i]], (nodes.spans[i][0], nodes.spans[j][1])
-        free = all(end <= s or e <= start for _, s, e in base)
-        if label[i] and free and len(DIGIT.findall(text[start:end])) >= LEAST_DIGITS[kind]:
+        if label[i] and len(DIGIT.findall(text[start:end])) >= LEAST_DIGITS[kind]:
             found.append((kind, start, end))
         i = j + 1
-    return found
+    over = first_over([(s, e) for _, s, e in found], base)
+    return [span for span, taken in zip(found, over, strict=True) if not taken]
 
 
 def scan(text: str, model: Model) -> list[tuple[str, int, int, bool]]:

@@ -6,7 +6,7 @@ keyword.  Token formats that carry a checksum or a structure are kept only if
 it holds.  Long hexadecimal runs have no keyword; they are found by their own
 pattern over the text.
 
-Null and empty texts give no spans.  Repeated rows give repeated results; the
+Null and empty texts give no spans, and an empty table an empty one.  Repeated rows give repeated results; the
 text is scanned whole, in time linear in its length.  Only the id and text
 columns are read, so other columns cannot clash.
 """
@@ -58,6 +58,8 @@ CHECKED = {
     "jwt": re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"),
     "pem": re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----"),
 }
+#: What a token's part may hold: where a match failed, it fails from every later start in the same run.
+PART = re.compile(rb"[A-Za-z0-9_-]*+")
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
@@ -110,7 +112,11 @@ def scan(raw: bytes) -> list[tuple[str, int, int, bool]]:
         pattern = ASSIGN if kind == "assign" else ACCESS if kind == "access" else CHECKED[kind]
         done = 0
         for start in sorted(set(starts)):
-            if start < done or not (match := pattern.match(raw, start)):
+            if start < done:
+                continue
+            if not (match := pattern.match(raw, start)):
+                if kind == "jwt" and raw.startswith(b"eyJ", start):
+                    done = PART.match(raw, start).end()
                 continue
             done = match.end()
             if kind == "assign":
@@ -119,6 +125,8 @@ def scan(raw: bytes) -> list[tuple[str, int, int, bool]]:
                 keep = done - start >= 20
             else:
                 keep = valid(kind, match)
+                if kind == "jwt" and not keep:
+                    done = match.end(1)  # its second part may begin a token
             if keep:
                 found.append((kind, start, done, kind in BASE_KINDS))
     found += [("hex", m.start(), m.end(), True) for m in HEX.finditer(raw)]

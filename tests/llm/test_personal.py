@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import brute
 import numpy as np
@@ -87,6 +88,30 @@ def test_evidence_reaches_every_repeat(model):
         assert found == ["jonasbeck"] * n
 
 
+def test_role_names_stay_words(model):
+    text = "ask support@mail.example.com or sales@mail.example.com; our support and sales teams support you"
+    assert [s for s in pii_crf.scan(text, model) if not s[3]] == []
+
+
+def test_hostile_texts_are_linear(model):
+    began = time.process_time()
+    pii_crf.scan("." * 1_000_000 + " 1", model)
+    addresses = " ".join(f"user{i}x@mail.example.com," for i in range(20_000))
+    assert len(pii_crf.scan(addresses, model)) == 20_000
+    assert time.process_time() - began < 20
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 4)), max_size=8), st.text(alphabet="1.@a +-", max_size=40))
+def test_the_walk_finds_the_first_span_over_each(gaps, text):
+    spans, at = [], 0
+    for gap, size in gaps:
+        spans.append((at + gap, at + gap + size))
+        at += gap + size
+    base = brute.personal(text)
+    plain = [next((b for b in base if b[1] < e and s < b[2]), None) for s, e in spans]
+    assert list(pii_crf.first_over(spans, base)) == plain
+
+
 def test_the_field_does_not_need_a_base_span(model):
     text = "write to user@exämple.com about it"
     for shown in (text, text + "; host 10.0.0.1"):

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import base64
+import time
+
 import zlib
 
 import brute
@@ -48,6 +51,18 @@ def test_checksums_decide_added_kinds():
     assert kinds == [("github", 2)]
 
 
+def test_long_runs_of_a_keyword_are_linear():
+    began = time.process_time()
+    for text in (b"eyJ" * 350_000, b"eyJa." * 200_000, b"eyJa.eyJb" * 100_000, b"ghp_" * 250_000, b"token " * 170_000):
+        secret_scan.scan(text)
+    assert time.process_time() - began < 10
+    head, body = (base64.urlsafe_b64encode(x).rstrip(b"=") for x in (b'{"alg":"none"}', b'{"a":1}'))
+    token = head + b"." + body + b".x"
+    for before in (b"eyJ" * 5 + b" ", b"eyJa.", b"eyJa.eyJb "):
+        spans = [s for s in secret_scan.scan(before + token) if s[0] == "jwt"]
+        assert spans == [("jwt", len(before), len(before + token), False)]
+
+
 def test_scan_of_the_table(spark):
     got = {r["doc_id"]: r for r in op8_secret_scan(spark, f"{brute.TESTDATA}/sf0.001").collect()}
     rows = spark.read.parquet(f"{brute.TESTDATA}/sf0.001/documents.parquet").select("doc_id", "text").collect()
