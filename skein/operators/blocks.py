@@ -322,8 +322,8 @@ def entry_guid(guid_mode: Column, url: Column, content_hash: Column, now: int) -
     return sha256_hex(F.when(guid_mode == "revision", revision).otherwise(content_hash))
 
 
-def bounded_state(blocks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Saved baseline rows; display HTML is dropped where a version is too big.
+def bounded_state(blocks: DataFrame, by: Sequence[str], max_bytes: int = MAX_STATE_BYTES) -> DataFrame:
+    """Saved baseline rows; display HTML is dropped where a version is over ``max_bytes``.
 
     The size is that of the version's JSON rows, as they would be stored.
     """
@@ -333,7 +333,7 @@ def bounded_state(blocks: DataFrame, by: Sequence[str]) -> DataFrame:
     size = F.sum(F.octet_length(row) + 1).over(per_version)
     return (
         blocks.withColumn("_size", size)
-        .withColumn("html", F.when(F.col("_size") <= MAX_STATE_BYTES, F.col("html")))
+        .withColumn("html", F.when(F.col("_size") <= max_bytes, F.col("html")))
         .drop("_size")
     )
 

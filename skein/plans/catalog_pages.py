@@ -143,7 +143,7 @@ def _(fx):
 @query(
     "watch_decision",
     f"""WITH h AS ({_HASHES}), d AS (SELECT source, version, count(*) FILTER (change = 'added') AS n_added, sum(length(text)) AS chars FROM {_DIFF_SQL} x GROUP BY source, version)
-SELECT source, version, CASE WHEN p.previous IS NULL THEN 'started' WHEN p.version % 11 = 0 THEN 'resync' WHEN o.content_hash = n.content_hash THEN 'unchanged'
+SELECT source, version, CASE WHEN p.previous IS NULL THEN 'started' WHEN p.version % 11 = 0 OR p.version % 13 = 0 OR p.version % 7 = 0 THEN 'resync' WHEN o.content_hash = n.content_hash THEN 'unchanged'
   WHEN coalesce(d.chars, 0) < 2000 THEN 'below_min' WHEN coalesce(d.n_added, 0) = 0 THEN 'hidden' ELSE 'changed' END AS decision
 FROM {_PAIRS} p JOIN h n USING (source, version) LEFT JOIN h o ON o.source = p.source AND o.version = p.previous LEFT JOIN d USING (source, version)""",
 )
@@ -159,9 +159,9 @@ def _(fx):
         .withColumns(
             {
                 "has_state": F.col("previous").isNotNull(),
-                "state_valid": F.lit(True),
+                "state_valid": F.col("version") % 13 != 0,
                 "prev_rules": F.when(F.col("version") % 11 == 0, 0).otherwise(blocks.RULES_VERSION),
-                "can_remask": F.lit(True),
+                "can_remask": F.col("version") % 7 != 0,
                 "n_added": F.coalesce("n_added", F.lit(0)),
                 "n_removed": F.coalesce("n_removed", F.lit(0)),
                 "changed_chars": F.coalesce("changed_chars", F.lit(0)),
@@ -192,11 +192,16 @@ def _(fx):
 
 @query(
     "bounded_watch_state",
-    f"SELECT source, version, pos, key, html FROM {_KEYED} k",
+    f"""SELECT source, version, pos, key, CASE WHEN sum(bytes) OVER (PARTITION BY source, version) <= 8192 THEN html END AS html
+FROM (SELECT source, version, pos, key, html, strlen(concat('{{"k":"', key, '","h":"', html, '"', CASE WHEN anchor <> '' THEN concat(',"a":"', anchor, '"') ELSE '' END,
+    CASE WHEN head <> '' THEN concat(',"t":"', replace(head, '"', chr(92) || '"'), '"') ELSE '' END, '}}')) + 1 AS bytes
+  FROM (SELECT *, coalesce(last_value(CASE WHEN is_heading THEN own_anchor END IGNORE NULLS) OVER w, '') AS anchor,
+      coalesce(last_value(CASE WHEN is_heading THEN text END IGNORE NULLS) OVER w, '') AS head
+    FROM {_KEYED} k WINDOW w AS (PARTITION BY source, version ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) h) s""",
 )
 def _(fx):
     keyed = blocks.with_heading_context(_keyed(fx), BY)
-    return blocks.bounded_state(keyed, BY).select(*BY, "pos", "key", "html")
+    return blocks.bounded_state(keyed, BY, 8192).select(*BY, "pos", "key", "html")
 
 
 # ---------------------------------------------------------------- listing rows
@@ -327,26 +332,28 @@ def _(fx):
 
 # ---------------------------------------------------------------- boilerplate on rows
 
-# Flat subtrees: every block of a page; blocks of one length count as alike, list items as links.
-_DIG = """(SELECT f.source AS feed_id, f.version, d.page_ord, f.pos, f.pos AS "end", substr(sha256(CAST(length(f.text) AS STRING)), 1, 16) AS sig, length(f.text) AS text_len,
-  CASE WHEN f.html LIKE '<li%' THEN length(f.text) ELSE 0 END AS link_len
-FROM fx_blocks f JOIN (SELECT source, version, row_number() OVER (PARTITION BY source ORDER BY version) - 1 AS page_ord FROM (SELECT DISTINCT source, version FROM fx_blocks) v) d
+# Flat subtrees: every block and every link of a page by its text.
+_DIG = """(SELECT f.source AS feed_id, f.version, d.page_ord, f.pos, f.pos AS "end", substr(sha256(f.text), 1, 16) AS sig, length(f.text) AS text_len, f.link_len
+FROM (SELECT source, version, pos, text, 0 AS link_len FROM fx_blocks UNION ALL SELECT source, version, -1 - pos, text, length(text) FROM fx_links) f
+JOIN (SELECT source, version, row_number() OVER (PARTITION BY source ORDER BY version) - 1 AS page_ord FROM (SELECT DISTINCT source, version FROM fx_links UNION SELECT DISTINCT source, version FROM fx_blocks) v) d
   ON d.source = f.source AND d.version = f.version)"""
 
 
 def _flat_digests(fx):
-    pages = fx.blocks.select("source", "version").distinct()
-    numbered = boilerplate.number_pages(pages, "source", "version")
     text_len = F.char_length("text")
-    return fx.blocks.join(numbered, BY).select(
+    parts = fx.blocks.select(*BY, "pos", "text", F.lit(0).alias("link_len")).unionByName(
+        fx.links.select(*BY, (-1 - F.col("pos")).alias("pos"), "text", text_len.alias("link_len"))
+    )
+    numbered = boilerplate.number_pages(parts.select(*BY).distinct(), "source", "version")
+    return parts.join(numbered, BY).select(
         F.col("source").alias("feed_id"),
         "version",
         "page_ord",
         "pos",
         F.col("pos").alias("end"),
-        F.substring(F.sha2(text_len.cast("string"), 256), 1, 16).alias("sig"),
+        F.substring(F.sha2("text", 256), 1, 16).alias("sig"),
         text_len.alias("text_len"),
-        F.when(F.col("html").startswith("<li"), text_len).otherwise(0).alias("link_len"),
+        "link_len",
     )
 
 
@@ -468,7 +475,12 @@ def _(fx):
     return kept.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("page_blocks")
+@query(
+    "page_blocks",
+    """SELECT version AS page_id, pos, html, text, is_heading, '' AS anchor, coalesce(last_value(CASE WHEN is_heading THEN text END IGNORE NULLS) OVER w, '') AS head,
+  count(*) OVER (PARTITION BY version) > 5000 AS truncated
+FROM fx_blocks WINDOW w AS (PARTITION BY version ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
 def _blocks(fx):
     return pagedom.page_blocks(_nodes(fx), fx.raw("pages"))
 

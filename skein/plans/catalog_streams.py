@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skein.operators import boilerplate
 from skein.operators.stats import DURATION_BUCKETS
 from skein.plans.registry import query
+from skein.session import shared_dir
 from skein.sources import dom
 from skein.streaming import keyed, metrics
 from skein.streaming.ingest import dedup_items
 from skein.streaming.runner import file_stream, run_to_files
 
-BLOCKS = "<(?:p|li|h1|h2|h3)>[^<]+"
 HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
 
 
@@ -39,9 +41,17 @@ def interval_events(events):
     )
 
 
-def page_versions(pages):
-    keys = F.regexp_extract_all("html", F.lit(BLOCKS), F.lit(0))
-    return pages.select(F.expr(HOST).alias("source"), F.col("page_id").alias("version"), keys.alias("keys"))
+def page_versions(blocks):
+    """(source, version, keys): the blocks of a page version in document order."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", "html")))
+    return blocks.groupBy("source", "version").agg(F.transform(rows, lambda r: r["html"]).alias("keys"))
+
+
+def stored_stream(df, name: str):
+    """A stream over the rows of ``df``, written once to shared storage."""
+    folder = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return file_stream(df.sparkSession, folder, df.schema)
 
 
 def listing_crawls(pages):
@@ -91,9 +101,22 @@ def _(fx):
     return run_to_files(dedup_items(items, "at", "100 days").select("feed_id", "guid"), "dedup")
 
 
-@query("stream_page_watch")
+@query(
+    "stream_page_watch",
+    """WITH v AS (SELECT source, version, string_agg(html, chr(10) ORDER BY pos) AS page FROM fx_blocks GROUP BY source, version),
+l AS (SELECT *, lag(version) OVER w AS previous, lag(page) OVER w AS was FROM v WINDOW w AS (PARTITION BY source ORDER BY version)),
+k AS (SELECT source, version, html, count(*) AS n FROM fx_blocks GROUP BY source, version, html),
+s AS (SELECT l.source, l.version, k.html, k.n AS n FROM l JOIN k ON k.source = l.source AND k.version = l.version WHERE previous IS NOT NULL
+  UNION ALL SELECT l.source, l.version, k.html, -k.n FROM l JOIN k ON k.source = l.source AND k.version = l.previous),
+d AS (SELECT source, version, sum(greatest(n, 0))::BIGINT AS a, sum(greatest(-n, 0))::BIGINT AS r
+  FROM (SELECT source, version, html, sum(n) AS n FROM s GROUP BY source, version, html) t GROUP BY source, version),
+o AS (SELECT source, version, page, CASE WHEN previous IS NULL THEN 'started' WHEN was = page THEN 'unchanged' WHEN a > 0 THEN 'changed' ELSE 'hidden' END AS decision,
+  coalesce(a, 0) AS n_added, coalesce(r, 0) AS n_removed FROM l LEFT JOIN d USING (source, version))
+SELECT source, version, decision, CASE WHEN decision IN ('started', 'changed') THEN sha256(sha256(page)) END AS guid, n_added, n_removed FROM o""",
+)
 def _(fx):
-    return run_to_files(keyed.watch_versions(page_versions(stream_of(fx, "pages"))), "watch")
+    versions = stored_stream(page_versions(fx.blocks), "watch-versions")
+    return run_to_files(keyed.watch_versions(versions), "watch")
 
 
 @query("stream_listing_state")

@@ -1,12 +1,18 @@
 """The driver tables seen as a feed reader's tables.
 
-Every view is one SQL text that Spark and DuckDB both run, so a query and its
-check read identical inputs.  Times are epoch seconds and ``NOW`` is fixed.
+Every view but the parsed ones is one SQL text that Spark and DuckDB both run, so
+a query and its check read identical inputs.  Times are epoch seconds and ``NOW`` is fixed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skein.functions.text import normalize_text
+from skein.operators import pagedom
+from skein.session import cut_lineage
+from skein.sources import dom
 
 NOW = 1706745600  # 2024-02-01 00:00:00 UTC
 DAY = 86400
@@ -111,12 +117,28 @@ FROM (SELECT id AS feed_id, CASE WHEN id % 5 = 1 THEN 'error' WHEN id % 5 = 2 TH
       CASE WHEN id % 4 = 0 THEN concat('W/', CAST(id AS STRING)) END AS etag,
       CASE WHEN id % 5 = 1 THEN 503 WHEN id % 5 = 2 THEN 304 WHEN id % 11 = 7 THEN 410 ELSE 200 END AS http_status
       FROM fx_feeds) o""",
-    # Page versions as flat blocks: every p, li and heading run of a page.
+    # Blocks of page versions: `page_blocks` of whole pages, stored once a session.
+    # This text is the check's restatement for the markup that the driver pages have.
     "fx_blocks": r"""
-SELECT source, version, CAST(pos AS BIGINT) AS pos, html, trim(regexp_replace(html, '<[^>]*>', '__ALL__')) AS text,
-  html LIKE '<h%' AS is_heading,
-  CASE WHEN html LIKE '<h%' THEN concat('sec-', CAST(pos AS STRING)) END AS own_anchor
-FROM (__EXPLODED__) b""",
+SELECT source, version, CAST(pos AS BIGINT) AS pos,
+  concat('<', tag, '>', replace(replace(replace(replace(inside, '&quot;', '&#34;'), '"', '&#34;'), '''', '&#39;'), '<br>', '<br/>'),
+    CASE WHEN inside LIKE '%<b>%' AND inside NOT LIKE '%</b>%' THEN '</b>' ELSE '' END, '</', tag, '>') AS html,
+  trim(regexp_replace(__PLAIN__, '\s+', ' ', 'g')) AS text,
+  tag = 'h1' AS is_heading, CASE WHEN tag = 'h1' THEN concat('sec-', CAST(pos AS STRING)) END AS own_anchor
+FROM (SELECT source, version, pos, regexp_extract(piece, '^<(h1|p)>', 1) AS tag,
+    regexp_replace(piece, '^<(?:h1|p)>|</(?:h1|p|article|body|html)>', '', 'g') AS inside
+  FROM (SELECT source, version, unnest(range(len(pieces))) AS pos, unnest(pieces) AS piece
+    FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS source, page_id AS version,
+        string_split(regexp_replace(regexp_replace(regexp_extract(html, '<body[^>]*>(.*)', 1, 's'),
+          '<!--.*?-->|<nav>.*?</nav>|<footer>.*?(?:</footer>|$)|<div class="ad">.*?</div>', '', 'gs'),
+          '<(h1|p)>', concat(chr(1), '<\1>'), 'g'), chr(1))[2:] AS pieces FROM pages) p) x) y""",
+    # Links of every page by their text, in document order.
+    "fx_links": r"""
+SELECT source, version, CAST(pos AS BIGINT) AS pos, text
+FROM (SELECT source, version, pos, trim(__PLAIN__) AS text
+  FROM (SELECT source, version, unnest(range(len(found))) AS pos, unnest(found) AS inside
+    FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS source, page_id AS version,
+        regexp_extract_all(html, '<a [^>]*>([^<]+)</a>', 1) AS found FROM pages) p) x) y""",
     # Class attributes and start tags of every page, as element rows.
     "fx_classes": r"""
 SELECT page_id, CAST(pos AS BIGINT) AS pos, val FROM (__CLASSES__) c""",
@@ -128,18 +150,12 @@ FROM (__TAGS__) t""",
 SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages""",
 }
 
-# The two engines name list explosion differently; only this text differs.
-_BLOCK_PATTERN = r"<(?:p|li|h1|h2|h3)>[^<]+"
-_EXPLODED = {
-    "spark": f"""
-SELECT regexp_extract(p.url, '^[a-z]+://([^/?#]+)', 1) AS source, p.page_id AS version, t.pos, t.html
-FROM pages p LATERAL VIEW posexplode(regexp_extract_all(p.html, '{_BLOCK_PATTERN}', 0)) t AS pos, html""",
-    "duckdb": f"""
-SELECT source, version, unnest(range(len(bs))) AS pos, unnest(bs) AS html
-FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS source, page_id AS version,
-        regexp_extract_all(html, '{_BLOCK_PATTERN}') AS bs FROM pages) p""",
-}
+# Views that an operator makes in Spark; their SQL text is for the check alone.
+PARSED = ("fx_blocks", "fx_links")
 
+_PLAIN = "regexp_replace(inside, '<[^>]*>', '', 'g')"
+for _entity, _char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_char}')"
 
 _LISTS = {
     "__CLASSES__": ("pages", "page_id", "html", 'class="([^"]*)"', 1, "val"),
@@ -160,15 +176,11 @@ def _explode_matches(engine: str, table: str, key: str, col: str, pattern: str,
 
 
 def _text(name: str, engine: str) -> str:
-    sql = VIEWS[name]
-    if engine == "spark":
-        sql = sql.replace(", '__ALL__')", ", '')")
-    else:
-        sql = sql.replace(", '__ALL__')", ", '', 'g')")
+    sql = VIEWS[name].replace("__PLAIN__", _PLAIN)
     for mark, spec in _LISTS.items():
         if mark in sql:
             sql = sql.replace(mark, _explode_matches(engine, *spec))
-    return sql.replace("__EXPLODED__", _EXPLODED[engine])
+    return sql
 
 
 def _needed(names: list[str], engine: str) -> list[str]:
@@ -188,6 +200,33 @@ def _needed(names: list[str], engine: str) -> list[str]:
     return done
 
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _page_versions(pages: DataFrame) -> DataFrame:
+    return pages.selectExpr("page_id", "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS source")
+
+
+def page_version_blocks(pages: DataFrame) -> DataFrame:
+    """``page_blocks`` of (page_id, url, html) pages, each page a version of its host."""
+    found = pagedom.page_blocks(dom.dom_rows(pages), pages).join(_page_versions(pages), "page_id")
+    anchor = F.when(F.col("is_heading"), F.concat(F.lit("sec-"), F.col("pos").cast("string")))
+    return found.select(
+        "source", F.col("page_id").alias("version"), F.col("pos").cast("bigint").alias("pos"),
+        "html", "text", "is_heading", anchor.alias("own_anchor"),
+    )
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """Texts of the links of each page, numbered in document order."""
+    texts = dom.dom_rows(pages).filter((F.col("tag") == dom.TEXT) & (F.col("parent_tag") == "a"))
+    order = Window.partitionBy("page_id").orderBy("pos")
+    numbered = texts.select("page_id", "text", (F.row_number().over(order) - 1).cast("bigint").alias("pos"))
+    return numbered.join(_page_versions(pages), "page_id").select(
+        "source", F.col("page_id").alias("version"), "pos", normalize_text(F.col("text")).alias("text")
+    )
+
+
 class Fixtures:
     """Lazy access to the views over one data folder."""
 
@@ -204,9 +243,20 @@ class Fixtures:
             raise AttributeError(name)
         return self.view(f"fx_{name}")
 
+    def _parsed(self, view: str) -> DataFrame:
+        """Page blocks or links of the whole pages, parsed once a session and kept on shared storage."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, view)
+        if key not in _KEPT:
+            pages = self.raw("pages")
+            made = page_version_blocks(pages) if view == "fx_blocks" else page_links(pages)
+            _KEPT[key] = cut_lineage(made)
+        return _KEPT[key]
+
     def view(self, view: str) -> DataFrame:
         if view not in VIEWS:
             raise AttributeError(view)
+        if view in PARSED:
+            return self._parsed(view)
         names = [n for n in _needed([view], "spark") if n not in self._made]
         text = " ".join(_text(n, "spark") for n in names)
         for table in DRIVER_TABLES:
@@ -244,7 +294,7 @@ class StoredFixtures(Fixtures):
 
     TABLES = (
         "feeds", "entries", "subs", "folders", "reads", "pins", "words", "fulltext", "batch", "log", "blocks",
-        "hosts",
+        "links", "hosts",
     )
 
     def __init__(self, spark: SparkSession, sf_dir: str, store) -> None:

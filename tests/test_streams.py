@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import boilerplate
 from skein.plans import catalog_streams as cs
+from skein.plans.fixtures import page_version_blocks
 from skein.sources import dom
 from skein.sources.tablestore import TableStore
 from skein.streaming import keyed, metrics
@@ -79,7 +80,7 @@ def test_interval_step_equals_the_column_form(spark, rows):
 
 
 def test_page_watch(arriving, pages):
-    versions = cs.page_versions(pages)
+    versions = cs.page_versions(page_version_blocks(pages))
     got = {(r.source, r.version): (r.decision, r.n_added, r.n_removed) for r in run_to_files(keyed.watch_versions(arriving(versions, "version")), "t").collect()}
     held, want = {}, {}
     for r in versions.orderBy("version").collect():
