@@ -17,7 +17,7 @@ bytes.
    suffixes.  A comparison takes prefix polynomial hashes and finds the common
    extension by binary search.  Neighbours that agree in ``SIZE`` bytes are
    checked byte by byte.
-4. The removed ranges meet their document again, are merged and cut.
+4. The removed ranges are merged a document, meet their document again and are cut.
 
 Null and empty texts have no bytes.  Rows with one doc_id never remove from
 each other; a null doc_id counts as larger than any other.  Repeated rows give
@@ -185,7 +185,8 @@ def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 _STAGE_A = "bucket int, high binary, low binary, at binary, first binary, offset binary, count binary, docs binary, rows binary"
 _SHARED = "row bigint, doc bigint, first binary, offset binary, count binary"
 _STRETCH = "bucket int, doc binary, row binary, first binary, offset binary, count binary, bytes binary, done binary"
-_GONE = "row bigint, doc bigint, start binary, end binary"
+_GONE = "part int, row binary, doc binary, start binary, end binary"
+_RANGES = "row bigint, doc bigint, start binary, end binary"
 
 
 def _table(schema: str, rows: list[dict]) -> pa.RecordBatch:
@@ -243,6 +244,7 @@ def _find_anchors(size: int, gram: int, buckets: int) -> Callable:
 
 _ENTRY = ("doc", "row", "first", "offset", "count", "done")
 _TYPES = {"high": "<u4", "low": "u1", "first": "<u4", "at": "<u4", "offset": "u1", "count": "u1", "done": "u1"}
+_TYPES |= {"start": "<u4", "end": "<u4"}
 _TYPES |= dict.fromkeys(("doc", "row", "docs", "rows"), "<i8") | {"bytes": "u1"}
 
 
@@ -353,9 +355,9 @@ def _cut_stretches(size: int, gram: int, buckets: int) -> Callable:
     return run
 
 
-def _decide(size: int, gram: int) -> Callable[[pa.Table], pa.Table]:
+def _decide(size: int, gram: int, parts: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        """Of one bucket: the removed byte ranges, packed by row."""
+        """Of one bucket: the removed byte ranges, packed by part of the rows."""
         e = _unpacked(table, (*_ENTRY, "bytes"))
         data = e.pop("bytes")
         done = e["done"] > 0
@@ -367,25 +369,36 @@ def _decide(size: int, gram: int) -> Callable[[pa.Table], pa.Table]:
         starts = np.cumsum(lengths) - lengths
         e["hash"] = _anchor_hashes(data, starts + e["offset"], gram)
         # An anchor's stretches stay together; parts of the anchors bound the memory of the hashes.
-        parts = -(-len(data) // SLICE_BYTES)
-        for own in _split_rows((mix(e["hash"]) % np.uint64(max(1, parts))).astype(np.int64)):
+        pieces = -(-len(data) // SLICE_BYTES)
+        for own in _split_rows((mix(e["hash"]) % np.uint64(max(1, pieces))).astype(np.int64)):
             spread = np.repeat(starts[own] - (np.cumsum(lengths[own]) - lengths[own]), lengths[own])
             gone.append(_removed({k: v[own] for k, v in e.items()}, data[spread + np.arange(len(spread))], size))
         row, doc, start, end = (np.concatenate([g[i] for g in gone]) for i in range(4))
+        order = np.lexsort((start, doc, row))
+        row, doc, start, end = row[order], doc[order], start[order], end[order]
+        part = (mix(row.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
         rows = [
-            {
-                "row": int(row[own[0]]),
-                "doc": int(doc[own[0]]),
-                "start": start[own].astype("<u4").tobytes(),
-                "end": end[own].astype("<u4").tobytes(),
-            }
-            for own in _split_rows(row, doc)
+            {"part": int(part[own[0]]), "row": _pack(row[own]), "doc": _pack(doc[own])}
+            | {"start": _pack(start[own].astype("<u4")), "end": _pack(end[own].astype("<u4"))}
+            for own in _split_rows(part)
         ]
         return pa.Table.from_batches([_table(_GONE, rows)])
 
     return run
 
 
+def _ranges_of_part(table: pa.Table) -> pa.Table:
+    """Of one part: the merged removed ranges of each of its rows."""
+    e = _unpacked(table, ("row", "doc", "start", "end"))
+    rows = []
+    for own in _split_rows(e["row"], e["doc"]):
+        start, end = merged_ranges(e["start"][own], e["end"][own])
+        rows.append(
+            {"row": int(e["row"][own[0]]), "doc": int(e["doc"][own[0]]), "start": start.tobytes(), "end": end.tobytes()}
+        )
+    return pa.Table.from_batches([_table(_RANGES, rows)])
+
+
 def _removed(e: dict[str, np.ndarray], data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """(row, doc, start, end) of the ranges that smaller doc_ids take from these stretches."""
     lengths = e["count"].astype(np.int64) + size - 1
@@ -455,8 +468,9 @@ def remove_repeats(
     by_row = shared.groupBy("row", "doc").agg(*[F.collect_list(n).alias(n) for n in names])
     with_text = base.join(by_row, ["row", "doc"], "left")
     stretches = map_batches(with_text, _cut_stretches(size, gram, buckets), _STRETCH, SLICE_BYTES)
-    gone = stretches.groupBy("bucket").applyInArrow(_decide(size, gram), _GONE)
-    ranges = gone.groupBy("row", "doc").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
+    # A part of the rows gets one packed row from each bucket, and gives one row a document.
+    gone = stretches.groupBy("bucket").applyInArrow(_decide(size, gram, buckets), _GONE)
+    ranges = gone.groupBy("part").applyInArrow(_ranges_of_part, _RANGES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -468,9 +482,7 @@ def remove_repeats(
                 batch.column("end").to_pylist(),
                 strict=True,
             ):
-                s, e = merged_ranges(
-                    np.frombuffer(b"".join(start or []), "<u4"), np.frombuffer(b"".join(end or []), "<u4")
-                )
+                s, e = np.frombuffer(start or b"", "<u4"), np.frombuffer(end or b"", "<u4")
                 pairs = list(zip(s.tolist(), e.tolist(), strict=True))
                 edges = [0, *(x for p in pairs for x in p), len(raw)]
                 kept.append(b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
