@@ -183,7 +183,8 @@ def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 _STAGE_A = "bucket int, high binary, low binary, at binary, first binary, offset binary, count binary, docs binary, rows binary"
-_SHARED = "row bigint, doc bigint, first binary, offset binary, count binary"
+_SHARED = "part int, row binary, doc binary, first binary, offset binary, count binary"
+_MARKS = "row bigint, doc bigint, first binary, offset binary, count binary"
 _STRETCH = "bucket int, doc binary, row binary, first binary, offset binary, count binary, bytes binary, done binary"
 _GONE = "part int, row binary, doc binary, start binary, end binary"
 _RANGES = "row bigint, doc bigint, start binary, end binary"
@@ -242,6 +243,7 @@ def _find_anchors(size: int, gram: int, buckets: int) -> Callable:
     return run
 
 
+_ANCHOR = ("row", "doc", "first", "offset", "count")
 _ENTRY = ("doc", "row", "first", "offset", "count", "done")
 _TYPES = {"high": "<u4", "low": "u1", "first": "<u4", "at": "<u4", "offset": "u1", "count": "u1", "done": "u1"}
 _TYPES |= {"start": "<u4", "end": "<u4"}
@@ -281,27 +283,44 @@ def _split_rows(*keys: np.ndarray) -> Iterator[np.ndarray]:
         yield order[s:t]
 
 
-def _keep_shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: the anchors that stand in two documents or more, packed by row."""
-    e = _unpacked(table, ("high", "low", "at", "first", "offset", "count", "docs", "rows"))
-    sizes = {n: [int.from_bytes(x[:8], "little") for x in table.column(n).to_pylist()] for n in ("count", "docs")}
-    entries, known = sizes["count"], np.array(sizes["docs"], np.int64) // 8
-    at = e.pop("at") + np.repeat(np.cumsum(known) - known, entries)
-    e |= {"doc": e.pop("docs")[at], "row": e.pop("rows")[at]}
-    e["hash"] = (e.pop("high").astype(np.uint64) << np.uint64(8)) | e.pop("low").astype(np.uint64)
-    order = np.argsort(e["hash"], kind="stable")
-    h, doc = e["hash"][order], e["doc"][order]
-    heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else order
-    sizes = np.diff(np.concatenate([heads, [len(h)]]))
-    shared = np.repeat(np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads), sizes) if len(h) else h > 0
-    pick = order[shared]
-    e = {k: v[pick] for k, v in e.items()}
-    names = ("first", "offset", "count")
-    rows = [
-        {n: int(e[n][own[0]]) for n in ("row", "doc")} | {n: e[n][own].tobytes() for n in names}
-        for own in _split_rows(e["row"], e["doc"])
-    ]
-    return pa.Table.from_batches([_table(_SHARED, rows)])
+def _keep_shared(parts: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        """Of one bucket: the anchors that stand in two documents or more, packed by part of the rows."""
+        e = _unpacked(table, ("high", "low", "at", "first", "offset", "count", "docs", "rows"))
+        sizes = {n: [int.from_bytes(x[:8], "little") for x in table.column(n).to_pylist()] for n in ("count", "docs")}
+        entries, known = sizes["count"], np.array(sizes["docs"], np.int64) // 8
+        at = e.pop("at") + np.repeat(np.cumsum(known) - known, entries)
+        e |= {"doc": e.pop("docs")[at], "row": e.pop("rows")[at]}
+        e["hash"] = (e.pop("high").astype(np.uint64) << np.uint64(8)) | e.pop("low").astype(np.uint64)
+        order = np.argsort(e["hash"], kind="stable")
+        h, doc = e["hash"][order], e["doc"][order]
+        heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else order
+        sizes = np.diff(np.concatenate([heads, [len(h)]]))
+        shared = np.repeat(np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads), sizes) if len(h) else h > 0
+        pick = order[shared]
+        pick = pick[np.lexsort((e["first"][pick], e["doc"][pick], e["row"][pick]))]
+        e = {n: e[n][pick] for n in _ANCHOR}
+        part = (mix(e["row"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        rows = [
+            {"part": int(part[own[0]])} | {n: _pack(e[n][own]) for n in _ANCHOR} for own in _split_rows(part)
+        ]
+        return pa.Table.from_batches([_table(_SHARED, rows)])
+
+    return run
+
+
+def _marks_of_part(table: pa.Table) -> pa.Table:
+    """Of one part: the shared anchors of each of its rows, once where the row is repeated."""
+    e = _unpacked(table, _ANCHOR)
+    rows = []
+    for own in _split_rows(e["row"], e["doc"]):
+        _, once = np.unique(e["first"][own], return_index=True)
+        pick = own[once]
+        rows.append(
+            {n: int(e[n][own[0]]) for n in ("row", "doc")}
+            | {n: e[n][pick].tobytes() for n in ("first", "offset", "count")}
+        )
+    return pa.Table.from_batches([_table(_MARKS, rows)])
 
 
 def _content_order(e: dict[str, np.ndarray], data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
@@ -326,7 +345,7 @@ def _cut_stretches(size: int, gram: int, buckets: int) -> Callable:
                 continue
             data, offsets = text_bytes(batch.column("text"))
             ids, keys = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
-            lists = {n: [b"".join(x) for x in batch.column(n).to_pylist()] for n in ("first", "offset", "count")}
+            lists = {n: batch.column(n).to_pylist() for n in ("first", "offset", "count")}
             n_each = np.array([len(x) for x in lists["count"]])
             at = np.repeat(np.arange(batch.num_rows), n_each)
             e = {n: np.frombuffer(b"".join(v), _TYPES[n]) for n, v in lists.items()}
@@ -463,12 +482,11 @@ def remove_repeats(
     buckets = max(8, -(-total // BUCKET_BYTES))
 
     found = map_batches(base, _find_anchors(size, gram, buckets), _STAGE_A, SLICE_BYTES)
-    shared = found.groupBy("bucket").applyInArrow(_keep_shared, _SHARED)
-    names = ("first", "offset", "count")
-    by_row = shared.groupBy("row", "doc").agg(*[F.collect_list(n).alias(n) for n in names])
+    # A part of the rows gets one packed row from each bucket, and gives one row a document.
+    shared = found.groupBy("bucket").applyInArrow(_keep_shared(buckets), _SHARED)
+    by_row = shared.groupBy("part").applyInArrow(_marks_of_part, _MARKS)
     with_text = base.join(by_row, ["row", "doc"], "left")
     stretches = map_batches(with_text, _cut_stretches(size, gram, buckets), _STRETCH, SLICE_BYTES)
-    # A part of the rows gets one packed row from each bucket, and gives one row a document.
     gone = stretches.groupBy("bucket").applyInArrow(_decide(size, gram, buckets), _GONE)
     ranges = gone.groupBy("part").applyInArrow(_ranges_of_part, _RANGES)
 
