@@ -19,7 +19,7 @@ from skein.functions.markup import BLOCK_TAGS, HEADING_TAGS, is_noise
 from skein.functions.text import GO_SPACE, anonymize_text, is_anonymized, normalize_text
 from skein.functions.urls import absolutize, canonical_url, resolve_url
 from skein.operators.blocks import MAX_BLOCKS, with_heading_context
-from skein.sources.dom import TEXT, VOID_TAGS
+from skein.sources.dom import TEXT, VOID_TAGS, WRITTEN
 
 # Media types of feeds in <link rel="alternate">.
 FEED_TYPES = ("application/rss+xml", "application/atom+xml", "application/json", "application/feed+json")
@@ -108,7 +108,7 @@ def rendered(nodes: DataFrame, group: str, all_attrs: bool = False) -> DataFrame
     is_text = F.col("tag") == TEXT
     opening = F.struct(
         F.col("pos").alias("at"), F.lit(0).alias("k"), F.lit(0).alias("o"),
-        F.when(is_text, _escape(F.col("text"))).otherwise(_start_tag(all_attrs)).alias("s"),
+        F.when(is_text, F.coalesce(F.col("attrs")[WRITTEN], _escape(F.col("text")))).otherwise(_start_tag(all_attrs)).alias("s"),
     )
     closing = F.struct(
         F.col("end").alias("at"), F.lit(1).alias("k"), (-F.col("pos")).alias("o"),
@@ -377,7 +377,10 @@ def anonymized_pages(nodes: DataFrame, keep: list[str] | None = None) -> DataFra
 
     Comments are gone; ``keep`` lists patterns whose text runs stay as they are.
     """
-    masked = nodes.withColumn("text", anonymize_text(F.col("text"), keep)).withColumn("_page", F.col("page_id"))
+    plain = F.when(F.col("tag") != TEXT, F.col("attrs"))
+    masked = nodes.withColumns(
+        {"text": anonymize_text(F.col("text"), keep), "attrs": plain, "_page": F.col("page_id")}
+    )
     return rendered(masked, "_page", all_attrs=True).select(
         "page_id", F.concat(F.lit("<!DOCTYPE html><html>"), "html", F.lit("</html>")).alias("html")
     )

@@ -56,6 +56,23 @@ def test_blocks_drop_noise_and_keep_leaves(pages):
     assert [r.text for r in got] == ["One", "First bold", "Second", "Two", "", "deep"]
 
 
+def test_bare_ampersands_are_decoded_or_kept(pages):
+    p = pages("<title>A &amp;&am</title><h1>a&amp;b &quot;the&amp</h1><p>AT&T <b>x &l</b></p><a href='?a&amp=1'>y</a>")
+
+    def found(**how):
+        nodes = dom.dom_rows(p, **how)
+        texts = [r.text for r in pagedom.page_blocks(nodes, p).orderBy("pos").collect()]
+        htmls = [r.html for r in pagedom.page_blocks(nodes, p).orderBy("pos").collect()]
+        return texts[:2], htmls[:2], pagedom.page_titles(nodes).first().page_title
+
+    kept = ["<h1>a&amp;b &#34;the&amp</h1>", "<p>AT&T <b>x &l</b></p>"]
+    assert found(keep_bare=True) == (['a&b "the&amp', "AT&T x &l"], kept, "A &&am")
+    decoded = ["<h1>a&amp;b &#34;the&amp;</h1>", "<p>AT&amp;T <b>x &amp;l</b></p>"]
+    assert found() == (['a&b "the&', "AT&T x &l"], decoded, "A &&am")
+    masked = pagedom.anonymized_pages(dom.dom_rows(p, keep_bare=True)).first().html
+    assert "AT&T" not in masked
+
+
 def test_bare_text_is_one_block(pages):
     got = blocks_of(pages, "<body>just <i>text</i> &amp; more</body>")
     assert [r.html for r in got] == ["<body>just <i>text</i> &amp; more</body>"]
