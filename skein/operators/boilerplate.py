@@ -97,13 +97,15 @@ def choose_extraction(
     return F.when(keep_original, original).otherwise(stripped)
 
 
-def observe_page(state: DataFrame, feeds: DataFrame, page_sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def observe_page(
+    state: DataFrame, feeds: DataFrame, page_sigs: DataFrame, limit: int | None = MAX_SIGNATURES
+) -> tuple[DataFrame, DataFrame]:
     """Fold one page per feed into the learned counters.
 
     ``state`` (feed_id, sig, count, last_seen), ``feeds`` (feed_id, pages),
     ``page_sigs`` (feed_id, sig) of the page just seen.  Counters halve at 64
-    pages, zeros are dropped and a feed keeps its 2000 best signatures; a
-    feed's rows are bounded by that cap plus one page.
+    pages, zeros are dropped and a feed keeps its ``limit`` best signatures,
+    which with one page bound its rows; None keeps them all.
     """
     touched = page_sigs.select("feed_id").distinct().withColumn("_hit", F.lit(1))
     pages = feeds.join(touched, "feed_id", "full").withColumn(
@@ -129,11 +131,10 @@ def observe_page(state: DataFrame, feeds: DataFrame, page_sigs: DataFrame) -> tu
         .withColumn("count", F.when(F.col("_halve"), F.floor(F.col("count") / 2)).otherwise(F.col("count")))
         .filter(F.col("count") > 0)
     )
-    best = Window.partitionBy("feed_id").orderBy(F.desc("count"), F.desc("last_seen"), F.desc("sig"))
-    kept = (
-        merged.withColumn("_rn", F.row_number().over(best))
-        .filter(F.col("_rn") <= MAX_SIGNATURES)
-        .select("feed_id", "sig", F.col("count").cast("bigint").alias("count"),
-                F.col("last_seen").cast("bigint").alias("last_seen"))
-    )
+    if limit is not None:
+        best = Window.partitionBy("feed_id").orderBy(F.desc("count"), F.desc("last_seen"), F.desc("sig"))
+        merged = merged.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= limit)
+    kept = merged.select(
+        "feed_id", "sig", F.col("count").cast("bigint").alias("count"), F.col("last_seen").cast("bigint").alias("last_seen")
+    )
     return kept, new_feeds

@@ -73,6 +73,14 @@ def test_bare_ampersands_are_decoded_or_kept(pages):
     assert "AT&T" not in masked
 
 
+def test_signatures_are_bounded_only_where_a_limit_is_given(rows):
+    n = boilerplate.MAX_SIGNATURES + 5
+    state = rows("feed_id string, sig string, count bigint, last_seen bigint", [("f", f"s{i}", 1, 1) for i in range(n)])
+    feeds, none = rows("feed_id string, pages bigint", [("f", 3)]), rows("feed_id string, sig string", [])
+    assert boilerplate.observe_page(state, feeds, none)[0].count() == boilerplate.MAX_SIGNATURES
+    assert boilerplate.observe_page(state, feeds, none, limit=None)[0].count() == n
+
+
 def test_bare_text_is_one_block(pages):
     got = blocks_of(pages, "<body>just <i>text</i> &amp; more</body>")
     assert [r.html for r in got] == ["<body>just <i>text</i> &amp; more</body>"]
