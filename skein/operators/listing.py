@@ -7,11 +7,15 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.skew import sliced_rank
+
 MAX_CANDIDATES = 500
 MAX_SEEN = 2000
 DEFAULT_ITEMS = 20
 MAX_ITEMS = 50
 MAX_RETRIES = 3
+#: Width of one slice of an unbounded seen list, in units of its order column.
+SEEN_SLICE = 1 << 16
 
 
 def effective_items(configured: Column) -> Column:
@@ -88,13 +92,15 @@ def commit_state(
     failed: DataFrame,
     initial: DataFrame,
     by: str = "source",
+    max_seen: int | None = MAX_SEEN,
 ) -> ListingState:
     """Fold one crawl into the per-source seen list and retry counters.
 
     ``seen`` (by, url, seq), ``pending`` (by, url, n), ``candidates`` and
     ``imported`` (by, url, pos), ``failed`` (by, url), ``initial`` (by) the
     sources on their first crawl.  Sources without a candidate keep their
-    state.  A source's list is bounded by the caps, so windows per source are.
+    state.  ``max_seen`` bounds a source's list, and so the windows per source;
+    None keeps every URL, and the list is then numbered slice by slice.
     """
     active = candidates.select(by).distinct()
     keys = [by, "url"]
@@ -112,18 +118,24 @@ def commit_state(
         .join(active, by, "left_semi")
         .join(cand, keys, "left")
     )
-    in_order = Window.partitionBy(by).orderBy("_o", "url")
-    evictable = F.col("_cand").isNull()
-    ranked = ordered.withColumns(
-        {
-            "_total": F.count(F.lit(1)).over(Window.partitionBy(by)),
-            "_evictable": F.sum(evictable.cast("int")).over(
-                in_order.rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        }
-    )
-    evicted = evictable & (F.col("_evictable") <= F.col("_total") - MAX_SEEN)
-    kept = ranked.filter(~evicted).select(*keys, (F.row_number().over(in_order) - 1).alias("seq"))
+    if max_seen is None:
+        flat = ordered.select(*keys, "_o._rule", "_o._at", F.floor(F.col("_o._at") / SEEN_SLICE).alias("_slice"))
+        slices = ["_rule", "_slice"]
+        numbered = sliced_rank(flat, [by], slices, [F.asc(c) for c in slices], [F.asc("_at"), F.asc("url")], "seq")
+        kept = numbered.select(*keys, (F.col("seq") - 1).alias("seq"))
+    else:
+        in_order = Window.partitionBy(by).orderBy("_o", "url")
+        evictable = F.col("_cand").isNull()
+        ranked = ordered.withColumns(
+            {
+                "_total": F.count(F.lit(1)).over(Window.partitionBy(by)),
+                "_evictable": F.sum(evictable.cast("int")).over(
+                    in_order.rowsBetween(Window.unboundedPreceding, 0)
+                ),
+            }
+        )
+        evicted = evictable & (F.col("_evictable") <= F.col("_total") - max_seen)
+        kept = ranked.filter(~evicted).select(*keys, (F.row_number().over(in_order) - 1).alias("seq"))
     idle_seen = seen.join(active, by, "left_anti").select(*keys, "seq")
 
     counted = (

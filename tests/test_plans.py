@@ -6,7 +6,7 @@ import pytest
 from oracle import TESTDATA
 from pyspark.sql import functions as F
 
-from skein.operators import blocks, fanout, retention, robots, timeline
+from skein.operators import blocks, fanout, listing, retention, robots, timeline
 from skein.plans import extractors
 from skein.plans.fixtures import Fixtures
 from skein.plans.listing import listing_round
@@ -223,3 +223,17 @@ def test_stored_timeline_prunes_by_feed(spark, workdir):
     plan = plan_of(df)
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "EqualTo(feed_id,9)" in plan and "LessThanOrEqual(published_at,1705500000)" in plan
+
+
+def test_seen_list_without_a_limit_keeps_every_url(rows):
+    n = listing.MAX_SEEN + 500
+    seen = rows("source string, url string, seq bigint", [("s", f"u{i}", i) for i in range(n)])
+    none = "source string, url string"
+    cand = rows(f"{none}, pos bigint", [("s", "new", 70_000), ("s", "u1", 3)])
+
+    def folded(**limit):
+        parts = rows(f"{none}, n bigint", []), cand, cand, rows(none, []), rows("source string", [])
+        return {r.url: r.seq for r in listing.commit_state(seen, *parts, **limit).seen.collect()}
+
+    assert len(folded()) == listing.MAX_SEEN
+    assert folded(max_seen=None) == {f"u{i}": i for i in range(n)} | {"new": n}
