@@ -237,3 +237,20 @@ def test_seen_list_without_a_limit_keeps_every_url(rows):
 
     assert len(folded()) == listing.MAX_SEEN
     assert folded(max_seen=None) == {f"u{i}": i for i in range(n)} | {"new": n}
+
+
+def test_fan_out_carries_marks_in_cells_and_never_exchanges_the_product(rows, monkeypatch):
+    monkeypatch.setattr(fanout, "USERS_PER_CELL", 2)
+    schema = "id bigint, feed_id bigint, title string, body string, published_at bigint, created_at bigint, first bigint"
+    entries = rows(schema, [(i, i % 2, f"t{i}", "spam" if i == 3 else "x", i, i, 9 if i == 4 else None) for i in range(6)])
+    subs = rows("user_id bigint, feed_id bigint", [(u, f) for u in range(9) for f in (0, 1) if u or f])
+    words = rows("user_id bigint, word string", [(5, "SPAM"), (0, "spam"), (7, "none")])
+    reads = rows("user_id bigint, entry_id bigint, read_at bigint", [(1, 4, 7), (8, 1, 8), (0, 2, 6)])
+    out = fanout.fan_out(entries, subs, words, "first", reads)
+    want = {
+        (u, e, e % 2, e, e, {(1, 4): 7, (8, 1): 8}.get((u, e), 9 if e == 4 else None), int((u, e) in ((5, 3), (0, 3))))
+        for u in range(9) for e in range(6) if u or e % 2
+    }
+    assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, want))
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not [line for line in joins if " = user_id#" in line and " = entry_id#" in line]
