@@ -254,3 +254,12 @@ def test_fan_out_carries_marks_in_cells_and_never_exchanges_the_product(rows, mo
     assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, want))
     joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert joins and not [line for line in joins if " = user_id#" in line and " = entry_id#" in line]
+
+
+def test_state_of_pairs_is_the_state_of_those_pairs_without_the_product(spark):
+    fx = Fixtures(spark, SF_DIR)
+    pairs = fx.raw("events").selectExpr("user_id", "event_id % 40 AS entry_id").distinct()
+    found = fx.state_of(pairs)
+    want = fx.state({"asked": pairs.withColumn("value", F.lit(1))}).filter("asked = 1").drop("asked")
+    assert found.count() and found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+    assert "_cells" not in found._jdf.queryExecution().optimizedPlan().toString()
