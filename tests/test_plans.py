@@ -263,3 +263,11 @@ def test_state_of_pairs_is_the_state_of_those_pairs_without_the_product(spark):
     want = fx.state({"asked": pairs.withColumn("value", F.lit(1))}).filter("asked = 1").drop("asked")
     assert found.count() and found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
     assert "_cells" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unread_state_is_combined_before_it_meets_the_entries(rows):
+    entries = rows("id bigint, feed_id bigint, fetched_at bigint", [(1, 1, 5), (2, 1, 5), (3, 1, 50)])
+    state = rows("entry_id bigint, user_id bigint, read_at bigint", [(1, u, None) for u in range(5)] + [(2, 1, 9)])
+    gone = retention.expired_entries(entries, state, rows("entry_id bigint", []), 10)
+    assert [r.id for r in gone.collect()] == [2]
+    assert "Aggregate" in gone._jdf.queryExecution().optimizedPlan().toString()
