@@ -18,6 +18,8 @@ REQUIRED_CONF = {
     # A hot feed is split even where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A batch of whole pages or texts is bounded by its bytes, not by 10,000 rows alone.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import blocks, boilerplate, config, pagedom, robots
 from skein.plans.fulltext import article_texts
+from skein.session import prepare
 from skein.sources import dom, opml
 from skein.sources import listing as listing_source
 
@@ -321,3 +322,14 @@ def test_sloppy_and_hostile_feeds(rows):
     assert got[1].title == "x \u00e9" and got[1].feed_title == "A\u00a0& B"
     assert got[3].link == "8" and got[3].feed_title == "5"
     assert all(got[i].error and got[i].pos is None for i in (2, 4, 5))
+
+
+def test_python_gets_pages_in_batches_bounded_by_bytes(spark, rows):
+    prepare(spark)
+    big = rows("id bigint, html string", [(i, "x" * (1 << 20)) for i in range(24)]).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield b.iloc[:1].assign(html=str(len(b)))
+
+    assert max(int(r.html) for r in big.mapInPandas(sizes, "id bigint, html string").collect()) <= 9
