@@ -114,6 +114,22 @@ def test_word_groups_match_a_plain_check(tables):
     assert got == {(u, i) for u in (1, 2) for i in range(40) if i * 37 % 600 < 400}
 
 
+def test_fan_out_rows_take_columns_of_entry_and_subscription(tables):
+    entries, _, subs, words, _ = tables([entry(1), entry(2)], [], [sub(7, 1, unread=3), sub(8, 1, unread=4)])
+    got = fanout.fan_out(entries, subs, words, entry_columns=["guid"], user_columns=["unread_count"])
+    want = {(7, 1, "g1", 3), (7, 2, "g2", 3), (8, 1, "g1", 4), (8, 2, "g2", 4)}
+    assert {(r.user_id, r.entry_id, r.guid, r.unread_count) for r in got.collect()} == want
+
+
+def test_choosing_new_items_reads_no_text_that_is_not_asked_for(tables, rows):
+    entries, *_ = tables([])
+    new = ingest.new_items(rows(BATCH, [item(0, "a"), item(1, "a"), item(2, "b")]), entries, NOW)
+    slim = new.select("feed_id", "guid", "published_at")
+    plan = slim._jdf.queryExecution().optimizedPlan().toString()
+    assert "body" not in plan.split("LogicalRDD")[0]
+    assert {tuple(r) for r in slim.collect()} == {(1, "a", NOW), (1, "b", NOW - 2)}
+
+
 def test_new_subscriber_gets_backlog_with_entry_times(tables):
     entries, state, subs, words, _ = tables(
         [entry(1), entry(2)], [(7, 1, 1, 5, 5, 99, 1)], [sub(7, 1)]
