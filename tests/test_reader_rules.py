@@ -138,6 +138,20 @@ def test_new_subscriber_gets_backlog_with_entry_times(tables):
     assert [(r.entry_id, r.created_at, r.read_at) for r in got] == [(2, NOW - 2000, None)]
 
 
+def test_backfill_compares_only_pairs_that_hold_a_part(tables, rows):
+    # 7 holds all of feed 1, 8 a part of it, 9 nothing.
+    held = [(7, 1, 1, 0, 0, None, 0), (7, 2, 1, 0, 0, None, 0), (8, 2, 1, 0, 0, None, 0)]
+    entries, state, subs, words, _ = tables([entry(1), entry(2)], held, [sub(u, 1) for u in (7, 8, 9)])
+
+    def missing(users):
+        got = fanout.backfill_new_subscribers(entries, subs.filter(F.col("user_id").isin(users)), words, state)
+        return {(r.user_id, r.entry_id) for r in got.collect()}, got._jdf.queryExecution().optimizedPlan().toString()
+
+    assert missing([7, 8, 9])[0] == {(8, 1), (9, 1), (9, 2)}
+    found, plan = missing([7, 9])
+    assert found == {(9, 1), (9, 2)} and "LeftAnti" not in plan
+
+
 def test_timeline_pages_meet_without_gap_or_repeat(tables):
     # Equal publication times are ordered by id.
     entries, _, subs, words, pins = tables([entry(i, at=NOW - i // 3) for i in range(20)], [], [sub(7, 1)])
