@@ -152,6 +152,20 @@ def test_backfill_compares_only_pairs_that_hold_a_part(tables, rows):
     assert found == {(9, 1), (9, 2)} and "LeftAnti" not in plan
 
 
+def test_reignoring_where_rows_say_so_equals_the_join(tables, rows):
+    entries, _, subs, old, _ = tables(
+        [entry(1, title="spam"), entry(2, title="ham")], [], [sub(7, 1, unread=1), sub(8, 1, unread=1)], [(7, "ham", 0), (8, "ham", 0)]
+    )
+    new, who = rows(WORDS, [(7, "spam", 0), (8, "spam", 0)]), rows("user_id bigint", [(7,)])
+    want = marks.recompute_ignored(fanout.fan_out(entries, subs, old), subs, entries, new, who)
+    hits = {"_rehit": fanout.ignored_pairs(entries, subs, new).withColumn("value", F.lit(1))}
+    got = marks.reignore_where(
+        fanout.fan_out(entries, subs, old, marks=hits), subs, F.col("user_id") == 7, F.coalesce("_rehit", F.lit(0))
+    )
+    for one, other in zip(got, want, strict=True):
+        assert sorted(map(tuple, one.select(*other.columns).collect())) == sorted(map(tuple, other.collect()))
+
+
 def test_timeline_pages_meet_without_gap_or_repeat(tables):
     # Equal publication times are ordered by id.
     entries, _, subs, words, pins = tables([entry(i, at=NOW - i // 3) for i in range(20)], [], [sub(7, 1)])
