@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.items import format_cursor
@@ -119,6 +119,28 @@ def today_timeline(entries, state, subscriptions, pins, user_id, now, **page):
     return group_timeline(entries, recent, subscriptions, pins, user_id, F.lit(True), True, **page)
 
 
+def page_cuts(entries: DataFrame, state: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """(user_id, _from): no unread entry published before ``_from`` is on the user's first page.
+
+    Times are cut at quantiles of ``entries`` that get finer towards the newest;
+    a user's unread rows are counted between them (combined on the map side),
+    and ``_from`` is the latest cut with ``limit`` rows at or after it.  It is
+    null where a user has too few, and the page then needs every row.
+    """
+    shares = F.array(*[F.lit(1 - 2 ** (-i / 2)) for i in range(40)])
+    found = entries.agg(F.percentile_approx("published_at", shares, F.lit(100_000)).alias("_q")).first()["_q"]
+    published = F.col("published_at")
+    floor = F.lit(None).cast("bigint")
+    for edge in sorted(set(found or [])):
+        floor = F.when(published >= edge, F.lit(edge).cast("bigint")).otherwise(floor)
+    unread = state.filter(F.col("read_at").isNull() & (F.col("ignored") == 0))
+    counts = unread.groupBy("user_id", floor.alias("_floor")).agg(F.count(F.lit(1)).alias("_n"))
+    # At most one row a cut and user.
+    newer = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("_floor"))
+    reached = F.sum("_n").over(newer) >= limit
+    return counts.withColumn("_cut", F.when(reached, F.col("_floor"))).groupBy("user_id").agg(F.max("_cut").alias("_from"))
+
+
 def first_pages(
     entries: DataFrame, state: DataFrame, pins: DataFrame, limit: int = DEFAULT_LIMIT
 ) -> DataFrame:
@@ -137,8 +159,8 @@ def first_pages(
     text = entries.select(F.col("id").alias("entry_id"), "url", "title")
     pinned = pins.select("user_id", "entry_id", F.lit(True).alias("_pin"))
     return (
-        pages.join(text, "entry_id")
-        .join(pinned, ["user_id", "entry_id"], "left")
+        pages.join(pinned, ["user_id", "entry_id"], "left")
+        .join(text, "entry_id")
         .select(
             "user_id", "rn", "entry_id", "feed_id", "url", "title", "published_at",
             F.col("_pin").isNotNull().alias("pinned"),
@@ -148,8 +170,6 @@ def first_pages(
 
 def today_by_rating(timeline: DataFrame, subscriptions: DataFrame, user_id: int) -> DataFrame:
     """The page re-bucketed by rating 5 to 0, newest first inside; adds ``position``."""
-    from pyspark.sql import Window
-
     ratings = subscriptions.filter(F.col("user_id") == user_id).select("feed_id", "rating")
     order = Window.orderBy(F.desc("rating"), F.desc("published_at"), F.desc("id"))
     rated = timeline.join(ratings, "feed_id", "left").withColumn("rating", F.coalesce("rating", F.lit(0)))

@@ -100,7 +100,11 @@ def _(fx):
   WHERE u.ignored = 0 AND u.read_at IS NULL) t WHERE rn <= 100""",
 )
 def unread_first_pages(fx):
-    return timeline.first_pages(fx.entries, fx.state(), fx.pins, 100)
+    # The cuts travel with the subscriptions: rows that no page can hold are dropped before they are dealt out.
+    cuts = timeline.page_cuts(fx.entries, fx.state(), 100)
+    subs = fx.subs.select("user_id", "feed_id").join(cuts, "user_id", "left")
+    near = fx.state(subs=subs).filter("_from IS NULL OR published_at >= _from")
+    return timeline.first_pages(fx.entries, near, fx.pins, 100)
 
 
 _SEARCH = f"SELECT {_E} {_GROUP} WHERE u.ignored = 0 AND ({{}}) {_NEWEST} 100"

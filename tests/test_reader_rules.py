@@ -166,6 +166,18 @@ def test_reignoring_where_rows_say_so_equals_the_join(tables, rows):
         assert sorted(map(tuple, one.select(*other.columns).collect())) == sorted(map(tuple, other.collect()))
 
 
+@pytest.mark.parametrize("limit", [1, 3, 20, 100])
+def test_page_cuts_drop_no_row_of_a_first_page(tables, limit):
+    texts = [entry(i, at=NOW - i // 3 if i < 45 else None) for i in range(50)]
+    entries, _, subs, words, pins = tables(texts, [], [sub(7, 1), sub(8, 2)], [(8, "t", 0)])
+    state = fanout.fan_out(entries, subs, words)
+    cuts = timeline.page_cuts(entries, state, limit)
+    near = state.join(cuts, "user_id").filter("_from IS NULL OR published_at >= _from")
+    page = timeline.first_pages(entries, near, pins, limit)
+    assert sorted(map(repr, page.collect())) == sorted(map(repr, timeline.first_pages(entries, state, pins, limit).collect()))
+    assert near.count() <= 3 * limit + 3 or limit > 15
+
+
 def test_timeline_pages_meet_without_gap_or_repeat(tables):
     # Equal publication times are ordered by id.
     entries, _, subs, words, pins = tables([entry(i, at=NOW - i // 3) for i in range(20)], [], [sub(7, 1)])
