@@ -160,15 +160,28 @@ def _parts(text: str) -> list[str]:
 def encode_texts(path: str, texts: list[str], dtype: str) -> list[bytes]:
     """Ids of each text by the tokenizer file at ``path``, as little-endian bytes.
 
-    Parts already seen by this worker come from a memo that is cleared when it is full.
+    Parts already seen by this worker come from a memo that is cleared when it is full.  A text
+    is looked up while its parts are fresh in the processor's cache, once; those with parts that
+    the memo lacks wait until the new parts of all texts are learnt.
     """
-    parts = [_parts(t) for t in texts]
-    fresh = {w for p in parts for w in p if w not in _memo}
+    out: list[bytes] = []
+    waiting: list[tuple[int, list[str], list[bytes | None]]] = []
+    fresh: set[str] = set()
+    for text in texts:
+        parts = _parts(text)
+        codes = list(map(_memo.get, parts))
+        try:
+            out.append(b"".join(codes))
+        except TypeError:  # a None among them
+            fresh.update([w for w, code in zip(parts, codes, strict=True) if code is None])
+            waiting.append((len(out), parts, codes))
+            out.append(b"")
     if len(_memo) + len(fresh) > CACHE_PARTS:
         _memo.clear()
-        fresh = {w for p in parts for w in p}
     _learn(path, sorted(fresh), dtype)
-    return [b"".join(map(_memo.__getitem__, p)) for p in parts]
+    for at, parts, codes in waiting:
+        out[at] = b"".join([_memo[w] if code is None else code for w, code in zip(parts, codes, strict=True)])
+    return out
 
 
 def _learn(path: str, fresh: list[str], dtype: str) -> None:

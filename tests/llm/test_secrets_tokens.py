@@ -121,3 +121,35 @@ def test_token_files_of_odd_rows(spark, docs, odd_rows, with_clashes, workdir):
     assert sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(w[1:] for w in want)
     token_store.write_token_files(docs([]), f"{workdir}/e", WORD_BPE, 2)
     assert token_store.read_token_files(spark, f"{workdir}/e").count() == 0
+
+
+def test_memo_is_asked_once_a_part(monkeypatch):
+    """Every part of a text is looked up once; only parts the memo lacks are asked again."""
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    texts = ["one two, two three", "", "two two two " * 50, "four one", "two \u4e00 one", "three <|x|> 4"]
+    monkeypatch.setattr(token_store, "_memo", Counted())
+    monkeypatch.setattr(token_store, "CACHE_PARTS", 7)
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert token_store.encode_texts(WORD_BPE, texts, "<u2") == want
+    assert token_store.encode_texts(WORD_BPE, texts[:4], "<u2") == want[:4]  # the memo was cleared in between
+    token_store.encode_texts(WORD_BPE, texts[:1], "<u2")
+    Counted.asked = 0
+    assert token_store.encode_texts(WORD_BPE, texts[:1] * 3, "<u2") == want[:1] * 3
+    assert Counted.asked == 3 * 5
