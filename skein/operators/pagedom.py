@@ -7,6 +7,7 @@ and a page's rows are bounded by the size of one fetched document.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from typing import Any
 
 import pandas as pd
@@ -96,11 +97,14 @@ def _start_tag(all_attrs: bool) -> Column:
     return F.concat(F.lit("<"), tag, kept, closing)
 
 
-def rendered(nodes: DataFrame, group: str, all_attrs: bool = False) -> DataFrame:
-    """HTML and text of each group of nodes: (page_id, group, html, raw_text).
+def rendered(
+    nodes: DataFrame, group: str, all_attrs: bool = False, also: Sequence[Column] = ()
+) -> DataFrame:
+    """HTML and text of each group of nodes: (page_id, group, html, raw_text, ...).
 
     Only the compared attributes are written (links from ``link``), or with
-    ``all_attrs`` every attribute as it was.
+    ``all_attrs`` every attribute as it was.  ``also`` are more aggregates of a
+    group, found in the same pass.
 
     Opening tags sort at their position and closing tags at their end, inner
     ones first, so an ordered join of the pieces is the serialized subtree.
@@ -123,6 +127,7 @@ def rendered(nodes: DataFrame, group: str, all_attrs: bool = False) -> DataFrame
         .agg(
             F.array_join(F.transform(ordered, lambda p: p["s"]), "").alias("html"),
             F.array_join(F.transform(texts, lambda t: t["text"]), "").alias("raw_text"),
+            *also,
         )
     )
 
@@ -159,13 +164,14 @@ def page_blocks(nodes: DataFrame, urls: DataFrame) -> DataFrame:
     own_anchor = F.coalesce(
         F.nullif(F.col("attrs")["id"], F.lit("")), F.nullif(F.col("attrs")["name"], F.lit(""))
     )
-    # The first id or name in document order, and the block's own tag.
-    facts = owned.groupBy("page_id", "block_pos").agg(
-        F.first("_o.t").alias("tag"),
+    # The first id or name in document order, and the block's own tag.  They come from the pass
+    # that renders: joined to it, they would parse every page a second time.
+    facts = [
+        F.first("_o.t").alias("_tag"),
         F.min_by(own_anchor, F.when(own_anchor.isNotNull(), F.col("pos"))).alias("own_anchor"),
-    )
-    html = rendered(owned, "block_pos").withColumn("text", normalize_text(F.col("raw_text")))
-    blocks = html.join(facts, ["page_id", "block_pos"]).withColumn("is_heading", F.col("tag").isin(*HEADING_TAGS))
+    ]
+    html = rendered(owned, "block_pos", also=facts).withColumn("text", normalize_text(F.col("raw_text")))
+    blocks = html.withColumn("is_heading", F.col("_tag").isin(*HEADING_TAGS))
     in_page = Window.partitionBy("page_id").orderBy("block_pos")
     numbered = blocks.withColumn("pos", F.row_number().over(in_page) - 1).withColumn(
         "truncated", F.count(F.lit(1)).over(Window.partitionBy("page_id")) > MAX_BLOCKS

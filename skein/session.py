@@ -92,15 +92,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Setting with the partition count for per-row Python work over few large files.
+#: Setting with the partition count for per-row Python work; 0 leaves an input as it is split.
 PARSE_PARTITIONS = "spark.skein.parse.partitions"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out to as many partitions as PARSE_PARTITIONS says; as it is where that is unset.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key`` for per-row Python work, into PARSE_PARTITIONS partitions.
 
-    A file of one row group is one task however many cores wait.  Inputs of
-    many splits need no shuffle, so nothing is dealt out unless asked for.
+    A file of one row group is one task however many cores wait and however
+    it is split, so by default rows go to as many partitions as a shuffle has,
+    at least one a core.  That exchanges the input once; a parse costs far more.
     """
-    partitions = None if df.isStreaming else df.sparkSession.conf.get(PARSE_PARTITIONS, None)
-    return df.repartition(int(partitions)) if partitions else df
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    asked = spark.conf.get(PARSE_PARTITIONS, None)
+    if asked is None:
+        asked = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(int(asked), key) if int(asked) else df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import blocks, boilerplate, config, pagedom, robots
 from skein.plans.fulltext import article_texts
-from skein.session import prepare
+from skein.session import PARSE_PARTITIONS, prepare
 from skein.sources import dom, opml
 from skein.sources import listing as listing_source
 
@@ -333,3 +333,27 @@ def test_python_gets_pages_in_batches_bounded_by_bytes(spark, rows):
             yield b.iloc[:1].assign(html=str(len(b)))
 
     assert max(int(r.html) for r in big.mapInPandas(sizes, "id bigint, html string").collect()) <= 9
+
+
+def _parses(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInPandas")
+
+
+def test_blocks_parse_pages_once(pages):
+    p = pages("<body><p id='x'>One</p><h2 id='y'>Two</h2><p>Three</p></body>")
+    found = pagedom.page_blocks(dom.dom_rows(p), p)
+    assert _parses(found) == 1
+    got = [(r.text, r.is_heading, r.anchor) for r in found.orderBy("pos").collect()]
+    assert got == [("One", False, ""), ("Two", True, ""), ("Three", False, "y")]
+
+
+def test_one_row_group_is_parsed_by_many_tasks(spark, pages):
+    p = pages(*[f"<body><p>{i}</p></body>" for i in range(64)]).coalesce(1)
+    prepare(spark)
+    one = dom.dom_rows(p).select("page_id", F.spark_partition_id().alias("at")).distinct()
+    assert one.select("at").distinct().count() > 1
+    spark.conf.set(PARSE_PARTITIONS, "0")
+    try:
+        assert dom.dom_rows(p).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset(PARSE_PARTITIONS)
