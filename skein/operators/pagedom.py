@@ -20,6 +20,7 @@ from skein.functions.markup import BLOCK_TAGS, HEADING_TAGS, is_noise
 from skein.functions.text import GO_SPACE, anonymize_text, is_anonymized, normalize_text
 from skein.functions.urls import absolutize, canonical_url, resolve_url
 from skein.operators.blocks import MAX_BLOCKS, with_heading_context
+from skein.session import cut_lineage
 from skein.sources.dom import TEXT, VOID_TAGS, WRITTEN
 
 # Media types of feeds in <link rel="alternate">.
@@ -279,13 +280,16 @@ def jsonld_date(raw: pd.Series) -> pd.Series:
 def published_dates(nodes: DataFrame, now: int) -> DataFrame:
     """(page_id, published_at) from meta, then JSON-LD, then the first <time>.
 
-    A source whose first value is unusable falls through to the next one.
+    A source whose first value is unusable falls through to the next one.  The
+    few rows that may hold a date are kept first, so pages are parsed once.
     """
     attrs = F.col("attrs")
     # A later attribute of the two overrides an earlier one; a map keeps no
     # order, so property is read before name.
     prop = F.coalesce(attrs["property"], attrs["name"])
     in_ld = (F.col("tag") == TEXT) & (F.col("parent_tag") == "script")
+    dated = nodes.filter(F.col("tag").isin("meta", "script", "time") | in_ld)
+    nodes = cut_lineage(dated.select("page_id", "pos", "parent", "parent_tag", "tag", "attrs", "text"))
     scripts = nodes.filter(F.col("tag") == "script").filter(
         F.lower(attrs["type"]) == "application/ld+json"
     ).select("page_id", F.col("pos").alias("parent"))

@@ -347,6 +347,13 @@ def test_blocks_parse_pages_once(pages):
     assert got == [("One", False, ""), ("Two", True, ""), ("Three", False, "y")]
 
 
+def test_dates_parse_pages_once(pages):
+    p = pages("<time datetime='2020-01-07'>x</time>", "<script type='application/ld+json'>{\"@type\":\"Article\",\"datePublished\":\"2020-01-06\"}</script>")
+    found = pagedom.published_dates(dom.dom_rows(p), NOW)
+    assert _parses(found) == 0  # the rows that matter were kept by one parse before
+    assert found.count() == 2
+
+
 def test_one_row_group_is_parsed_by_many_tasks(spark, pages):
     p = pages(*[f"<body><p>{i}</p></body>" for i in range(64)]).coalesce(1)
     prepare(spark)
