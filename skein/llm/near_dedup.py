@@ -14,13 +14,15 @@ several nodes is a bucket.  Star rounds come first: a few bands, then all of
 them; every bucket compares one pivot of its largest class with its members of
 other classes by the exact similarity of their texts, and classes are joined in
 full between rounds.  A last round takes what is left: all pairs of different
-classes in a bucket, at least one of them outside its largest class.  There a
-pair is compared if its sketches (two bits a register) differ in no more
+classes in a bucket, at least one of them outside its largest class, each pair
+in the first band it shares.  Its texts get ``SKETCH`` registers anew, of which
+two bits each are kept.  A pair is compared if its sketches differ in no more
 registers than those of a pair at the limit do by five standard deviations, so
-from about 0.68; a pair at 0.8 fails that with probability below 1e-5.  So every pair that shares a band is in one
-class, compared, or apart by its sketch.  A bucket of copies costs its size; a
-bucket of c classes that stay apart costs its size times the members outside
-its largest class in sketch tests, and text comparisons only for near pairs.
+from about 0.75; a pair at 0.8 fails that with probability below 1e-5.  So every
+pair that shares a band is in one class, compared, or apart by its sketch.  A
+bucket of copies costs its size; a bucket of c classes that stay apart costs its
+size times the members outside its largest class in sketch tests, and text
+comparisons only for near pairs.
 
 A null text, and a text without words, is alone unless an equal text exists
 (nulls are equal if their doc_id is).  Repeated rows share a class.  The class
@@ -40,12 +42,17 @@ from pyspark.sql import functions as F
 from skein.llm.common import map_batches, stored
 from skein.llm.components import connected
 from skein.llm.textbytes import find_words, mix, shingles, text_bytes
+from skein.session import spread
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 48, 8
 #: Bands of the first star round, and star rounds before the last round.
 FIRST_BANDS, STAR_ROUNDS = 4, 4
+#: Registers of a sketch in the last round; the first ``GLANCE`` of them are looked at before the others.
+SKETCH, GLANCE = 2048, 384
+#: Bytes of text in a batch that gets sketches, each of which needs several times its registers of memory.
+SKETCH_BATCH = 1 << 20
 #: Standard deviations by which sketches of a pair at the limit may differ beyond their mean.
 SKETCH_SLACK = 5.0
 
@@ -104,12 +111,36 @@ def sketch_limit(similarity: float, m: int) -> int:
     return int(np.ceil(m * p + SKETCH_SLACK * np.sqrt(m * p * (1 - p))))
 
 
-def _differing(a: str, b: str, words: int) -> Column:
-    def unlike(i: int) -> Column:
-        return F.col(a)[i].bitwiseXOR(F.col(b)[i])
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Whether two sketches leave it open that a pair is at ``similarity`` or above."""
+    words = SKETCH // 64
 
-    parts = [F.bit_count(unlike(i).bitwiseOR(unlike(words + i))) for i in range(words)]
-    return sum(parts[1:], parts[0])
+    def unlike(i: Column) -> Column:
+        return F.get(a, i).bitwiseXOR(F.get(b, i))
+
+    def differing(i: Column) -> Column:
+        return F.bit_count(unlike(i).bitwiseOR(unlike(i + words)))
+
+    glance = [differing(F.lit(i)) for i in range(GLANCE // 64)]
+    # One expression of all words would be more code than the JVM compiles.
+    whole = F.aggregate(F.sequence(F.lit(0), F.lit(words - 1)), F.lit(0), lambda n, i: n + differing(i))
+    return (sum(glance[1:], glance[0]) <= sketch_limit(similarity, GLANCE)) & (whole <= sketch_limit(similarity, SKETCH))
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """(key, sketch) of (key, text) rows, dealt out anew: a few texts cost as much as many elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            sketch = _sketch(prob_minhash(*weighted_shingles(batch.column("text")), n, SKETCH))
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * sketch.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.ListArray.from_arrays(ends, pa.array(sketch.ravel()))], ["key", "sketch"]
+            )
+
+    dealt = spread(texts.select("key", "text"), "key")
+    return map_batches(dealt, run, "key binary, sketch array<bigint>", SKETCH_BATCH)
 
 
 def _text_keys(texts: pa.Array, ids: list) -> list[bytes]:
@@ -137,7 +168,7 @@ def _text_keys(texts: pa.Array, ids: list) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """doc_id, th (a plain hash of the text), key of the word sequence, band keys, sketch words."""
+    """doc_id, th (a plain hash of the text), key of the word sequence, band keys."""
     narrow = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")
     )
@@ -147,7 +178,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
             texts, n = batch.column("text"), batch.num_rows
             row, h, count = weighted_shingles(texts)
             registers = prob_minhash(row, h, count, n, bands * rows).reshape(n, bands, rows)
-            sketch = _sketch(registers.reshape(n, bands * rows))
             key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0xA24BAED4963EE407)
             key = np.repeat(key, n, axis=0)
             for j in range(rows):
@@ -161,15 +191,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
                     batch.column("th"),
                     pa.array(_text_keys(texts, batch.column("doc_id").to_pylist()), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(lists), flat),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.arange(n + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.ravel())
-                    ),
                 ],
-                ["doc_id", "th", "key", "bands", "sketch"],
+                ["doc_id", "th", "key", "bands"],
             )
 
     id_type = dict(narrow.dtypes)["doc_id"]
-    return map_batches(narrow, run, f"doc_id {id_type}, th bigint, key binary, bands array<bigint>, sketch array<bigint>")
+    return map_batches(narrow, run, f"doc_id {id_type}, th bigint, key binary, bands array<bigint>")
 
 
 def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -237,20 +264,36 @@ def _mixed(members: DataFrame, labels: DataFrame, step: int) -> tuple[DataFrame,
     return stored(named.join(tops.select("band"), "band"), "dedup"), tops
 
 
-def _apart(others: DataFrame, members: DataFrame, nodes: DataFrame, limit: int, words: int) -> DataFrame:
-    """(x, y): pairs of a bucket in different classes, x outside its largest, whose sketches are near."""
-    sketches = nodes.select("key", "sketch")
+def _apart(others: DataFrame, members: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): pairs of a bucket in different classes, x outside its largest, whose sketches are near.
+
+    ``nodes`` has the bands of each key.  A pair comes once, from the first band it shares: that is a bucket
+    of several classes too, so it is among ``members``.
+    """
+    asked = members.select("key").distinct()
+    sketches = stored(_sketched(texts.join(asked, "key")), "dedup").join(nodes.select("key", "bands"), "key")
     left = others.join(sketches, "key").select(
-        "band", F.col("key").alias("x"), F.col("label").alias("lx"), F.col("top"), F.col("sketch").alias("sx")
+        "band",
+        F.col("key").alias("x"),
+        F.col("label").alias("lx"),
+        F.col("top"),
+        F.col("sketch").alias("sx"),
+        F.col("bands").alias("bx"),
     )
     right = members.join(sketches, "key").select(
-        F.col("band").alias("band_y"), F.col("key").alias("y"), F.col("label").alias("ly"), F.col("sketch").alias("sy")
+        F.col("band").alias("band_y"),
+        F.col("key").alias("y"),
+        F.col("label").alias("ly"),
+        F.col("sketch").alias("sy"),
+        F.col("bands").alias("by"),
     )
+    first = F.array_position(F.zip_with("bx", "by", lambda p, q: p == q), True)
     near = (
         (F.col("band") == F.col("band_y"))
         & (F.col("lx") != F.col("ly"))
         & ((F.col("ly") == F.col("top")) | (F.col("x") < F.col("y")))
-        & (_differing("sx", "sy", words) <= limit)
+        & _near("sx", "sy", similarity)
+        & (F.get("bx", (first - 1).cast("int")) == F.col("band"))
     )
     return left.join(right, near).select("x", "y")
 
@@ -280,10 +323,10 @@ def classes(
     spark = docs.sparkSession
     signed = stored(signatures(docs, id_col, text_col, bands, rows), "dedup")
     nodes = signed.groupBy("key").agg(
-        F.min_by(F.struct("bands", "sketch"), "th").alias("own"),
+        F.min_by("bands", "th").alias("bands"),
         F.min(F.struct("doc_id", "th")).alias("who"),
     )
-    nodes = stored(nodes.select("key", "who", "own.*"), "dedup")
+    nodes = stored(nodes, "dedup")
     cells = nodes.select("key", F.posexplode("bands").alias("at", "band"))
     shared = cells.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     members = stored(cells.join(shared, "band").select("band", "at", "key"), "dedup")
@@ -306,7 +349,7 @@ def classes(
         if step < STAR_ROUNDS:
             found = others.select(F.col("key").alias("x"), F.col("head").alias("y"))
         else:
-            found = _apart(others, open_, nodes, sketch_limit(similarity, bands * rows), -(-bands * rows // 64))
+            found = _apart(others, open_, nodes, texts, similarity)
         pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "dedup")
         links = stored(_verified(pairs, texts, similarity), "dedup")

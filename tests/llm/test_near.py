@@ -130,6 +130,31 @@ def test_a_bucket_of_texts_below_the_limit(docs):
     assert got(near_dedup.classes(docs(rows))) == wanted(rows, fast_similarity)
 
 
+def test_texts_below_the_limit_are_not_compared(docs, monkeypatch):
+    """Pairs at about 0.7 share bands; the last round's sketches tell them from pairs at the limit."""
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(230)]
+    rows = []
+    for i in range(40):
+        text = list(base)
+        for at in draw.sample(range(230), 4):
+            text[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, f"{rows[i][1]} one more") for i in range(4)]
+    compared, verified = [], near_dedup._verified
+
+    def counted(pairs, texts, similarity):
+        compared.append(pairs.count())
+        return verified(pairs, texts, similarity)
+
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "FIRST_BANDS", near_dedup.BANDS)
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    assert got(near_dedup.classes(docs(rows))) == wanted(rows, fast_similarity)
+    links = sum(fast_similarity(bag(a), bag(b)) >= near_dedup.SIMILARITY for i, (_, a) in enumerate(rows) for _, b in rows[:i])
+    assert links <= sum(compared) < 200 < len(rows) * (len(rows) - 1) / 2 / 3
+
+
 def test_sketches_keep_pairs_at_the_limit():
     m = near_dedup.BANDS * near_dedup.ROWS
     draw = np.random.default_rng(3)
