@@ -1,9 +1,9 @@
 """Page versions as block rows: masking, hashing, difference, entry rendering.
 
 A page version is the rows of one ``by`` key (for example source and version),
-with ``pos`` giving document order.  One version holds at most ``MAX_BLOCKS``
-rows, so windows and lists per version are bounded; nothing here groups the
-versions of one source together.
+with ``pos`` giving document order.  Windows and lists are per version, bounded
+by the size of one fetched page; nothing here groups the versions of one source
+together.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from skein.functions.text import mask_patterns, sha256_hex, strip_tags
 from skein.functions.urls import display_title
 from skein.skew import sliced_last_value
 
+#: A page over this many blocks is flagged; all its blocks are used.
 MAX_BLOCKS = 5000
-#: Above this many blocks on a side, copies are picked without alignment.
-ALIGNED_BLOCKS = 2000
+#: Most cells of alignment lengths that are held at a time, beside one row a halving.
+ALIGNED_CELLS = 1 << 22
 MAX_STATE_BYTES = 512 * 1024
 RULES_VERSION = 1
 STATE_VERSION = 1
@@ -139,27 +140,52 @@ def aligned_positions(prev: list, curr: list) -> tuple[list[int], list[int]]:
     two equally long ways on, the one that drops the previous side's block is
     taken.  A key that falls out on both sides has moved: as many of its first
     indices as both sides have are taken back.
+
+    Long sides are halved: a row in the middle is computed from the last one,
+    the first half is walked from it and then the second from where that walk
+    ended, so a row a halving and ``ALIGNED_CELLS`` lengths are held, never
+    all of the table.
     """
     codes = {key: i for i, key in enumerate(dict.fromkeys([*prev, *curr]))}
     a, b = (np.array([codes[k] for k in side], np.int32) for side in (prev, curr))
     n, m = len(a), len(b)
-    tails = np.zeros((n + 1, m + 1), np.int16)
-    for i in range(n - 1, -1, -1):
-        best = np.where(b == a[i], tails[i + 1, 1:] + 1, tails[i + 1, :-1])
-        tails[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
     added: list[int] = []
     removed: list[int] = []
-    i = j = 0
-    while i < n and j < m:
-        if a[i] == b[j]:
-            i, j = i + 1, j + 1
-        elif tails[i + 1, j] >= tails[i, j + 1]:
-            removed.append(i)
-            i += 1
-        else:
-            added.append(j)
-            j += 1
-    removed += range(i, n)
+
+    def row_before(i: int, after: np.ndarray, j: int) -> np.ndarray:
+        """Lengths for tails from ``i`` and each index from ``j`` on, given those from ``i + 1``."""
+        row = np.zeros_like(after)
+        best = np.where(b[j:] == a[i], after[1:] + 1, after[:-1])
+        row[:-1] = np.maximum.accumulate(best[::-1])[::-1]
+        return row
+
+    def walk(start: int, stop: int, j: int, last: np.ndarray) -> int:
+        """Walk rows ``start`` to ``stop`` from column ``j``; ``last`` is row ``stop`` from ``j`` on."""
+        if (stop - start) * len(last) > ALIGNED_CELLS and stop - start > 1:
+            half = (start + stop) // 2
+            middle = last
+            for i in range(stop - 1, half - 1, -1):
+                middle = row_before(i, middle, j)
+            at = walk(start, half, j, middle)
+            return walk(half, stop, at, last[at - j :])
+        tails = [last]
+        for i in range(stop - 1, start - 1, -1):
+            tails.append(row_before(i, tails[-1], j))
+        tails.reverse()
+        i, at = start, j
+        while i < stop and at < m:
+            if a[i] == b[at]:
+                i, at = i + 1, at + 1
+            elif tails[i + 1 - start][at - j] >= tails[i - start][at - j + 1]:
+                removed.append(i)
+                i += 1
+            else:
+                added.append(at)
+                at += 1
+        removed.extend(range(i, stop))
+        return at
+
+    j = walk(0, n, 0, np.zeros(m + 1, np.int32))
     added += range(j, m)
     moved = Counter(b[added].tolist()) & Counter(a[removed].tolist())
 
@@ -175,14 +201,14 @@ def aligned_positions(prev: list, curr: list) -> tuple[list[int], list[int]]:
     return kept(added, b), kept(removed, a)
 
 
-def aligned_diff(prev: DataFrame, curr: DataFrame, by: Sequence[str], limit: int = ALIGNED_BLOCKS) -> DataFrame:
+def aligned_diff(prev: DataFrame, curr: DataFrame, by: Sequence[str], limit: int | None = None) -> DataFrame:
     """``block_diff`` with the shown copies of repeated blocks picked by alignment.
 
     Alignment can only change which copy is shown, and only where some but not
     all copies of a key on one side are surplus.  Pairs of versions without
-    such a key, and those with more than ``limit`` blocks on a side, keep the
-    rows of ``block_diff``; the others, at most ``2 * limit`` rows each, are
-    aligned one by one.
+    such a key keep the rows of ``block_diff``; the others are aligned one by
+    one, however long they are.  A caller that wants the rows of ``block_diff``
+    for long versions names a ``limit`` of blocks on a side.
     """
     plain = block_diff(prev, curr, by)
     sides = prev.select(*by, "pos", "key", F.lit(0).alias("_side")).unionByName(
@@ -194,7 +220,7 @@ def aligned_diff(prev: DataFrame, curr: DataFrame, by: Sequence[str], limit: int
     pairs = (
         keys.groupBy(*by)
         .agg(F.sum("_was").alias("_n"), F.sum("_is").alias("_m"), F.max(open_key).alias("_open"))
-        .filter(F.col("_open") & (F.greatest("_n", "_m") <= limit))
+        .filter(F.col("_open") if limit is None else F.col("_open") & (F.greatest("_n", "_m") <= limit))
         .select(*by)
     )
     types = dict(sides.dtypes)

@@ -47,3 +47,54 @@ def test_item_identity_of_empty_and_null_texts(spark, changed):
     tables = changed(documents=f"SELECT doc_id, {texts} AS text, lang, source, n_chars FROM documents_0")
     ok, note = equal(spark, tables, "item_identity")
     assert ok, note
+
+
+def table_alignment(prev, curr):
+    """The whole table of lengths, walked from the front, moves cancelled."""
+    n, m = len(prev), len(curr)
+    tails = np.zeros((n + 1, m + 1), int)
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            same = prev[i] == curr[j]
+            tails[i, j] = tails[i + 1, j + 1] + 1 if same else max(tails[i + 1, j], tails[i, j + 1])
+    added, removed, i, j = [], [], 0, 0
+    while i < n and j < m:
+        if prev[i] == curr[j]:
+            i, j = i + 1, j + 1
+        elif tails[i + 1, j] >= tails[i, j + 1]:
+            removed.append(i)
+            i += 1
+        else:
+            added.append(j)
+            j += 1
+    removed += range(i, n)
+    added += range(j, m)
+    moved = Counter(curr[j] for j in added) & Counter(prev[i] for i in removed)
+    for side, keys in ((added, curr), (removed, prev)):
+        for key, copies in moved.items():
+            for at in [x for x in side if keys[x] == key][:copies]:
+                side.remove(at)
+    return added, removed
+
+
+@pytest.mark.parametrize("cells", [1, 7, 40, 1 << 22])
+def test_alignment_by_halves_equals_the_whole_table(monkeypatch, cells):
+    monkeypatch.setattr(blocks, "ALIGNED_CELLS", cells)
+    rng = random.Random(11)
+    for _ in range(300):
+        prev = [rng.choice("abcdefg") for _ in range(rng.randrange(30))]
+        curr = [k for k in prev if rng.random() < 0.8]
+        for _ in range(rng.randrange(9)):
+            curr.insert(rng.randrange(len(curr) + 1), rng.choice("abcdefgh"))
+        assert blocks.aligned_positions(prev, curr) == table_alignment(prev, curr)
+
+
+def test_long_versions_are_aligned_too(rows):
+    body = [f"k{i}" for i in range(2100)]
+    sides = [body + ["r"], ["r", *body, "r"]]
+    tables = [
+        rows("source bigint, pos bigint, key string, html string, text string", [(1, i, k, k, k) for i, k in enumerate(side)])
+        for side in sides
+    ]
+    found = blocks.aligned_diff(*tables, ["source"]).collect()
+    assert [(r.change, r.pos, r.key) for r in found] == [("added", 0, "r")]
