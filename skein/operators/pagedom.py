@@ -138,7 +138,8 @@ def page_blocks(nodes: DataFrame, urls: DataFrame) -> DataFrame:
 
     A block is a block-level element with text, an image or a link and no
     block inside it; a page without any gives its whole body as one block.
-    Columns: page_id, pos (0..), html, text, anchor, head, truncated.
+    Columns: page_id, pos (0..), html, text, anchor, head, truncated; the last
+    flags pages over MAX_BLOCKS, which are given whole all the same.
     """
     clean = with_clean_links(without_noise(nodes), urls)
     # Text counts when normalization leaves anything, which strips Unicode space too.
@@ -177,9 +178,7 @@ def page_blocks(nodes: DataFrame, urls: DataFrame) -> DataFrame:
     numbered = blocks.withColumn("pos", F.row_number().over(in_page) - 1).withColumn(
         "truncated", F.count(F.lit(1)).over(Window.partitionBy("page_id")) > MAX_BLOCKS
     )
-    # Cutting a page at MAX_BLOCKS is the stated block limit of a watched page.
-    bounded = numbered.filter(F.col("pos") < MAX_BLOCKS)
-    return with_heading_context(bounded, ["page_id"]).select(
+    return with_heading_context(numbered, ["page_id"]).select(
         "page_id", "pos", "html", "text", "is_heading", "anchor", "head", "truncated"
     )
 

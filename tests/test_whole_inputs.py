@@ -98,3 +98,22 @@ def test_long_versions_are_aligned_too(rows):
     ]
     found = blocks.aligned_diff(*tables, ["source"]).collect()
     assert [(r.change, r.pos, r.key) for r in found] == [("added", 0, "r")]
+
+
+def test_blocks_of_a_long_page_are_all_there(rows):
+    html = "<body>" + "".join(f"<p>Line {i}</p>" for i in range(5200)) + "</body>"
+    page = rows("page_id bigint, url string, html string", [(1, "https://a.example.com/", html)])
+    found = pagedom.page_blocks(dom.dom_rows(page), page).orderBy("pos").collect()
+    assert [r.text for r in found] == [f"Line {i}" for i in range(5200)]
+    assert all(r.truncated for r in found)
+
+
+LONG = """SELECT page_id, url, CASE WHEN page_id IN (3, 5) THEN concat('<html><body>', array_to_string(list_transform(
+  range(5100 + page_id), lambda i: concat('<p>Line ', chr(CAST(97 + (i * page_id) % 26 AS INT)), ' of ', i, '</p>')), ''), '</body></html>')
+  ELSE html END AS html FROM (SELECT page_id, regexp_replace(url, '//[^/?#]+', CASE WHEN page_id IN (3, 5) THEN '//long.example.com' ELSE '//short.example.com' END) AS url, html FROM pages_0) p"""
+
+
+@pytest.mark.parametrize("name", ["page_blocks", "content_hash", "full_page_section", "aligned_diff_counts"])
+def test_long_pages_equal_their_sql(spark, changed, name):
+    ok, note = equal(spark, changed(pages=LONG), name)
+    assert ok, note
