@@ -19,19 +19,13 @@ USERS_PER_CELL = 1024
 STATE_COLUMNS = ["user_id", "entry_id", "feed_id", "published_at", "created_at", "read_at", "ignored"]
 
 
-def ignored_pairs(entries: DataFrame, subscriptions: DataFrame, ignore_words: DataFrame) -> DataFrame:
-    """(user_id, entry_id) pairs where an ignore word hits the title or body.
+def word_hits(entries: DataFrame, feed_words: DataFrame) -> DataFrame:
+    """(entry_id, feed_id, word) where a word wanted on the feed is in the title or body.
 
-    The text is matched once per feed word, not once per subscriber: words are
-    first reduced to the distinct ones wanted on each feed and hashed into
-    groups of about ``WORDS_PER_GROUP``, so an entry is copied once per group
-    and never once per user.  Everything is an equi-join.
+    ``feed_words`` (feed_id, word) are distinct and lower-cased.  They are
+    hashed into groups of about ``WORDS_PER_GROUP``, so an entry is copied once
+    per group.
     """
-    wanted = (
-        subscriptions.select("user_id", "feed_id")
-        .join(ignore_words.select("user_id", ascii_lower(F.col("word")).alias("word")).distinct(), "user_id")
-    )
-    feed_words = wanted.select("feed_id", "word").distinct()
     sizes = feed_words.groupBy("feed_id").agg(F.count(F.lit(1)).alias("_n"))
     # A probe is a literal every match must contain: one substring search on
     # the lower-cased text decides almost all words, and only the rest are
@@ -65,11 +59,25 @@ def ignored_pairs(entries: DataFrame, subscriptions: DataFrame, ignore_words: Da
             "_plain": folds_plainly(F.concat("title", "body")),
         }
     )
-    hits = met.select(
+    return met.select(
         "entry_id",
         "feed_id",
         F.explode(F.transform(F.filter("_words", found), lambda w: w["word"])).alias("word"),
     )
+
+
+def ignored_pairs(entries: DataFrame, subscriptions: DataFrame, ignore_words: DataFrame) -> DataFrame:
+    """(user_id, entry_id) pairs where an ignore word hits the title or body.
+
+    The text is matched once per feed word, not once per subscriber: words are
+    first reduced to the distinct ones wanted on each feed.  Everything is an
+    equi-join.
+    """
+    wanted = (
+        subscriptions.select("user_id", "feed_id")
+        .join(ignore_words.select("user_id", ascii_lower(F.col("word")).alias("word")).distinct(), "user_id")
+    )
+    hits = word_hits(entries, wanted.select("feed_id", "word").distinct())
     pairs = salted_join(
         hits, wanted, ["feed_id", "word"], F.col("entry_id"), F.col("user_id"), count_left=False
     )
