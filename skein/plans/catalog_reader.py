@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions.items import format_cursor, parse_cursor
-from skein.operators import feeds, sources, stats, subscriptions, timeline
+from skein.operators import feeds, sources, stats, subscriptions, timeline, unread
 from skein.operators import fanout as fan
 from skein.operators.timeline import Cursor
 from skein.plans.fixtures import DAY, NOW, Fixtures
@@ -100,11 +100,9 @@ def _(fx):
   WHERE u.ignored = 0 AND u.read_at IS NULL) t WHERE rn <= 100""",
 )
 def unread_first_pages(fx):
-    # The cuts travel with the subscriptions: rows that no page can hold are dropped before they are dealt out.
-    cuts = timeline.page_cuts(fx.entries, fx.state(), 100)
-    subs = fx.subs.select("user_id", "feed_id").join(cuts, "user_id", "left")
-    near = fx.state(subs=subs).filter("_from IS NULL OR published_at >= _from")
-    return timeline.first_pages(fx.entries, near, fx.pins, 100)
+    near = unread.newest_unread(fx.open_entries(), fx.subs, fx.words, fx.own_reads(), 100)
+    rows = near.withColumns({"read_at": F.lit(None), "ignored": F.lit(0)})
+    return timeline.first_pages(fx.entries, rows, fx.pins, 100)
 
 
 _SEARCH = f"SELECT {_E} {_GROUP} WHERE u.ignored = 0 AND ({{}}) {_NEWEST} 100"
