@@ -14,8 +14,8 @@ bytes.
    travels once a batch.
 3. In a bucket, stretches of one anchor that differ are compared window by
    window: the windows at equal distance from the anchor are merge-sorted as
-   suffixes.  A comparison takes prefix polynomial hashes and finds the common
-   extension by binary search.  Neighbours that agree in ``SIZE`` bytes are
+   suffixes, where another one has the same hash.  A comparison takes prefix
+   polynomial hashes and finds the common extension by binary search.  Neighbours that agree in ``SIZE`` bytes are
    checked byte by byte.
 4. The removed ranges are merged a document, meet their document again and are cut.
 
@@ -113,10 +113,12 @@ def suffix_merge_sort(
     local = np.arange(n) - first
 
     def before(x: np.ndarray, y: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        out = ties.copy()
+        part = np.flatnonzero(span_hashes(prefix, x, x + limit) != span_hashes(prefix, y, y + limit))
+        x, y = x[part], y[part]
         same = common_extension(prefix, x, y, limit)
-        full = same >= limit
-        a, b = data[np.where(full, x, x + same)], data[np.where(full, y, y + same)]
-        return np.where(full, ties, a < b)
+        out[part] = data[x + same] < data[y + same]
+        return out
 
     width = 1
     while n and width < sizes.max():
@@ -153,6 +155,24 @@ def window_minimum(data: np.ndarray, starts: np.ndarray, group: np.ndarray, valu
     if not len(starts):
         return np.zeros(0, np.int64)
     prefix = prefix_hashes(data)
+    # Equal windows have equal hashes: only those of one hash in a group are sorted against each other,
+    # and one that is alone with its hash is its own least.
+    whole = span_hashes(prefix, starts, starts + size)
+    by = np.lexsort((whole, group))
+    fresh = np.ones(len(by) + 1, bool)
+    fresh[1:-1] = (group[by[1:]] != group[by[:-1]]) | (whole[by[1:]] != whole[by[:-1]])
+    met = ~(fresh[:-1] & fresh[1:])
+    pick = by[met]
+    out = value.astype(np.int64)
+    if len(pick):
+        out[pick] = _sorted_minimum(data, prefix, starts[pick], np.cumsum(fresh[:-1])[met], value[pick], size)
+    return out
+
+
+def _sorted_minimum(
+    data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, group: np.ndarray, value: np.ndarray, size: int
+) -> np.ndarray:
+    """``window_minimum`` by the order of the windows as suffixes."""
     order = suffix_merge_sort(data, prefix, starts, group, size)
     s, g = starts[order], group[order]
     near = g[1:] == g[:-1]

@@ -82,3 +82,23 @@ def test_every_document_of_the_table(spark):
     got = sorted(tuple(r) for r in op6_suffix_sort_dedup(spark, SF_DIR).collect())
     rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
     assert got == brute.repeats([tuple(r) for r in rows])
+
+
+def test_only_windows_that_share_a_hash_are_sorted(monkeypatch):
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    starts, group = np.sort(rng.integers(0, 3980, 900)), np.repeat(np.arange(30), 30)
+    value = rng.integers(0, 1000, 900)
+    met = []
+    sort = suffix_dedup.suffix_merge_sort
+
+    def counted(data, prefix, suffix, group, limit):
+        met.append(len(suffix))
+        return sort(data, prefix, suffix, group, limit)
+
+    monkeypatch.setattr(suffix_dedup, "suffix_merge_sort", counted)
+    least = suffix_dedup.window_minimum(data, starts, group, value, 8)
+    keys = [(g, data[s : s + 8].tobytes()) for g, s in zip(group.tolist(), starts.tolist(), strict=True)]
+    held = [k for k in keys if keys.count(k) > 1]
+    assert least.tolist() == [min(v for k, v in zip(keys, value.tolist(), strict=True) if k == own) for own in keys]
+    assert met == [len(held)] and 0 < len(held) < 900
