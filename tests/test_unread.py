@@ -7,7 +7,7 @@ import random
 import pytest
 from oracle import TESTDATA
 
-from skein.operators import unread
+from skein.operators import fanout, unread
 from skein.plans.fixtures import Fixtures
 from skein.plans.registry import load_all
 from skein.session import prepare
@@ -98,3 +98,13 @@ def test_no_row_a_subscriber_and_entry(spark, name):
     found = load_all()[name].run(Fixtures(prepare(spark), f"{TESTDATA}/sf0.001"))
     # The fan-out looks a subscriber's marks up by their place in a list.
     assert "array_position" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_backfill_knows_the_pairs_that_hold_all(tables, rows):
+    entries, subs, words, _ = tables(world(random.Random(8)))
+    entries = entries.selectExpr("*", "published_at AS created_at")
+    asked = subs.unionByName(rows("user_id bigint, feed_id bigint", [(u, 1) for u in range(40)])).distinct()
+    state = fanout.fan_out(entries, subs, words)
+    want = {tuple(r) for r in fanout.backfill_new_subscribers(entries, asked, words, state).collect()}
+    found = fanout.backfill_new_subscribers(entries, asked, words, None, subs).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want) > 0
