@@ -108,3 +108,16 @@ def test_backfill_knows_the_pairs_that_hold_all(tables, rows):
     want = {tuple(r) for r in fanout.backfill_new_subscribers(entries, asked, words, state).collect()}
     found = fanout.backfill_new_subscribers(entries, asked, words, None, subs).collect()
     assert {tuple(r) for r in found} == want and len(found) == len(want) > 0
+
+
+def test_unsubscribe_makes_only_the_rows_that_stay(spark):
+    made = []
+
+    class Asked(Fixtures):
+        def state(self, marks=None, entries=None, subs=None):
+            made.append(subs)
+            return super().state(marks, entries, subs)
+
+    found = load_all()["unsubscribe"].run(Asked(prepare(spark), f"{TESTDATA}/sf0.001"))
+    kept = {(r.user_id, r.feed_id) for r in found.filter("kind = 'subscription'").collect()}
+    assert {tuple(r) for r in made[-1].collect()} == kept
